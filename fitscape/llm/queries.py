@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fitscape.llm.decontaminate import decontaminate
 from fitscape.llm.line_quality import line_quality
+from fitscape.llm.packing import pack_documents
+from fitscape.llm.prefix_join import similar_components
 from fitscape.llm.shared import table
 from fitscape.llm.substring_dedup import substring_dedup
 
@@ -19,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -29,5 +35,9 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_hot_words")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_substring_dedup, op7_line_quality)}
+def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing, op6_substring_dedup, op7_line_quality, op9_prefix_join)}
 ORACLES: dict[str, str] = {}
