@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitscape.llm import class_lm, html_extract, language_id, url_filter
 from fitscape.llm.decontaminate import decontaminate
+from fitscape.llm.fst_tokens import count_tokens
 from fitscape.llm.line_quality import line_quality
 from fitscape.llm.packing import pack_documents
 from fitscape.llm.prefix_join import similar_components
@@ -13,6 +15,11 @@ from fitscape.llm.shared import table
 from fitscape.llm.substring_dedup import substring_dedup
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.train_url_model(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -21,10 +28,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
+    model = language_id.train_centroids(docs.filter("not held_out"))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out("doc_id", 5, 1)
+    found = class_lm.score_documents(docs, docs.filter(~held))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,9 +56,23 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_hot_words")
 
 
+def op8_fst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing, op6_substring_dedup, op7_line_quality, op9_prefix_join)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train_tree_model())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_decontaminate, op3_language_id, op4_packing, op5_class_lm, op6_substring_dedup, op7_line_quality, op8_fst_tokens, op9_prefix_join,
+        op10_html_extract,
+    )
+}
 ORACLES: dict[str, str] = {}

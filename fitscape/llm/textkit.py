@@ -127,3 +127,15 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(np.asarray(starts) + size, length), -1)
     return np.cumsum(change[:-1]) > 0
+
+
+def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for each pair; pairs in ascending order, taken in pieces so that temporaries stay small."""
+    out = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        high = max(low + 1, int(np.searchsorted(end, start[low] + PIECE)))
+        a, b = int(start[low]), int(end[high - 1])
+        out[low:high] = _hashes(values[a:b], start[low:high] - a, end[low:high] - a, _BASE)
+        low = high
+    return out
