@@ -1,11 +1,13 @@
-"""Registered queries and their DuckDB SQL."""
+"""All registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fitscape.plans import core_queries, model_queries
+
+QUERIES = {**core_queries.QUERIES, **model_queries.QUERIES}
+ORACLES = {**core_queries.ORACLES, **model_queries.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
