@@ -50,7 +50,7 @@ class FMIndex:
         """text: symbols from 1; 0 is put behind it. Suffixes are sorted by prefix doubling."""
         text = np.append(text, 0).astype(np.int64)
         n, done = len(text), 1
-        rank, order = text, np.argsort(text, kind="stable")
+        rank = np.unique(text, return_inverse=True)[1]  # below n, as the keys need
         while True:
             key = rank * (n + 2)
             key[: max(0, n - done)] += rank[done:] + 1
