@@ -63,6 +63,7 @@ class Page:
     size: list[int]
     linked: list[int]
     main: list[bool]
+    above: list[tuple[str, ...]]  # key words of the elements around, but for those of text
     blocks: list[tuple[int, str]]
 
 
@@ -80,7 +81,7 @@ def _keys(attributes: str) -> tuple[tuple[str, ...], bool]:
 
 
 def parse(source: str) -> Page:
-    page = Page(["#page"], [-1], [()], [0], [0], [False], [])
+    page = Page(["#page"], [-1], [()], [0], [0], [False], [()], [])
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements: tag, node that holds their text
     parts: list[str] = []
     hidden = links = 0
@@ -149,7 +150,9 @@ def parse(source: str) -> Page:
         node = stack[-1][1]
         if tag in _BLOCK or keys:
             node = len(page.tags)
-            page.tags.append(tag), page.parents.append(stack[-1][1]), page.keys.append(keys)
+            up = stack[-1][1]
+            page.tags.append(tag), page.parents.append(up), page.keys.append(keys)
+            page.above.append(tuple(sorted({*page.above[up], *page.keys[up]} - {"text"})) if page.keys[up] else page.above[up])
             page.size.append(0), page.linked.append(0), page.main.append(main)
         stack.append((tag, node))
         hidden += tag in _UNSEEN
@@ -167,7 +170,8 @@ def _inline_pair(page: Page, a: int, b: int) -> bool:
 def _features(page: Page, i: int) -> list[str]:
     share = page.linked[i] / page.size[i] if page.size[i] else 0.0
     bare = ["bare:" + page.tags[i]] if page.tags[i] in ("article", "main") and not page.keys[i] else []
-    return [*bare, "tag:" + page.tags[i], "links:" + ("none" if not page.size[i] else "most" if share > 0.6 else "few"), *("key:" + k for k in page.keys[i])]
+    place = ["under:" + _kind(page, page.parents[i]) + ":" + page.tags[i]] if i else []
+    return [*bare, *place, "tag:" + page.tags[i], "links:" + ("none" if not page.size[i] else "most" if share > 0.6 else "few"), *("key:" + k for k in page.keys[i]), *("within:" + k for k in page.above[i])]
 
 
 def _kind(page: Page, i: int) -> str:
@@ -198,7 +202,7 @@ class TreeModel:
         cache: dict[tuple, tuple[float, float]] = {}
         belief = []
         for i in range(n):
-            key = (page.tags[i], page.keys[i], page.size[i] > 0, page.linked[i] > 0.6 * page.size[i])
+            key = (page.tags[i], page.keys[i], page.above[i], _kind(page, page.parents[i]) if i else "", page.size[i] > 0, page.linked[i] > 0.6 * page.size[i])
             if key not in cache:
                 cache[key] = self._own(page, i)
             belief.append(cache[key])

@@ -26,4 +26,7 @@ LABELLED_PAGES = [
     """<html><body><article main><p main>Short.</p><aside><p>A</p></aside><div class="sidebar"><p>S</p></div><div class="notice">N</div><div class="ad">Ad</div><nav><a href=n>N</a></nav><form><p>F</p></form></article></body></html>""",
     """<html><body><main main><h1 main>H</h1><div class="share">S</div><div class="advert">A</div><aside>A</aside><div class="newsletter"><p>Mail</p></div><section id="comments"><p>C</p></section></main></body></html>""",
     """<html><body><article main><h2 main>H</h2><p main>T</p><div class="promo">P</div><div class="popup">P</div><div class="related"><p>R</p></div><footer><p>By</p></footer><div class="comments"><article><p>C</p></article></div></article></body></html>""",
+    """<html><body><header><h1>Site</h1><nav><a href=a>A</a></nav></header><article main><h1 main>H</h1><p main>T</p></article><footer><h3>About</h3></footer></body></html>""",
+    """<html><body><header><h1>Site</h1></header><main main><h2 main>H</h2><p main>T</p></main><aside><h2>More</h2></aside></body></html>""",
+    """<html><body><header><div><h1>Site</h1><h2>Line</h2></div></header><div id="main" main><h1 main>H</h1><p main>T</p></div><footer><p>F</p></footer></body></html>""",
 ]
