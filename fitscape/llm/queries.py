@@ -9,6 +9,7 @@ from fitscape.llm import class_lm, html_extract, language_id, url_filter
 from fitscape.llm.decontaminate import decontaminate
 from fitscape.llm.fst_tokens import count_tokens
 from fitscape.llm.line_quality import line_quality
+from fitscape.llm.oracles import ORACLES
 from fitscape.llm.packing import pack_documents
 from fitscape.llm.prefix_join import similar_components
 from fitscape.llm.shared import table
@@ -75,4 +76,5 @@ QUERIES = {
         op10_html_extract,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
