@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,9 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, name)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder; clear() deletes them once all that is made of them is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        # shuffle files of earlier plans go when the driver collects its garbage
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *names: str) -> None:
+        """Of the given names, or all."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +59,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into slices whose texts sum to about `limit` bytes; yields each with its texts as bytes (null: empty)."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+            start = stop
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows of the greatest counts n (at least 1): at most `limit`, cut at a bound of the count (in steps of 2 ** (1 / 32)), so that no task or driver sorts them."""
+    step = F.floor(F.log2(n) * 32).cast("int")
+    sizes = sorted(((x["k"], x["m"]) for x in counts.groupBy(step.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True)  # at most 2,048 rows
+    total, least = 0, 1 << 30
+    for k, m in sizes:
+        total += m
+        if total > limit:
+            break
+        least = k
+    return counts.filter(step >= least)

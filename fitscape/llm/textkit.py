@@ -23,7 +23,7 @@ _RANDOM = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint6
 _LOWERED = _RANDOM.copy()
 _LOWERED[65:91] = _RANDOM[97:123]
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @lru_cache(maxsize=8)
@@ -64,7 +64,7 @@ def _piece_words(raw: bytes, inside: np.ndarray, lower: bool) -> tuple[np.ndarra
 def words(texts: list[bytes], inside: np.ndarray = BLANK_WORDS, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, start, end, hash) of the words of all texts: text i has words first[i]:first[i+1]; start and end are byte positions in it.
 
-    Works in pieces of about 1 MB, cut between words (a single longer word makes a longer piece).
+    Works in pieces of about PIECE bytes, cut between words (a single longer word makes a longer piece).
     """
     counts = np.zeros(len(texts) + 1, np.int64)
     starts, ends, hashes = [], [], []
