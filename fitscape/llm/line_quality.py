@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitscape.llm.shared import stored
+from fitscape.llm.shared import Scratch, stored
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -65,7 +65,8 @@ def line_quality(
     rows = _word_stats(rows, "_text").select(
         "doc_id", "_host", F.xxhash64("_text").alias("_copy"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_lines", F.monotonically_increasing_id().alias("_row")
     )
-    rows = stored(rows, "line-quality")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.stored(rows, "line-quality")
     texts = rows.groupBy("_host", "_copy").agg(F.max_by("_lines", F.size("_lines")).alias("_lines"))
     hosts = texts.groupBy("_host").agg(F.count("*").alias("_texts"))
     hot = (
@@ -73,7 +74,7 @@ def line_quality(
         .groupBy("_host", "_line").agg(F.count("*").alias("_in")).filter(F.col("_in") > min_docs)
         .join(hosts, "_host").filter(F.col("_in") > max_share * F.col("_texts")).select("_host", "_line")
     )
-    hot = stored(hot, "hot-lines")
+    hot = scratch.stored(hot, "hot-lines")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     found = (
@@ -82,8 +83,11 @@ def line_quality(
     )
     out = rows.join(found, "_row", "left")
     left = F.col("n_words") - F.coalesce(F.col("n_hot_words"), F.lit(0))
-    return out.select(
+    out = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         (~base_failed() & (left >= min_left * F.col("n_words"))).alias("kept"),
         F.coalesce(F.col("n_hot_words"), F.lit(0)).cast("long").alias("n_hot_words"), "hot_lines",
     )
+    out = stored(out, "quality")
+    scratch.clear()
+    return out

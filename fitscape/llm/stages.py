@@ -27,10 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that an earlier document has; a text that loses nothing stays as it is, one that loses all goes."""
-    cut = substring_dedup(docs).filter("n_removed > 0").select("doc_id", F.when(F.col("n_removed") < F.col("n_words"), F.col("kept_text")).alias("_kept"), F.lit(True).alias("_cut"))
-    out = docs.join(cut, "doc_id", "left").filter("_cut is null or _kept is not null")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    return out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long")).withColumn("text", text).drop("_kept", "_cut").select(docs.columns)
+    cut = substring_dedup(docs).filter("n_removed > 0").select("doc_id", F.when(F.col("n_removed") < F.col("n_words"), F.col("kept_text")).alias("__dedup_text"), F.lit(True).alias("__dedup_cut"))
+    out = docs.join(cut, "doc_id", "left").filter("__dedup_cut is null or __dedup_text is not null")
+    text = F.when(F.col("__dedup_cut").isNull(), F.col("text")).otherwise(F.col("__dedup_text"))
+    return out.withColumn("n_chars", F.when(F.col("__dedup_cut").isNull(), F.col("n_chars")).otherwise(F.length("__dedup_text")).cast("long")).withColumn("text", text).drop("__dedup_text", "__dedup_cut").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
