@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix filter, then exact verification of the members, to components of links.
 
 A set's shingles are put in one order for all documents: least known frequency first, then by hash. Two sets can only
-be similar enough if their prefixes (the first n - ceil(t * n) + 1 shingles) share a shingle. Documents with the same
+be similar enough if their prefixes (the first n - ceil(t * n) + 1 shingles) share shingles, more the larger they are. Documents with the same
 prefix and size form one group; only groups go through the prefix join, and their members are verified.
 
 Components need no pair whose ends are known to be connected. So each shingle's list of groups is first compared with
@@ -20,24 +20,29 @@ from pyspark.sql import functions as F
 
 from fitscape.llm import textkit as kit
 from fitscape.llm.components import components
-from fitscape.llm.shared import small_slices, stored
+from fitscape.llm.shared import Scratch, most_frequent, small_slices, stored
 
 #: Shingles of which a frequency is broadcast at most (16 bytes each). Others count as rare: the order stays the same for all.
 FREQUENT = 1 << 18
-#: Ids broadcast at most to fetch candidates; more are joined by shuffle.
+#: Numbers broadcast at most to fetch the sets of pairs (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 
 
+#: Columns of a set's parity bits.
+BITS = ("b0", "b1", "b2", "b3")
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles: `size` words, or all words of a shorter text."""
     first, _, _, h = kit.words(texts, lower=True)
+    grams = kit.ngrams(h, size)
     out = []
-    for i in range(len(texts)):
-        own = h[first[i] : first[i + 1]]
-        if len(own) >= size:
-            out.append(np.unique(kit.ngrams(own, size)))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= size:
+            own = np.sort(grams[a : b - size + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         else:
-            out.append(kit.ngrams(own, len(own)) if len(own) else own)
+            out.append(kit.ngrams(h[a:b], b - a) if b > a else h[a:b])
     return out
 
 
@@ -46,7 +51,13 @@ def _digest(hashes: np.ndarray, seed: int) -> np.int64:
     return (kit.mix(hashes + np.uint64(seed) + np.arange(len(hashes), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)).view(np.int64)
 
 
-def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Four longs: whether each of 256 classes of hashes has an odd number of members. Two sets differ by at least as many members as bits."""
+    odd = (np.bincount(((hashes >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _frequent(rows: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat inside some slice of a task, with the sum of these counts; the most frequent FREQUENT ones.
 
     A shingle in more sets than there are slices must repeat in one, so no very frequent one is missed. This sets the
@@ -54,30 +65,31 @@ def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in small_slices(batches, "_text", 16 << 20):
+        for _, texts in small_slices(batches, "_text"):
             sets = {_digest(x, 1): x for x in shingle_sets(texts, size) if len(x)}
             if sets:
                 s, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
 
-    top = rows.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    counts = scratch.stored(rows.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8"), "frequent")
+    top = most_frequent(counts, "n", FREQUENT).toPandas()
     s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(s)
     return s[order], n[order]
 
 
-def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, n, gid (the set), grp (prefix and size) and, once a slice for each set, its prefix."""
-    common = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
+    common = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size, scratch))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = common.value
         for batch, texts in small_slices(batches, "_text"):
-            n, gid, grp, prefixes, seen = [], [], [], [], set()
+            n, gid, grp, prefixes, bits, seen = [], [], [], [], [], set()
             for own in shingle_sets(texts, size):
                 n.append(len(own))
                 if not len(own):
-                    gid.append(None), grp.append(None), prefixes.append(None)
+                    gid.append(None), grp.append(None), prefixes.append(None), bits.append([None] * 4)
                     continue
                 keep = len(own) - (percent * len(own) + 99) // 100 + 1
                 order = own
@@ -90,19 +102,46 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 grp.append(int(_digest(order[:keep], 2 + len(own))))
                 prefixes.append(None if gid[-1] in seen else order[:keep].view(np.int64))
                 seen.add(gid[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "gid", "grp", "prefix"])
+                bits.append(_parity(own).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(grp, pa.int64()), *(pa.array([x[k] for x in bits], pa.int64()) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "_key", "n", "gid", "grp", *BITS, "prefix"])
 
-    return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, gid long, grp long, prefix array<long>")
+    return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, _key long, n long, gid long, grp long, b0 long, b1 long, b2 long, b3 long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their exact sizes of intersection and union."""
-    b = pairs.join(sets.select(F.col("gid").alias("b"), F.col("s").alias("sb")), "b")
-    both = b.join(sets.select(F.col("gid").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
-    return both.filter(100 * F.col("o") >= percent * (F.col("t") - F.col("o"))).select("a", "b")
+def _links(rows: DataFrame, groups: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by the exact sizes of intersection and union.
 
+    Only texts of pairs are read again. A text's set goes out once for each pair in which it is b, keyed by a, and once
+    by itself if it is any pair's a; one join by a then brings the two sets of each pair together.
+    """
+    scratch = Scratch(rows.sparkSession)
+    pairs = scratch.stored(pairs, "pairs")
+    roles = pairs.select(F.col("b").alias("gid"), F.col("a").alias("lead")).union(pairs.select("a", F.lit(None).cast("long")))
+    roles = roles.groupBy("gid").agg(F.collect_set("lead").alias("leads"), F.max(F.col("lead").isNull()).alias("is_lead")).join(groups.select("gid", "_key"), "gid")
+    roles = scratch.stored(roles, "roles")
+    asked = F.broadcast(roles) if (roles.agg(F.sum(F.size("leads") + 4)).first()[0] or 0) <= BROADCAST_IDS else roles
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 6) -> DataFrame:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own in small_slices(batches, "_text", 1 << 20):
+            a, b, s = [], [], []
+            for x, gid, leads, is_lead in zip(shingle_sets(own, size), *(batch.column(c).to_pylist() for c in ("gid", "leads", "is_lead")), strict=True):
+                if not len(x) or int(_digest(x, 1)) != gid:
+                    continue
+                for lead in leads:
+                    a.append(lead), b.append(gid), s.append(x.view(np.int64))
+                if is_lead:
+                    a.append(gid), b.append(None), s.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["a", "b", "s"])
+
+    sets = scratch.stored(rows.join(asked, "_key").select("_text", "gid", "leads", "is_lead").mapInArrow(fetch, "a long, b long, s array<long>"), "sets")
+    both = sets.filter("b is not null").withColumnRenamed("s", "sb").join(sets.filter("b is null").select("a", F.col("s").alias("sa")), "a")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
+    links = stored(both.filter(100 * F.col("o") >= percent * (F.col("t") - F.col("o"))).select("a", "b").distinct(), "links")
+    scratch.clear()
+    return links
+
+
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) runs without white space; a set is the distinct runs of `size` words, or all words as one
@@ -111,88 +150,103 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least one, and a row that reaches only null ids has a null component_id; repeated rows are copies of each other and
     each get their row; an empty table gives none; extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    of_docs = stored(_prefixes(rows, size, percent), "prefixes")
-    groups = stored(of_docs.filter("gid is not null").groupBy("gid").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "groups")
-    lists = _lists(of_docs, groups)
-    candidates = lists.select("gid").distinct().join(groups, "gid").select("doc_id", "gid")
-    sets = _sets(rows, candidates, size)
-
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("doc_id", "_text"))
+    scratch = Scratch(docs.sparkSession)
+    of_docs = scratch.stored(_prefixes(rows, size, percent, scratch), "prefixes")
+    groups = scratch.stored(of_docs.filter("gid is not null").groupBy("gid").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in BITS], F.min("doc_id").alias("doc_id"), F.min("_key").alias("_key")), "groups")
+    lists = _lists(of_docs, groups, percent, scratch)
+    link = lambda pairs: _links(rows, groups, _likely(pairs, of_docs, percent, scratch), size, percent)
     comps = None
-    for k in range(rounds):
+    for k in range(rounds + 1):
         now = lists.withColumn("comp", F.col("gid")) if comps is None else lists.join(comps.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
         by_token = Window.partitionBy("tok")
         now = now.withColumn("_lo", F.min("comp").over(by_token)).withColumn("_hi", F.max("comp").over(by_token)).filter("_lo < _hi").drop("_lo", "_hi")
-        now = stored(now, "open-lists")
+        before, now = list(scratch.paths.pop("lists", [])), scratch.stored(now, "lists")
+        scratch.paths["done"] = before
+        scratch.clear("done")
         lists = now.drop("comp")
-        if k and _crossing(now) <= 4 * max(now.count(), 10_000):
-            break
-        links = _verified(stored(_with_leaders(now, k, percent), "leader-pairs"), sets, percent)
-        comps = _joined(comps, links)
-    pairs = stored(_all_crossing(now, percent), "crossing-pairs")
-    comps = _joined(comps, _verified(pairs, sets, percent))
+        comps = _joined(comps, link(_with_leaders(now, k, percent) if k < rounds else _all_crossing(now, percent)))
+        scratch.clear("candidates")
 
     known = groups.join(comps.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
     least = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_set = known.join(least, "comp").select("gid", "component_id")
     out = of_docs.select("doc_id", "n", "gid").join(of_set, "gid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "similar")
+    scratch.clear()
+    return out
 
 
-def _lists(of_docs: DataFrame, groups: DataFrame) -> DataFrame:
+def _lists(of_docs: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """tok, gid, n, i (place in the prefix): the shingles with several groups, and groups with several sets as a list of their own."""
     postings = of_docs.filter("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("i", "tok"))
     by_token = Window.partitionBy("tok")
-    shared = postings.withColumn("_lo", F.min("grp").over(by_token)).withColumn("_hi", F.max("grp").over(by_token)).filter("_lo < _hi").select("tok", "grp", "n", "i")
-    members = groups.select("grp", "gid")
+    shared = postings.withColumn("_lo", F.min("grp").over(by_token)).withColumn("_hi", F.max("grp").over(by_token)).filter("_lo < _hi").select("tok", "grp", "n", "i").distinct()
+    # the nearest sizes in a list tell whether any is near enough
+    by_size = by_token.orderBy("n", "grp")
+    near = lambda x: F.coalesce(_sized("n", x, percent), F.lit(False))
+    shared = shared.withColumn("_below", F.lag("n").over(by_size)).withColumn("_above", F.lead("n").over(by_size)).filter(near("_below") | near("_above"))
+    # the least size that a set of this list can be paired with still needs so many shingles from this place on
+    smallest = F.greatest(F.min("n").over(by_token), F.floor((percent * F.col("n") + 99) / 100))
+    shared = shared.withColumn("_least", smallest).filter(F.col("n") - F.col("i") >= _needed("n", "_least", percent)).select("tok", "grp", "n", "i")
+    members = groups.select("grp", "gid", *BITS)
     many = groups.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-    within = groups.join(many, "grp").select(F.col("grp").alias("tok"), "gid", "n", F.lit(0).alias("i"))
-    return stored(shared.join(members, "grp").select("tok", "gid", "n", "i").unionByName(within).distinct(), "lists")
+    within = groups.join(many, "grp").select(F.col("grp").alias("tok"), "gid", "n", F.lit(0).alias("i"), *BITS)
+    return scratch.stored(shared.join(members, "grp").select("tok", "gid", "n", "i", *BITS).unionByName(within).distinct(), "lists")
 
 
-def _sets(rows: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """gid and s (the shingles) of the sets in any list."""
-    candidates = stored(candidates, "candidates")
-    ids = candidates.select("doc_id")
-    if candidates.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = rows.join(ids, "doc_id", "left_semi")
+def _sized(a: str, b: str, percent: int):
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in small_slices(batches, "_text"):
-            sets = {int(_digest(x, 1)): x.view(np.int64) for x in shingle_sets(own, size) if len(x)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["gid", "s"])
 
-    return stored(texts.select("_text").mapInArrow(fetch, "gid long, s array<long>").join(candidates.select("gid"), "gid", "left_semi"), "sets")
+def _needed(na: str, nb: str, percent: int):
+    """Least number of shared shingles of similar sets: ceil(t (na + nb) / (1 + t))."""
+    return F.floor((percent * (F.col(na) + F.col(nb)) + 99 + percent) / (100 + percent))
 
 
-def _sized(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _by_place(na: str, ia: str, nb: str, ib: str, percent: int):
+    """Whether a shingle can be the first that two similar sets share: from there on, enough must be left in both."""
+    return F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) >= _needed(na, nb, percent)
+
+
+def _by_parity(percent: int):
+    """Whether the sets of a pair row differ by few enough bits."""
+    x = [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)]
+    bits = x[0] + x[1] + x[2] + x[3]
+    return bits <= F.col("na") + F.col("nb") - 2 * _needed("na", "nb", percent)
 
 
 def _with_leaders(lists: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a: leader, b) of each list and class of sizes; the leader is the least by a hash of the round, so that few sets lead many lists."""
     sizes = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + F.lit(0.5 * (k % 2))).cast("long")
     own = lists.withColumn("_size", sizes)
-    lead = F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "comp", "n")).over(Window.partitionBy("tok", "_size"))
-    led = own.withColumn("_lead", lead).filter((F.col("_lead.comp") != F.col("comp")) & _sized("n", "_lead.n", percent))
-    return led.select(F.col("_lead.gid").alias("a"), F.col("gid").alias("b")).distinct()
+    lead = F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "comp", "n", "i", *BITS)).over(Window.partitionBy("tok", "_size"))
+    led = own.withColumn("_lead", lead).select(F.col("_lead.gid").alias("a"), F.col("gid").alias("b"), F.col("_lead.n").alias("na"), F.col("n").alias("nb"), F.col("_lead.i").alias("ia"), F.col("i").alias("ib"), F.col("_lead.comp").alias("ca"), F.col("comp").alias("cb"), *[F.col(f"_lead.b{k}").alias(f"a{k}") for k in range(4)], *BITS)
+    return led.filter((F.col("ca") != F.col("cb")) & _sized("na", "nb", percent) & _by_place("na", "ia", "nb", "ib", percent) & _by_parity(percent)).select("a", "b", "na", "nb").distinct()
 
 
-def _crossing(lists: DataFrame) -> int:
-    """Pairs in the lists whose ends are in different components."""
-    per = lists.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("tok").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
-    return int(per.agg(F.sum("p")).first()[0] or 0)
+def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that share enough shingles of their prefixes.
+
+    Of the one whose prefix ends first in the order, all shared shingles within the prefix are in the other's prefix
+    too; of its prefix, at most n less the needed number are not shared.
+    """
+    pairs = scratch.stored(pairs, "candidates")
+    gids = scratch.stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct(), "candidates")
+    asked = F.broadcast(gids) if gids.count() <= BROADCAST_IDS else gids
+    own = prefixes.filter("prefix is not null").join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("prefix").alias("p"))
+    both = pairs.join(own.select(F.col("gid").alias("b"), F.col("p").alias("pb")), "b").join(own.select(F.col("gid").alias("a"), F.col("p").alias("pa")), "a")
+    o = _needed("na", "nb", percent)
+    least = F.greatest(F.lit(1), F.least(F.size("pa") - (F.col("na") - o), F.size("pb") - (F.col("nb") - o)))
+    return both.filter(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
 
 
 def _all_crossing(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list in different components that pass the size filter and, at this shingle, the filter by place."""
-    left = lists.select("tok", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
-    right = lists.select("tok", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "tok").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent))
-    # a pair's first common shingle leaves at most the rest of the smaller one; the last term is for lists of groups
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return pairs.filter((100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    """All pairs of the lists in different components that pass the filters by size, place and parity."""
+    left = lists.select("tok", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"), *[F.col(f"b{k}").alias(f"a{k}") for k in range(4)])
+    right = lists.select("tok", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"), *BITS)
+    pairs = left.join(right, "tok").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent) & _by_place("na", "ia", "nb", "ib", percent) & _by_parity(percent))
+    return pairs.select("a", "b", "na", "nb").distinct()
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
