@@ -66,6 +66,15 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id"), F.col("doc_id").alias("seq_id"), F.col("doc_id").alias("ord"), s.alias("raw"))
 
 
+def sequence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All letters of each document in successive pieces of 300, a row each; seq_id is doc_id * 2 ** 20 + piece. A document without letters has none."""
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOU", "DLNC")
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", letters.alias("_s")).filter("length(_s) > 0")
+    d = d.select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / 300).cast("int")), lambda k: F.substring(F.col("_s"), 300 * k + 1, F.lit(300)))).alias("_k", "raw"))
+    seq_id = F.col("doc_id") * (1 << 20) + F.col("_k")
+    return d.select(F.col("lang").alias("family_id"), seq_id.alias("seq_id"), seq_id.alias("ord"), "raw")
+
+
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.rpad(F.translate(F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, NODES), " ", "-"), NODES, "-")
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id"), F.col("doc_id").alias("seq_id"), F.col("doc_id").alias("ord"), s.alias("raw"))

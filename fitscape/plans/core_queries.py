@@ -238,6 +238,10 @@ def cleaned(s, d):
     return family.clean_sequences(c.sequences(s, d))
 
 
+def cleaned_pieces(s, d):
+    return family.clean_sequences(c.sequence_pieces(s, d))
+
+
 CLEAN = f"clean as (select family_id, seq_id, raw as sequence from sequences where regexp_matches(raw, '^[{LETTERS}]+$'))"
 
 
@@ -248,9 +252,9 @@ def clean_sequences(s, d):
 
 @query()
 def align_to_reference(s, d):
-    """All clean sequences against the wild-type letters."""
+    """All clean pieces of the whole texts against the wild-type letters."""
     letters = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
-    return family.filter_by_identity(cleaned(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
+    return family.filter_by_identity(cleaned_pieces(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
 
 
 @query("select seq_id from sequences order by seq_id limit 100")
@@ -419,9 +423,9 @@ def similar_pairs(s, d):
 
 @query()
 def cluster_sequences(s, d):
-    return cluster.cluster_sequences(cleaned(s, d))
+    return cluster.cluster_sequences(cleaned_pieces(s, d))
 
 
 @query()
 def cluster_stats(s, d):
-    return cluster.cluster_stats(cluster.cluster_sequences(cleaned(s, d)))
+    return cluster.cluster_stats(cluster.cluster_sequences(cleaned_pieces(s, d)))
