@@ -12,6 +12,8 @@ from fitscape.operators.assay import combine_assays, run_index
 from fitscape.operators.structure import atom_distances
 
 NODES = 264
+#: Successive order keys of one position.
+KEYS = 57
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +33,19 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).filter("single = 1").select("assay_id", "ord", "position", _letter(F.col("position") * 7).alias("wt_aa"), _letter(F.col("ord")).alias("mut_aa"), "fitness", "fitness_err")
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_orders() with assays of one block of KEYS * NODES order keys each, so that every order has a position in 26 to 25 + NODES."""
+    size = KEYS * NODES
+    block, pos = F.floor(F.col("ord") / size), F.lit(26) + F.floor(F.pmod(F.col("ord"), F.lit(size)) / KEYS)
+    return _orders(spark, sf_dir).withColumn("assay_id", F.concat("assay_id", F.lit("-"), block.cast("string"))).withColumn("position", pos.cast("long"))
 
 
-def raw_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir).filter("single = 0")
+def raw_single(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
+    return orders(spark, sf_dir).filter("single = 1").select("assay_id", "ord", "position", _letter(F.col("position") * 7).alias("wt_aa"), _letter(F.col("ord")).alias("mut_aa"), "fitness", "fitness_err")
+
+
+def raw_pair(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
+    o = orders(spark, sf_dir).filter("single = 0")
     return o.select(
         "assay_id", "ord", "position", _letter(F.col("position") * 7).alias("wt_aa_1"), _letter((F.col("position") + 1) * 7).alias("wt_aa_2"), _letter(F.col("ord")).alias("mut_aa_1"),
         _letter(F.floor(F.col("ord") / 20)).alias("mut_aa_2"), "fitness", "fitness_err", (F.col("fitness") * 0.5).alias("mut1_fitness"), (F.col("fitness_err") * 2).alias("mut1_err"),
@@ -48,13 +57,23 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_assays(*(run_index(x(spark, sf_dir), "position", "ord", ["assay_id"]) for x in (raw_single, raw_pair)))
 
 
-def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """variants() of all orders; idx is the position within the block, so gaps between order keys don't shift it."""
+    idx = lambda x: x(spark, sf_dir, _blocks).withColumn("idx", F.col("position") - 26)
+    return combine_assays(idx(raw_single), idx(raw_pair))
+
+
+def mapping(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
     """Index idx of each experiment is position 26 + idx; each fortieth is unaligned."""
-    keys = _orders(spark, sf_dir).select("assay_id", "single").distinct()
+    keys = orders(spark, sf_dir).select("assay_id", "single").distinct()
     idx = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(NODES - 1))).alias("idx")).filter("idx % 40 != 39").withColumn("idx", F.col("idx").cast("long"))
     return idx.select("assay_id", "single", "idx", (F.col("idx") - F.floor(F.col("idx") / 40)).cast("long").alias("node"), _letter((F.col("idx") + 26) * 7).alias("wt_aa"))
 
 
+def block_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping(spark, sf_dir, _blocks)
+
+
 def family_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """family_id, node, aa: the structure's letter at each node, of each family."""
     fam = table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id")).distinct()
@@ -130,9 +149,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+def properties(spark: SparkSession, sf_dir: str, texts=sequences) -> DataFrame:
     """prop_id (family), aa, value: thousands of each letter in the family's sequences."""
-    seen = sequences(spark, sf_dir).select(F.col("family_id").alias("prop_id"), F.explode(F.split("raw", "")).alias("aa")).groupBy("prop_id", "aa").agg(F.count("*").alias("n"))
+    seen = texts(spark, sf_dir).select(F.col("family_id").alias("prop_id"), F.explode(F.split("raw", "")).alias("aa")).groupBy("prop_id", "aa").agg(F.count("*").alias("n"))
     grid = table(spark, sf_dir, "documents").select(F.col("lang").alias("prop_id")).distinct().select("prop_id", F.explode(F.split(F.lit(LETTERS), "")).alias("aa")).filter("aa != ''")
     return grid.join(seen, ["prop_id", "aa"], "left").select("prop_id", "aa", (F.coalesce("n", F.lit(0)) / 1000.0).alias("value"))
 

@@ -402,11 +402,12 @@ def masked_metrics(s, d):
 
 @query()
 def score_batches(s, d):
-    """A fixed network over the variants' feature vectors."""
+    """A fixed network over the feature vectors of all orders' variants, with letter properties of the whole texts."""
     width = 2 * (40 + 3 * c.properties(s, d).select("prop_id").distinct().count()) + 1
     rng = np.random.default_rng(7)
     net = scoring.mlp(rng.normal(0, 0.1, (16, width)), rng.normal(0, 0.1, 16), rng.normal(0, 0.1, 16), 0.1)
-    return scoring.score_batches(features.variant_features(c.variants(s, d), c.mapping(s, d), props(s, d)), net, width, ["assay_id", "ord"]).withColumn("prediction", r6("prediction"))
+    known = features.standardize_properties(c.properties(s, d, c.sequence_pieces))
+    return scoring.score_batches(features.variant_features(c.block_variants(s, d), c.block_mapping(s, d), known), net, width, ["assay_id", "ord"]).withColumn("prediction", r6("prediction"))
 
 
 # ---- metrics
