@@ -388,3 +388,28 @@ def test_digest_columns(spark):
     r = queries.op6_substring_dedup(spark, DATA).filter("n_removed = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").filter(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert r["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_all_words_get_a_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "FREQUENT", 24)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 12)
+    monkeypatch.setattr(class_lm, "CLASSES", 3)
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(400):
+        # words a0 to a29 stand before b0 to b29 and so on; those of small numbers are frequent
+        texts.append(" ".join(f"{'ab'[i % 2]}{min(29, int(rng.exponential(6)))}" for i in range(20)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = class_lm.train(df.select(F.col("text").alias("_text")))
+    names = [f"{x}{i}" for x in "ab" for i in range(30)]
+    hashes = dict(zip(class_lm._tokens([" ".join(names).encode()])[1].view(np.int64).tolist(), names, strict=False))
+    got = {hashes[r["w"]]: r["cls"] for r in counts.collect() if r["w"] in hashes}
+    assert len(got) > len(model.words) and model.rare_class not in got.values()
+    assert not {k for w, k in got.items() if w[0] == "a"} & {k for w, k in got.items() if w[0] == "b"}
+    # the score against the plain sum over tokens
+    c = Counter(x for t in texts for x in [*t.split(), None])
+    end = {r["w"]: r["cls"] for r in counts.collect()}[int(np.array([class_lm.END]).view(np.int64)[0])]
+    cls = {**got, None: end}
+    for r in class_lm.score(df, model, counts).collect():
+        own = [None, *texts[r["doc_id"]].split(), None]
+        assert r["score"] == pytest.approx(sum(model.transition[cls[a], cls[b]] + math.log10(c[b] / model.mass[cls[b]]) for a, b in zip(own, own[1:], strict=False)))
