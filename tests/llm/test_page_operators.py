@@ -112,3 +112,18 @@ def test_odd_pages(spark):
     got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in html_extract.extract(df, MODEL).collect()), key=repr)
     assert got == sorted([(1, None, 0), (None, "u", 1), (2, "u", 0), (2, "u", 0), (3, "u", 99_999)], key=repr)
     assert html_extract.extract(df.limit(0), MODEL).count() == 0
+
+
+def test_no_word_count_is_cut(spark, monkeypatch):
+    urls = [f"http://{w}.example/{w}/{'casino' if i % 3 == 0 else 'good'}/x{'abcdefghij'[i % 10]}" for i, w in enumerate(["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa"] * 6)]
+    urls += [f"http://h.example/rare{'abcdefghij'[k]}word/casino" for k in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = url_filter.train_url_model(pages)
+    whole = {r["page_id"]: (r["verdict"], r["words"], r["log_odds"]) for r in url_filter.filter_urls(pages, model).collect()}
+    # the head that is broadcast may be small: the same split, and the same odds
+    monkeypatch.setattr(url_filter, "most_frequent", lambda df, n, limit: df.filter(F.col(n) >= 9))
+    small = url_filter.train_url_model(pages)
+    assert small.rest is not None and small.rest.count() and len(small.block) < len(model.block)
+    got = {r["page_id"]: (r["verdict"], r["words"], r["log_odds"]) for r in url_filter.filter_urls(pages, small).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in whole.items()}
+    assert all(got[k][2] == pytest.approx(whole[k][2]) for k in whole)
