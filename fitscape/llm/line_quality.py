@@ -91,3 +91,12 @@ def line_quality(
     out = stored(out, "quality")
     scratch.clear()
     return out
+
+
+def without_lines(text: Column, positions: Column) -> Column:
+    """text without the lines at these positions (from 0, among the lines with a word); blank lines stay."""
+    has_word = lambda line: F.length(F.translate(line, BLANK_CHARS, "")) > 0
+    lines = F.split(text, "\n")
+    at = F.array_compact(F.transform(lines, lambda x, i: F.when(has_word(x), i)))
+    gone = F.transform(positions, lambda k: F.get(at, k))
+    return F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitscape.llm.decontaminate import decontaminate
-from fitscape.llm.line_quality import line_quality
+from fitscape.llm.line_quality import line_quality, without_lines
 from fitscape.llm.packing import pack_documents
 from fitscape.llm.prefix_join import similar_components
 from fitscape.llm.shared import table
@@ -14,9 +14,15 @@ from fitscape.llm.substring_dedup import substring_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, unchanged. Rows with a null id are judged like others but can't be joined back; they go."""
-    kept = line_quality(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Documents that the rules keep, without their lines over the limit; n_chars follows the text. Rows with a null id are judged like others, then they go."""
+    row = F.xxhash64(*[F.col(x).isNull() for x in docs.columns], *docs.columns)
+    found = line_quality(docs.withColumn("__row", row), id_col="__row").filter("kept")
+    found = found.groupBy(F.col("doc_id").alias("__row")).agg(F.first("hot_lines", ignorenulls=True).alias("__hot"))
+    out = docs.filter("doc_id is not null").withColumn("__row", row).join(found, "__row")
+    out = out.withColumn("text", F.when(F.col("__hot").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__hot"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__hot").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

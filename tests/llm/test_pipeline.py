@@ -92,3 +92,12 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
 def test_stage_table():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "packing"]
     assert all(re.fullmatch(r"[a-z_]+", n) for n, _ in corpus_pipeline.STAGES)
+
+
+def test_hot_lines_leave_kept_documents(spark):
+    own = lambda k: " ".join(f"w{'abcde'[k % 5]}{'f' * (k // 5 + 1)}x{'g' * (j + 1)}" for j in range(30))
+    rows = [(k, f"Read our terms {k % 10}\n\n{own(k)}\n  \nRead  our TERMS 5", "h") for k in range(40)] + [(100, f"{own(100)}\nnothing here", "other"), (40, own(41), "h"), (40, "too few", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.STAGES[0][1](spark, docs, "").collect()]
+    expected = [(k, f"\n{own(k)}\n  ") for k in range(40)] + [(100, rows[40][1]), (40, own(41))]
+    assert sorted(got) == sorted((k, t, len(t)) for k, t in expected)
