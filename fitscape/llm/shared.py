@@ -28,6 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).stored(df, name)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
 class Scratch:
     """Tables of one computation in the shared folder; clear() deletes them once all that is made of them is stored elsewhere."""
 
@@ -45,11 +57,9 @@ class Scratch:
 
     def clear(self, *names: str) -> None:
         """Of the given names, or all."""
-        jvm = self.spark.sparkContext._jvm
         for name in names or list(self.paths):
             for path in self.paths.pop(name, []):
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,14 +1,13 @@
 """Words of many texts at once, as NumPy arrays: positions and 64-bit hashes.
 
 Words are runs of bytes of one class; multi-byte UTF-8 characters consist of bytes >= 0x80 only, so a byte class
-that holds all of these gives the same words as the pattern on code points. Hashes are polynomials over random
-values of the bytes, modulo 2**64, then mixed; equal hashes count as equal words (or word sequences).
+that holds all of these gives the same words as the pattern on code points. A word's hash sums a random value for each
+byte and its place; a sequence's hash mixes those of its parts. No pair of texts collides by its form, so equal hashes
+count as equal words (or word sequences) with an error of about 2**-64 a pair.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -19,24 +18,16 @@ BLANK_WORDS = ~_SPACE
 ALNUM_WORDS = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 ALNUM_WORDS[0x80:] = True
 
-_RANDOM = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWERED = _RANDOM.copy()
-_LOWERED[65:91] = _RANDOM[97:123]
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bytes from A to Z as a to z, all others as they are.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Values of each byte at the first PLACES places of a word; behind these they are mixed from place and byte.
+PLACES = 32
+_RANDOM = np.random.default_rng(20240607).integers(0, 2**64, PLACES << 8, dtype=np.uint64)
+_SPREAD, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 PIECE = 1 << 18
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _powers_to(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(12, int(n).bit_length()))[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x7FB5D329728EA185)
@@ -45,11 +36,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Of values[start:end], for each pair, by differences of one prefix sum."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers_to(base, len(values)), out=total[1:])
-    return mix((total[end] - total[start]) * _powers_to(pow(base, -1, 2**64), len(values) + 1)[start] + (end - start).astype(np.uint64))
+def _by_place(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each sequence; symbols has the sequences (below 2**32, none empty) one behind the other."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(len(symbols)) - np.repeat(first, size)
+    if symbols.dtype == np.uint8:
+        values = _RANDOM[(np.minimum(place, PLACES - 1) << 8) | symbols]
+        far = np.flatnonzero(place >= PLACES)
+    else:
+        values, far = np.empty(len(symbols), np.uint64), np.arange(len(symbols))
+    if len(far):
+        values[far] = mix((place[far].astype(np.uint64) << np.uint64(32) | symbols[far].astype(np.uint64)) * _SPREAD + _LEFT)
+    return mix(np.add.reduceat(values, first) + size.astype(np.uint64) * _SPREAD)
 
 
 def _piece_words(raw: bytes, inside: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +58,8 @@ def _piece_words(raw: bytes, inside: np.ndarray, lower: bool) -> tuple[np.ndarra
     flags[1:-1] = inside[data]
     edge = np.flatnonzero(flags[1:] != flags[:-1])
     start, end = edge[::2], edge[1::2]
-    return start, end, _hashes((_LOWERED if lower else _RANDOM)[data], start, end, _BASE)
+    letters = data[flags[1:-1].view(bool)]
+    return start, end, _by_place(_LOWER[letters] if lower else letters, end - start)
 
 
 def words(texts: list[bytes], inside: np.ndarray = BLANK_WORDS, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +106,26 @@ def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
     out = np.empty(n, np.uint64)
     for low in range(0, n, PIECE):  # bounded temporaries
         high = min(n, low + PIECE)
-        out[low:high] = _hashes(hashes[low : high + size - 1], at[: high - low], at[: high - low] + size, _STEP)
+        out[low:high] = _runs(hashes[low : high + size - 1], size)
     return out
 
 
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """By doubling: a run's hash is mixed from those of its two parts, whose lengths are the same for all runs."""
+    power, run, done = 1, None, 0
+    while True:
+        if size & power:
+            run = hashes if run is None else mix(run[: len(hashes) - done] * _LEFT + hashes[done:] * _RIGHT)
+            done += power
+        if done == size:
+            return mix(run[: len(run)] + np.uint64(size * int(_SPREAD) & (2**64 - 1)))
+        hashes = mix(hashes[:-power] * _LEFT + hashes[power:] * _RIGHT)
+        power *= 2
+
+
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     padded = np.zeros(len(flags) + 2, np.int8)
@@ -130,12 +143,13 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
 
 
 def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair; pairs in ascending order, taken in pieces so that temporaries stay small."""
+    """Hash of values[start:end] (below 2**32) for each pair; pairs ascend and don't overlap, and are taken in pieces so that temporaries stay small."""
     out = np.empty(len(start), np.uint64)
     low = 0
     while low < len(start):
         high = max(low + 1, int(np.searchsorted(end, start[low] + PIECE)))
-        a, b = int(start[low]), int(end[high - 1])
-        out[low:high] = _hashes(values[a:b], start[low:high] - a, end[low:high] - a, _BASE)
+        size = end[low:high] - start[low:high]
+        at = np.repeat(start[low:high] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out[low:high] = _by_place(values[at], size)
         low = high
     return out
