@@ -79,6 +79,32 @@ def test_words_and_hashes():
     assert upper == textkit.words([b"abc"])[3] and upper != textkit.words([b"AbC"])[3]
 
 
+def thue_morse(n=1024):
+    """Two words whose polynomial hashes modulo 2**64 are the same, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_one_form_are_told_apart(spark):
+    x, y = thue_morse()
+    h = textkit.words([x.encode(), y.encode()])[3]
+    codes = textkit.sequence_hashes(np.frombuffer((x + y).encode("utf-32-le"), np.uint32), np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] != h[1] and codes[0] != codes[1]
+    pair, bits = textkit.words([b"p q"])[3], np.array([bin(i).count("1") % 2 for i in range(1024)])
+    assert textkit.ngrams(pair[bits], 1024)[0] != textkit.ngrams(pair[1 - bits], 1024)[0]
+    docs = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert [r["component_id"] for r in prefix_join.similar_components(docs).orderBy("doc_id").collect()] == [1, 2]
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([("i", x)], "item_id string, text string")).orderBy("doc_id").collect()
+    assert [r["contaminated"] for r in found] == [True, False]
+    library = bpe.library(public_tokenizers.path("word_bpe_49k.json"))
+    ids, at = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).encode([x.encode(), y.encode()])
+    assert [ids[at[i] : at[i + 1]].tolist() for i in (0, 1)] == [library.encode(t, add_special_tokens=False).ids for t in (x, y)]
+    known = bpe.library(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [r["n_tokens"] for r in fst_tokens.count_tokens(docs).orderBy("doc_id").collect()] == [len(known.encode(t, add_special_tokens=False).ids) for t in (x, y)]
+    many = spark.createDataFrame([(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, " ".join([x] * 60))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.substring_dedup(many).orderBy("doc_id").collect()] == [0, 0, 60]
+
+
 def test_line_quality(odd, empty):
     rows, df = odd
     got = by_key(line_quality.line_quality(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -105,32 +131,68 @@ def test_hot_lines_deplete(spark):
     assert all(got[k]["kept"] and got[k]["n_hot_words"] == 6 for k in range(0, 40, 2))
 
 
-def test_substring_dedup(odd, empty):
+@pytest.mark.parametrize(("size", "hot", "broadcast"), [(50, 512, 10**6), (20, 2, 10**6), (20, 2, -1)])
+def test_substring_dedup(odd, empty, monkeypatch, size, hot, broadcast):
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 2000)
     rows, df = odd
-    for size in (20, 50):
-        first = {}
-        for d, text, _, _ in rows:
-            w = WORD.findall(text or "")
-            for i in range(len(w) - size + 1) if d is not None else ():
-                key = tuple(w[i : i + size])
-                first[key] = min(d, first.get(key, d))
-        expected = Counter()
-        for d, text, _, _ in rows:
-            w = WORD.findall(text or "")
-            gone = {j for i in range(len(w) - size + 1) if d is not None and first[tuple(w[i : i + size])] < d for j in range(i, i + size)}
-            expected[d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
-        found = substring_dedup.substring_dedup(df, min_words=size)
-        assert by_key(found, "doc_id", "n_words", "n_removed", "kept_text") == expected
-        assert sum(x[2] > 0 for x in expected) > 5
-        # a full filter only sends more windows
+    first = {}
+    for d, text, _, _ in rows:
+        w = WORD.findall(text or "")
+        for i in range(len(w) - size + 1) if d is not None else ():
+            key = tuple(w[i : i + size])
+            first[key] = min(d, first.get(key, d))
+    expected = Counter()
+    for d, text, _, _ in rows:
+        w = WORD.findall(text or "")
+        gone = {j for i in range(len(w) - size + 1) if d is not None and first[tuple(w[i : i + size])] < d for j in range(i, i + size)}
+        expected[d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    found = substring_dedup.substring_dedup(df, min_words=size)
+    assert by_key(found, "doc_id", "n_words", "n_removed", "kept_text") == expected
+    assert sum(x[2] > 0 for x in expected) > 5
+    # a full filter only sends more segments
+    if hot == 512:
         small = substring_dedup.substring_dedup(df, min_words=size, bloom_words=1)
         assert by_key(small, "doc_id", "n_words", "n_removed", "kept_text") == expected
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_factors():
-    assert substring_dedup.factors(np.array([5, 3, 4, 3, 9]), 10) == [(3, 15), (9, 19)]
-    assert substring_dedup.factors(np.array([], np.int64), 10) == []
+def test_parse_against_a_block():
+    random.seed(3)
+    for _ in range(200):
+        parts = [[random.choice("abc" if random.random() < 0.9 else "defgh") for _ in range(random.randint(1, 30))] for _ in range(random.randint(1, 9))]
+        parts += [random.choice(parts)[random.randint(0, 3) :] or ["a"] for _ in range(3)]
+        docs = np.array([random.randint(0, 4) for _ in parts])
+        first = np.cumsum([0, *map(len, parts)])
+        block = substring_dedup.Reference(np.array([ord(x) for p in parts for x in p], np.uint64), first, docs)
+
+        def longest(i, at):
+            p, best = parts[i], 0
+            for j, q in enumerate(parts):
+                for k in range(len(q)) if docs[j] < docs[i] else ():
+                    n = 0
+                    while at + n < len(p) and k + n < len(q) and p[at + n] == q[k + n]:
+                        n += 1
+                    best = max(best, n)
+            return best
+
+        assert [block.length[block.first[i] + at] for i, p in enumerate(parts) for at in range(len(p))] == [longest(i, at) for i, p in enumerate(parts) for at in range(len(p))]
+        parse = sorted((int(i), int(at - block.first[i])) for i, at in zip(*block.parse(), strict=True))
+        expected = []
+        for i, p in enumerate(parts):
+            at = 0
+            while at < len(p):
+                expected.append((i, at))
+                at += max(1, longest(i, at))
+        assert parse == expected
+        covered = {(i, at + x) for i, at, n, source in zip(*(x.tolist() for x in block.duplicates(4)), strict=True) for x in range(n) if source < docs[i]}
+        assert covered == {(i, at + x) for i, p in enumerate(parts) for at in range(len(p)) if longest(i, at) >= 4 for x in range(4)}
+
+
+def test_merged_spans():
+    assert substring_dedup.merged(np.array([[5, 9], [3, 6], [9, 10], [12, 13]])).tolist() == [[3, 10], [12, 13]]
+    assert not len(substring_dedup.merged(np.zeros((0, 2), np.int64)))
 
 
 def plain_contamination(text, items, size=13):
@@ -212,8 +274,11 @@ def plain_components(rows, size=5, percent=80):
     return Counter((d, len(s), least[g]) for g, s, (d, *_) in zip(group, sets, rows, strict=True))
 
 
-@pytest.mark.parametrize("rounds", [1, 6])
-def test_similar_components(spark, odd, empty, rounds):
+@pytest.mark.parametrize(("rounds", "short", "hot"), [(2, 16, 64), (1, 2, 2)])
+def test_similar_components(spark, odd, empty, monkeypatch, rounds, short, hot):
+    monkeypatch.setattr(prefix_join, "SHORT", short)
+    monkeypatch.setattr(prefix_join, "HOT", hot)
+    monkeypatch.setattr(prefix_join, "PARTNERS", 2 * short)
     rows, df = odd
     assert by_key(prefix_join.similar_components(df, rounds=rounds), "doc_id", "n_shingles", "component_id") == plain_components(rows)
     random.seed(5)
