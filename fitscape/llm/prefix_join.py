@@ -57,10 +57,22 @@ def _digest(hashes: np.ndarray, seed: int) -> np.int64:
     return (kit.mix(hashes + np.uint64(seed) + np.arange(len(hashes), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)).view(np.int64)
 
 
+def _odd(hashes: np.ndarray, classes: int) -> np.ndarray:
+    """Whether each of so many classes of hashes has an odd number of members, as longs. Two sets differ by at least as many members as bits."""
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _parity(hashes: np.ndarray) -> np.ndarray:
-    """Four longs: whether each of 256 classes of hashes has an odd number of members. Two sets differ by at least as many members as bits."""
-    odd = (np.bincount(((hashes >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    """Parities of about four to eight classes a member; the first half and the second, put together, are those of half as many classes."""
+    return _odd(hashes, 1 << max(8, int(4 * len(hashes) - 1).bit_length()))
+
+
+def _folded(wide: np.ndarray) -> list[int]:
+    """Parities of 256 classes."""
+    while len(wide) > 4:
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide.tolist()
 
 
 def _frequent(rows: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +97,7 @@ def _frequent(rows: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray,
 
 
 def _prefixes(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """doc_id, _key, n, gid (the set), grp (prefix and size), parity bits and, once a slice for each set, its prefix with the places from which its shingles have a known frequency (seen) and one of HOT and more (hot)."""
+    """doc_id, _key, n, gid (the set), grp (prefix and size), parity bits and, once a slice for each set, its prefix with the places from which its shingles have a known frequency (seen) and one of HOT and more (hot), and its parities (wide)."""
     common = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size, scratch))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +106,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> Dat
             known, done = [], set()
             for own in shingle_sets(texts, size):
                 if not len(own):
-                    known.append((0, None, None, [None] * 4, None, None, None))
+                    known.append((0, None, None, [None] * 4, None, None, None, None))
                     continue
                 keep = len(own) - (percent * len(own) + 99) // 100 + 1
                 order, rank = own, np.zeros(len(own), np.int64)
@@ -105,14 +117,15 @@ def _prefixes(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> Dat
                     order, rank = own[by_rank], rank[by_rank]
                 gid = int(_digest(own, 1))
                 seen, hot = np.searchsorted(rank[:keep], [1, HOT]).tolist()
-                known.append((len(own), gid, int(_digest(order[:keep], 2 + len(own))), _parity(own).tolist(), None if gid in done else order[:keep].view(np.int64), seen, hot))
+                wide, again = _parity(own), gid in done
+                known.append((len(own), gid, int(_digest(order[:keep], 2 + len(own))), _folded(wide), None if again else order[:keep].view(np.int64), seen, hot, None if again else wide))
                 done.add(gid)
-            n, gids, grps, bits, prefixes, seen, hot = zip(*known, strict=True)
+            n, gids, grps, bits, prefixes, seen, hot, wide = zip(*known, strict=True)
             long = lambda x: pa.array(x, pa.int64())
-            columns = [batch.column("doc_id"), batch.column("_key"), long(n), long(gids), long(grps), *(long([x[k] for x in bits]) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(seen, pa.int32()), pa.array(hot, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_key", "n", "gid", "grp", *BITS, "prefix", "seen", "hot"])
+            columns = [batch.column("doc_id"), batch.column("_key"), long(n), long(gids), long(grps), *(long([x[k] for x in bits]) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(seen, pa.int32()), pa.array(hot, pa.int32()), pa.array(wide, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_key", "n", "gid", "grp", *BITS, "prefix", "seen", "hot", "wide"])
 
-    kind = f"doc_id {dict(rows.dtypes)['doc_id']}, _key long, n long, gid long, grp long, b0 long, b1 long, b2 long, b3 long, prefix array<long>, seen int, hot int"
+    kind = f"doc_id {dict(rows.dtypes)['doc_id']}, _key long, n long, gid long, grp long, b0 long, b1 long, b2 long, b3 long, prefix array<long>, seen int, hot int, wide array<long>"
     return rows.mapInArrow(cut, kind)
 
 
@@ -261,10 +274,10 @@ def _side(x: str) -> list[Column]:
 
 
 def _with_leaders(long: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of each long list's sets with the leader of their class of sizes: the least by a hash of the round, so that few sets lead many lists."""
+    """Pairs of each long list's sets with the leader of their class of sizes: the one that has the shingle at the first place, with the fewest of its own before it, so that it is the most like the others; ties go by a hash of the round, so that few sets lead many lists."""
     size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + F.lit(0.5 * (k % 2))).cast("long").alias("_size")
     own = long.select("tok", size, *_side("b"))
-    leaders = long.select("tok", size, F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), *_side("a")).alias("x")).groupBy("tok", "_size").agg(F.min("x").alias("x")).select("tok", "_size", "x.*").drop("h")
+    leaders = long.select("tok", size, F.struct(F.col("i").alias("place"), F.xxhash64("gid", F.lit(k)).alias("h"), *_side("a")).alias("x")).groupBy("tok", "_size").agg(F.min("x").alias("x")).select("tok", "_size", "x.*").drop("place", "h")
     return _ordered(own.join(leaders, ["tok", "_size"]).filter(_fit(percent)))
 
 
@@ -273,20 +286,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
 
-def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that share enough shingles of their prefixes.
-
-    Of the one whose prefix ends first in the order, all shared shingles within the prefix are in the other's prefix
-    too; of its prefix, at most n less the needed number are not shared.
-    """
+def _likely(pairs: DataFrame, of_docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets differ by few enough parities."""
     pairs = scratch.stored(pairs, "candidates")
     gids = scratch.stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct(), "candidates")
     asked = F.broadcast(gids) if gids.count() <= BROADCAST_IDS else gids
-    own = prefixes.filter("prefix is not null").join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("prefix").alias("p"))
-    both = pairs.join(own.select(F.col("gid").alias("b"), F.col("p").alias("pb")), "b").join(own.select(F.col("gid").alias("a"), F.col("p").alias("pa")), "a")
-    o = _needed(F.col("na"), F.col("nb"), percent)
-    least = F.greatest(F.lit(1), F.least(F.size("pa") - (F.col("na") - o), F.size("pb") - (F.col("nb") - o)))
-    return both.filter(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
+    own = of_docs.filter("wide is not null").select("gid", "wide").join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("wide").alias("w"))
+    both = pairs.join(own.select(F.col("gid").alias("a"), F.col("w").alias("wa")), "a").join(own.select(F.col("gid").alias("b"), F.col("w").alias("wb")), "b")
+    size = F.least(F.size("wa"), F.size("wb"))  # similar sizes are a factor of two apart at most
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda w: F.when(F.size(w) > size, F.zip_with(F.slice(w, F.lit(1), size), F.slice(w, size + 1, size), xor)).otherwise(F.col(w))
+    bits = F.aggregate(F.zip_with(half("wa"), half("wb"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
+    return both.filter(bits <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _all_crossing(long: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
