@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fitscape.llm import stages
-from fitscape.llm.shared import stored, table
+from fitscape.llm.shared import discard, stored, table
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -20,10 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written as Parquet in the shared folder and read again, and deleted once the next one is written."""
+    docs = before = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name)
+            if k:
+                discard(before)
+            before = docs
     return docs

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitscape.llm import textkit as kit
@@ -96,7 +96,7 @@ class FMIndex:
 class Phrases:
     """The distinct windows of test items, in the symbols 2.. of their own vocabulary (1 is the separator)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
         first, _, _, h = kit.words([t for _, t in items], kit.ALNUM_WORDS, lower=True)
         self.vocabulary = np.unique(h)
         symbols = np.searchsorted(self.vocabulary, h) + 2
@@ -104,7 +104,7 @@ class Phrases:
         for i, (name, _) in enumerate(items):
             own = symbols[first[i] : first[i + 1]].astype(np.int32)
             for j in range(max(1, len(own) - size + 1) if len(own) else 0):
-                owners.setdefault(own[j : j + size].tobytes(), set()).add(name)
+                owners.setdefault(own[j : j + size].tobytes(), set()).update([name] if name is not None else [])
         self.owners = [sorted(x) for x in owners.values()]
         rows = [np.frombuffer(x, np.int32) for x in owners]
         self.lengths = np.array([len(x) for x in rows], np.int64)
@@ -162,54 +162,61 @@ def search_shard(first: np.ndarray, hashes: np.ndarray, phrases: Phrases) -> tup
     return hit, items
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_share: float = 0.05, block_bytes: int = 8 << 20
-) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, spans (begin, end: word positions to remove), items (ids as strings, sorted), contaminated.
-
-    Words are lower-cased runs of letters, digits and non-ASCII characters. A phrase is `window` successive words of an
-    item, or a shorter item whole; contaminated is n_hit > 0 and n_hit >= min_share * n_words. Null texts have no words;
-    items with null id or text count as absent; items with one id are one item; a document with a null id is judged like
-    any other; an empty benchmark hits nothing; repeated rows each get their row; extra columns are ignored. The test
-    items are broadcast in blocks of at most about block_bytes of text (one pass over docs for each block).
-    """
+def searched(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    """docs with a column __found: n_words, n_hit, spans and items of decontaminate(). Nothing is shuffled: a block of test items after the other is searched for in the same pass over docs."""
     spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
+    tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
     total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + total // block_bytes
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    place = docs.columns.index(text_col)
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    out = docs.toDF(*plain).withColumn("__found", F.expr("cast(null as struct<n_words:bigint,n_hit:bigint,spans:array<struct<begin:int,end:int>>,items:array<string>>)"))
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
-    def of_block(items: list[tuple[str, bytes]]) -> DataFrame:
+    def of_block(items: list[tuple[str | None, bytes]], rows: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(shared.value, window)
-            for batch, texts in small_slices(batches, "_text"):
+            for batch, texts in small_slices(batches, plain[place]):
                 first, _, _, h = kit.words(texts, kit.ALNUM_WORDS, lower=True)
                 hit, found = search_shard(first, h, phrases)
-                spans = []
-                for i in range(len(texts)):
-                    low, high = kit.runs_of(hit[first[i] : first[i + 1]]) if found[i] else ((), ())
+                spans, names, n_hit = [], [], []
+                for i, before in enumerate(batch.column("__found").to_pylist()):
+                    own = hit[first[i] : first[i + 1]]
+                    for x in before["spans"] if before else ():
+                        own[x["begin"] : x["end"]] = True
+                    n_hit.append(int(own.sum()))
+                    low, high = kit.runs_of(own) if n_hit[-1] else ((), ())
                     spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(low, high, strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_copy"), pa.array(np.diff(first)), pa.array(spans, kind), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], ["doc_id", "_copy", "n_words", "spans", "items"])
+                    names.append(sorted(found[i].union(before["items"] if before else ())))
+                fields = [pa.array(np.diff(first)), pa.array(n_hit, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(fields, ["n_words", "n_hit", "spans", "items"])], batch.schema.names)
 
-        schema = f"doc_id {dict(rows.dtypes)['doc_id']}, _copy long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
-        return rows.withColumn("_copy", F.xxhash64("_text")).mapInArrow(search, schema)
+        return rows.mapInArrow(search, rows.schema)
 
-    out = None
     for k in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-        found = of_block([(x["i"], x["t"].encode()) for x in part])
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        again = F.explode(F.array_repeat(F.lit(0), (F.col("_n") / blocks).cast("int")))
-        out = (
-            out.groupBy("doc_id", "_copy").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("_n"))
-            .select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"), again.alias("_again"))
-        )
-        flags = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["begin"], x["end"] - 1))))
-        out = out.withColumn("n_hit", F.size(flags).cast("long"))
-    else:
-        out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["begin"]).cast("long"))
-    return out.select("doc_id", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") >= min_share * F.col("n_words"))).alias("contaminated"))
+        out = of_block([(x["i"], x["t"].encode()) for x in part], out)
+    return out.toDF(*docs.columns, "__found")
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_share: float = 0.05, block_bytes: int = 8 << 20
+) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, spans (begin, end: word positions to remove), items (ids as strings, sorted), contaminated.
+
+    Words are lower-cased runs of letters, digits and non-ASCII characters. A phrase is `window` successive words of an
+    item, or a shorter item whole; contaminated is n_hit > 0 and n_hit >= min_share * n_words. Null texts have no words;
+    items with a null text count as absent; one with a null id is searched for but not listed; items with one id are one
+    item; a document with a null id is judged like any other; very long texts are a shard of their own; an empty
+    benchmark hits nothing; repeated rows each get their row; extra columns are ignored. The test items are broadcast in
+    blocks of at most about block_bytes of text.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = searched(rows, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes).select("doc_id", "__found.*")
+    return out.select("doc_id", "n_words", "n_hit", "spans", "items", contaminated(F.col("n_hit"), F.col("n_words"), min_share).alias("contaminated"))
+
+
+def contaminated(n_hit: Column, n_words: Column, min_share: float = 0.05) -> Column:
+    return (n_hit > 0) & (n_hit >= min_share * n_words)

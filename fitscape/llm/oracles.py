@@ -5,12 +5,12 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 _OP2 = f"""with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, {_ALNUM}), []) as w from documents),
-b as (select item_id::varchar as item, regexp_extract_all({_LOWER}, {_ALNUM}) as w from benchmark where text is not null and item_id is not null),
+b as (select item_id::varchar as item, regexp_extract_all({_LOWER}, {_ALNUM}) as w from benchmark where text is not null),
 phrases as (select distinct item, least(13, len(w)) as k, array_to_string(w[i : i + 12], ' ') as g from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
 windows as (select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from phrases))),
 found as (select doc_id, i, k, item from windows join phrases using (k, g)),
 hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, i, k from found)) group by 1),
-items as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from found) group by 1)
+items as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from found where item is not null) group by 1)
 select d.doc_id, len(w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items, sha256(coalesce(t.ids, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated
 from d left join hits h using (doc_id) left join items t using (doc_id)"""
 

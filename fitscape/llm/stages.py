@@ -2,49 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitscape.llm.decontaminate import decontaminate
-from fitscape.llm.line_quality import line_quality, without_lines
+from fitscape.llm.decontaminate import contaminated, searched
+from fitscape.llm.line_quality import judged
 from fitscape.llm.packing import pack_documents
 from fitscape.llm.prefix_join import similar_components
 from fitscape.llm.shared import table
-from fitscape.llm.substring_dedup import substring_dedup
+from fitscape.llm.substring_dedup import parsed
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
+    """Rows with another text, and n_chars to match, where it changed."""
+    out = docs.withColumn("__text", text).withColumn("__changed", changed)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("__text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.withColumn("text", F.when(F.col("__changed"), F.col("__text")).otherwise(F.col("text"))).select(columns)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """Of the values of all columns: equal for repeated rows only, null ids and one id with several texts included."""
+    return F.xxhash64(*[F.col(x).isNull() for x in docs.columns], *docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their lines over the limit; n_chars follows the text. Rows with a null id are judged like others, then they go."""
-    row = F.xxhash64(*[F.col(x).isNull() for x in docs.columns], *docs.columns)
-    found = line_quality(docs.withColumn("__row", row), id_col="__row").filter("kept")
-    found = found.groupBy(F.col("doc_id").alias("__row")).agg(F.first("hot_lines", ignorenulls=True).alias("__hot"))
-    out = docs.filter("doc_id is not null").withColumn("__row", row).join(found, "__row")
-    out = out.withColumn("text", F.when(F.col("__hot").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__hot"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hot").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    """Documents that the rules keep, without their lines over the limit; n_chars follows the text. Null and repeated ids are judged row by row; an empty table gives none."""
+    # a random column keeps the filter where it is: pushed down, it would compute all measures again, inside each other
+    found = judged(docs).withColumn("__here", F.rand()).filter("__quality.kept and __here >= 0")
+    return _with_text(found, docs.columns, F.col("__quality.clean_text"), F.col("__quality.hot_lines").isNotNull())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id; documents without words stay."""
-    first = similar_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of linked documents the row with the smallest id (null ids last, then by the row's hash).
+
+    Rows are told apart by all their columns, so several texts with one id, or without one, each have their component; of
+    repeated rows one stays. Documents without words are linked with nothing and stay; an empty table gives none.
+    """
+    keyed = docs.withColumn("__row", _row_key(docs))
+    of_row = similar_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = keyed.select("__row", "doc_id").distinct().join(of_row, "__row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
+    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that an earlier document has; a text that loses nothing stays as it is, one that loses all goes."""
-    cut = substring_dedup(docs).filter("n_removed > 0").select("doc_id", F.when(F.col("n_removed") < F.col("n_words"), F.col("kept_text")).alias("__dedup_text"), F.lit(True).alias("__dedup_cut"))
-    out = docs.join(cut, "doc_id", "left").filter("__dedup_cut is null or __dedup_text is not null")
-    text = F.when(F.col("__dedup_cut").isNull(), F.col("text")).otherwise(F.col("__dedup_text"))
-    return out.withColumn("n_chars", F.when(F.col("__dedup_cut").isNull(), F.col("n_chars")).otherwise(F.length("__dedup_text")).cast("long")).withColumn("text", text).drop("__dedup_text", "__dedup_cut").select(docs.columns)
+    """Texts without the words of passages that a document with a smaller id has.
+
+    A text that loses nothing stays as it is, one that loses all goes; rows with a null id stay as they are; an empty
+    table gives none.
+    """
+    cut = parsed(docs).filter("__cut.n_removed = 0 or __cut.n_removed < __cut.n_words")
+    return _with_text(cut, docs.columns, F.col("__cut.kept_text"), F.col("__cut.n_removed") > 0)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the test items."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents that aren't contaminated by the test items, row by row: null and repeated ids are judged like others; an empty table gives none."""
+    found = searched(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(~contaminated(F.col("__found.n_hit"), F.col("__found.n_words"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null text is its end alone; an empty table gives none."""
     return pack_documents(docs)

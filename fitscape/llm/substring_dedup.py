@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitscape.llm import textkit as kit
@@ -67,9 +67,9 @@ def in_bloom(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (at & mask) == mask
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, _text and _key: equal for repeated rows only."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("doc_id", "_text"))
+def _key(id_col: str, text_col: str) -> Column:
+    """Equal for rows of one id and text only."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 class Reference:
@@ -164,7 +164,8 @@ def _before(values: np.ndarray) -> np.ndarray:
 def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bloom_words: int = 1 << 20) -> DataFrame:
     """_key of a row (xxhash64 of id and text) and `found`: spans (begin, end: word positions; source: a smaller id that has them) that together cover the windows that also start in a smaller id."""
     spark = docs.sparkSession
-    rows = _keyed(docs, id_col, text_col).filter(F.col("doc_id").isNotNull() & F.col("_text").isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), _key(id_col, text_col).alias("_key"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("_text").isNotNull())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in small_slices(batches, "_text"):
@@ -294,30 +295,39 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cut, 0], reach[np.append(cut[1:], len(spans)) - 1]], axis=1)
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bloom_words: int = 1 << 20) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_removed, spans (begin, end: word positions, merged), factors (begin, end, source: the long factors of the parse and the smaller id that has each; null if none), kept_text.
-
-    Words are runs without white space. Removed is each word inside a window of min_words words whose words also start
-    in a row with a smaller id; ids are integers (others raise an error). kept_text joins the other words with one space.
-    Null texts have no words and give a kept_text of ''; rows with a null id are neither reference nor shortened; rows
-    with one id don't remove each other; very long texts are cut like others; an empty table gives none. Extra columns are
-    ignored.
-    """
-    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words, bloom_words=bloom_words)
+def parsed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bloom_words: int = 1 << 20) -> DataFrame:
+    """docs with a column __cut: n_words, n_removed, spans, factors and kept_text of substring_dedup()."""
+    place, plain = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+    found = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words, bloom_words=bloom_words)
+    rows = docs.withColumn("__key", _key(id_col, text_col)).toDF(*plain, "_key").join(found, "_key", "left").select(*plain, "found")
+    span, factor = pa.struct([("begin", pa.int32()), ("end", pa.int32())]), pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in small_slices(batches, "_text"):
+        for batch, texts in small_slices(batches, plain[place]):
             n_words, n_removed, spans, kept = [], [], [], []
-            for text, found in zip(texts, batch.column("found").to_pylist(), strict=True):
+            for text, factors in zip(texts, batch.column("found").to_pylist(), strict=True):
                 own = text.split()
-                parts = merged(np.array([(x["begin"], x["end"]) for x in found or []], np.int64).reshape(-1, 2)).tolist()
+                parts = merged(np.array([(x["begin"], x["end"]) for x in factors or []], np.int64).reshape(-1, 2)).tolist()
                 n_words.append(len(own)), n_removed.append(sum(b - a for a, b in parts))
                 spans.append([{"begin": a, "end": b} for a, b in parts])
                 stays = [w for a, b in zip([0, *(b for _, b in parts)], [*(a for a, _ in parts), len(own)], strict=True) for w in own[a:b]]
                 kept.append(b" ".join(stays).decode())
-            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), batch.column("found"), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "spans", "factors", "kept_text"])
+            fields = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), batch.column("found").cast(pa.list_(factor)), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(fields, ["n_words", "n_removed", "spans", "factors", "kept_text"])], [*plain, "cut"])
+
+    of_cut = "cast(null as struct<n_words:bigint,n_removed:bigint,spans:array<struct<begin:int,end:int>>,factors:array<struct<begin:int,end:int,source:bigint>>,kept_text:string>)"
+    schema = rows.drop("found").withColumn("cut", F.expr(of_cut)).schema
+    return rows.mapInArrow(cut, schema).toDF(*docs.columns, "__cut")
 
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<begin:int,end:int>>, factors array<struct<begin:int,end:int,source:bigint>>, kept_text string"
-    return _keyed(docs, id_col, text_col).join(spans, "_key", "left").select("doc_id", "_text", "found").mapInArrow(cut, schema)
+
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bloom_words: int = 1 << 20) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_removed, spans (begin, end: word positions, merged), factors (begin, end, source: the long factors of the parse and the smaller id that has each; null if none), kept_text.
+
+    Words are runs without white space. Removed is each word inside a window of min_words words whose words also start
+    in a row with a smaller id; ids are integers (others raise an error). kept_text joins the other words with one space.
+    Null texts have no words and give a kept_text of ''; rows with a null id are neither reference nor shortened; rows
+    with one id don't remove each other; very long texts are cut like others; an empty table gives none. Extra columns are
+    ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return parsed(rows, min_words=min_words, bloom_words=bloom_words).select("doc_id", "__cut.*")
