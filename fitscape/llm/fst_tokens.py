@@ -6,12 +6,18 @@ A character is then a map from states to states. These maps form a small monoid:
 products, so that a map is one number. Texts are laid out in chunks of equal length; all chunks are composed in step,
 a parallel prefix scan over the chunks' maps gives each chunk its start state, and a second pass reads off the cuts.
 
-The second transducer is the lexicon: the transition that ends a pretoken emits the count of its tokens, from the
-merges. Distinct pretokens of a slice are compiled at once; a text's count is the sum of what its transitions emit.
+The second transducer is the lexicon, compiled from the vocabulary's merges. Its input is a pretoken's bytes, and each
+transition emits how many tokens more the pretoken so far has (less than none where a byte lets tokens merge), so that
+the emissions of a pretoken sum to its count. A state is the longest end of what was read that still begins a token,
+with the last token and the count at each place in it: the next last token is the one ending here that no merge joins
+with the last token before it. States are numbered and transitions kept as texts need them. The distinct pretokens of a
+slice go through it in step; a text's count is the sum of what its transitions emit.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -115,12 +121,119 @@ class Segmenter:
         return np.flatnonzero(cut.T.reshape(-1)[:n])
 
 
+class Lexicon:
+    """The compiled lexicon: states, and transitions with the tokens that they emit."""
+
+    #: Transitions kept at once (with their states about 400 bytes each); beyond that all are compiled anew.
+    KEPT = 1 << 19
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        code = {c: b for b, c in enumerate(bpe.byte_letters())}
+        raw = lambda x: bytes(code[c] for c in x)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.merges = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
+        tokens = {raw(x) for x in spec["model"]["vocab"] if x not in set(self.special)}
+        self.longest = max(map(len, tokens))
+        self.begins = {x[:k] for x in tokens for k in range(1, len(x) + 1)}
+        self.tokens = tokens
+        self.edges: dict[bytes, tuple | None] = {}
+        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.states = [(b"", ((None, 0),))]
+        self.number = {self.states[0]: 0}
+        self.apart.clear()
+        self.keys, self.to, self.emits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _edges(self, token: bytes) -> tuple | None:
+        """The parts at the token's left and right edge while it is merged, each with the rank of the merge that ends it; None if merges don't make the token."""
+        if token not in self.edges:
+            parts: list[tuple] = [(token[i : i + 1], None) for i in range(len(token))]
+            left, right = [[parts[0][0], None]], [[parts[-1][0], None]]
+            while len(parts) > 1:
+                ranks = [self.merges.get((a[0], b[0]), math.inf) for a, b in zip(parts, parts[1:])]  # noqa: B905
+                rank = min(ranks)
+                if rank == math.inf:
+                    break
+                i = ranks.index(rank)
+                parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], rank)]
+                if i == 0:
+                    left[-1][1] = rank
+                    left.append([parts[0][0], None])
+                if i == len(parts) - 1:
+                    right[-1][1] = rank
+                    right.append([parts[-1][0], None])
+            ends = lambda x: [(p, math.inf if r is None else r) for p, r in x]
+            self.edges[token] = (ends(left), ends(right)) if len(parts) == 1 else None
+        return self.edges[token]
+
+    def stay_apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge ever joins the end of token a with the beginning of token b. Of equal ranks the merge on the left goes first."""
+        if (a, b) not in self.apart:
+            joins = ((self.merges.get((x, y), math.inf), ends_x, ends_y) for x, ends_x in self._edges(a)[1] for y, ends_y in self._edges(b)[0])
+            self.apart[a, b] = not any(rank < ends_x and rank <= ends_y and rank < math.inf for rank, ends_x, ends_y in joins)
+        return self.apart[a, b]
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, tokens emitted)."""
+        own, places = self.states[state]
+        text = own + bytes([byte])
+        for begin in range(max(0, len(text) - self.longest), len(text)):
+            last, before = text[begin:], places[begin]
+            if last in self.tokens and self._edges(last) and (before[0] is None or self.stay_apart(before[0], last)):
+                break
+        more = before[1] + 1
+        keep = next(k for k in range(len(text)) if text[k:] in self.begins)
+        made = (text[keep:], (*((t, n - more) for t, n in places[keep:]), (last, 0)))
+        if made not in self.number:
+            self.number[made] = len(self.states)
+            self.states.append(made)
+        return self.number[made], more
+
+    def counts(self, pretokens: list[bytes]) -> np.ndarray:
+        """Tokens of each pretoken, all read in step."""
+        if len(self.keys) > self.KEPT:
+            self._clear()
+        size = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        order = np.argsort(-size, kind="stable")
+        data, start = np.frombuffer(b"".join(pretokens), np.uint8), (np.cumsum(size) - size)[order]
+        longest_first = size[order]
+        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        for place in range(int(size.max(initial=0))):
+            on = int(np.searchsorted(-longest_first, -place))
+            key = state[:on] << 8 | data[start[:on] + place]
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            known = self.keys[at] == key if len(self.keys) else np.zeros(on, bool)
+            if not known.all():
+                new = np.unique(key[~known])
+                made = np.array([self._compile(int(k) >> 8, int(k) & 255) for k in new], np.int64)
+                keys = np.concatenate([self.keys, new])
+                by_key = np.argsort(keys)
+                self.keys, self.to, self.emits = keys[by_key], np.concatenate([self.to, made[:, 0]])[by_key], np.concatenate([self.emits, made[:, 1]])[by_key]
+                at = np.searchsorted(self.keys, key)
+            state[:on] = self.to[at]
+            total[:on] += self.emits[at]
+        out = np.empty(len(order), np.int64)
+        out[order] = total
+        return out
+
+
+@lru_cache(maxsize=4)
+def lexicon(path: str) -> Lexicon:
+    """Once for each Python worker."""
+    return Lexicon(path)
+
+
 @lru_cache(maxsize=1)
 def segmenter() -> Segmenter:
     return Segmenter()
 
 
-def token_counts(texts: list[bytes], model: bpe.Bpe) -> np.ndarray:
+def token_counts(texts: list[bytes], model: Lexicon) -> np.ndarray:
     """Tokens of each text; the strings of special tokens count as one each, as the library's default has it."""
     whole, owner, extra = [], [], np.zeros(len(texts), np.int64)
     marks = [(x, x.encode()) for x in model.special]
@@ -146,7 +259,7 @@ def token_counts(texts: list[bytes], model: bpe.Bpe) -> np.ndarray:
     h = kit.sequence_hashes(codes.astype(np.uint64) + np.uint64(0x1F123BB5), start, end)
     _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
     distinct = [joined[a:b].encode() for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-    emitted = np.diff(model.encode(distinct)[1])[inverse]
+    emitted = model.counts(distinct)[inverse]
     total = np.concatenate([[0], np.cumsum(emitted)])
     at = np.searchsorted(start, np.concatenate([[0], edges + 1]))
     np.add.at(extra, np.array(owner, np.int64), total[at[1:]] - total[at[:-1]])
@@ -157,7 +270,8 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = 1024,
     """One row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     `path` is a tokenizer file of byte-level BPE (byte_bpe_50k.json by default); no tokens are added. A null or empty
-    text has 0; null ids and repeated rows are counted like others; an empty table gives none; extra columns are ignored.
+    text has 0; null ids and repeated rows are counted like others; a very long text is a slice of its own; an empty table
+    gives none; extra columns are ignored.
     """
     if path is None:
         import public_tokenizers
@@ -166,7 +280,7 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = 1024,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.load(path)
+        model = lexicon(path)
         for batch, texts in small_slices(batches, "_text"):
             n = token_counts(texts, model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

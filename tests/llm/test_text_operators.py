@@ -313,7 +313,20 @@ def test_token_counts_match_the_library():
     random.seed(1)
     texts = TEXTS + ["".join(random.choices(["'", "s", "t", "r", "e", "v", "l", "d", " ", " ", "\n", "\t", "1", "é", "!", "<|endoftext|>"], k=random.randint(0, 300))) for _ in range(300)]
     expected = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert fst_tokens.token_counts([t.encode() for t in texts], bpe.load(path)).tolist() == expected
+    assert fst_tokens.token_counts([t.encode() for t in texts], fst_tokens.lexicon(path)).tolist() == expected
+
+
+def test_lexicon_transitions_sum_to_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, random_ = bpe.library(path), random.Random(11)
+    known = fst_tokens.Lexicon(path)
+    runs = ["a" * 500, "ab" * 300, "!!!!" * 50, "0123456789" * 20, "é" * 77, "".join(thue_morse(300))]
+    runs += ["".join(random_.choices("etaoinshr", k=random_.randint(1, 40))) for _ in range(400)]
+    expected = [len(library.encode(x, add_special_tokens=False).ids) for x in runs]
+    assert known.counts([x.encode() for x in runs]).tolist() == expected
+    monkeypatch.setattr(known, "KEPT", 10)  # all is compiled anew
+    assert known.counts([x.encode() for x in reversed(runs)]).tolist() == expected[::-1]
+    assert known.counts([]).tolist() == []
 
 
 def test_count_tokens(odd, empty):
