@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,6 +83,8 @@ def _keys(attributes: str) -> tuple[tuple[str, ...], bool]:
 def parse(source: str) -> Page:
     page = Page(["#page"], [-1], [()], [0], [0], [False], [()], [])
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements: tag, node that holds their text
+    places: dict[str, list[int]] = defaultdict(lambda: [0])  # of the open elements of each tag, and of all blocks
+    blocks = [0]
     parts: list[str] = []
     hidden = links = 0
     owner = 0
@@ -112,6 +114,9 @@ def parse(source: str) -> Page:
         nonlocal hidden, links
         while len(stack) > upto:
             tag, _ = stack.pop()
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
             hidden -= tag in _UNSEEN
             links -= tag == "a"
 
@@ -123,24 +128,21 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in _BLOCK:
-                        flush()
-                    close(k)
-                    break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
-                    break
+            k = places[tag][-1]
+            if k and (tag in _BLOCK or k > blocks[-1]):
+                if tag in _BLOCK:
+                    flush()
+                close(k)
             continue
         if tag in _BLOCK:
             flush()
         ends = _CLOSES.get(tag, ()) or (("p",) if tag in _ENDS_P else ())
-        for k in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[k][0] in ends:
-                close(k)
-                if tag != "tr":
-                    break
-            elif stack[k][0] in _SCOPE and stack[k][0] not in ends:
+        while ends:
+            k = max(places[x][-1] for x in ends)
+            if k <= max((places[x][-1] for x in _SCOPE if x not in ends), default=0):
+                break
+            close(k)
+            if tag != "tr":
                 break
         if tag in _VOID:
             if tag in ("br", "wbr", "hr", "img", "input"):
@@ -154,6 +156,9 @@ def parse(source: str) -> Page:
             page.tags.append(tag), page.parents.append(up), page.keys.append(keys)
             page.above.append(tuple(sorted({*page.above[up], *page.keys[up]} - {"text"})) if page.keys[up] else page.above[up])
             page.size.append(0), page.linked.append(0), page.main.append(main)
+        places[tag].append(len(stack))
+        if tag in _BLOCK:
+            blocks.append(len(stack))
         stack.append((tag, node))
         hidden += tag in _UNSEEN
         links += tag == "a"

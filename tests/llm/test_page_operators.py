@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(odd.limit(0), url_filter.train_url_model(odd.limit(0))).count() == 0
 
 
+def test_words_beside_seeds_block_without_them(spark):
+    hosts = ["casino-win", "free-bets", "casino-lucky", "poker-win", "cheap-pills"] * 8 + ["green-garden", "city-news", "open-library", "river-walks", "green-news"] * 40
+    model = url_filter.train_url_model(spark.createDataFrame([(k, f"http://{h}.example/{k}") for k, h in enumerate(hosts)], "page_id long, url string"))
+    new = spark.createDataFrame([(1, "http://win-lucky.example/1"), (2, "http://freewin.example/"), (3, "http://city-garden.example/2"), (4, "http://" + "x" * 200_000 + ".example/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(new, model).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_extraction_of_given_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     found = queries.op10_html_extract(spark, DATA).collect()
@@ -107,6 +115,13 @@ def test_marginals_are_exact():
     assert MODEL.marginals(page) == pytest.approx([x / total for x in on])
 
 
+def test_deep_pages_take_time_in_proportion():
+    source = "<article><p>kept" + "<b>" * 60_000 + "x" + "</i>" * 60_000 + "<p>" * 2000 + "y</article>"
+    start = time.process_time()
+    assert [t for _, t in html_extract.parse(source).blocks] == ["kept" + "x", "y"]
+    assert time.process_time() - start < 5
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<article><p>x</p></article>"), (2, "u", ""), (2, "u", ""), (3, "u", "<article><p>" + "w " * 50_000 + "</article>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in html_extract.extract(df, MODEL).collect()), key=repr)
