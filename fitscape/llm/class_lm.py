@@ -108,10 +108,13 @@ def best_classes(word: np.ndarray, k: np.ndarray, n: np.ndarray, joint: np.ndarr
     word, k, n = word[order], k[order], n[order].astype(float)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     grid = np.concatenate([joint.T, joint])  # count of each class with neighbour k
-    for at in range(0, len(first), 1 << 14):
-        low, high = first[at], first[at + (1 << 14)] if at + (1 << 14) < len(first) else len(word)
+    at = 0
+    while at < len(first):  # so many counts at a time that the temporaries stay small
+        stop = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 15))))
+        low, high = first[at], first[stop] if stop < len(first) else len(word)
         own = grid[k[low:high]]
-        gain[word[first[at : at + (1 << 14)]]] = np.add.reduceat(_xlogx(own + n[low:high, None]) - _xlogx(own), first[at : at + (1 << 14)] - low, axis=0)
+        gain[word[first[at:stop]]] = np.add.reduceat(_xlogx(own + n[low:high, None]) - _xlogx(own), first[at:stop] - low, axis=0)
+        at = stop
     for side, margin in ((k < classes, joint.sum(axis=1)), (k >= classes, joint.sum(axis=0))):
         total = np.bincount(word[side], n[side], minlength=words)[:, None]
         gain -= _xlogx(margin + total) - _xlogx(margin)
@@ -200,16 +203,15 @@ def train(rows: DataFrame) -> tuple[ClassModel, DataFrame]:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, state = seeds.value
-        sums: dict[str, np.ndarray] = {"k": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
+        sums = np.zeros(chosen * chosen, np.int64)  # at most CLUSTERED squared
         for _, texts in small_slices(batches, "_text"):
             s = state[_lookup(keys, np.append(END, _tokens(texts)[1]))]
             both = (s[:-1] < chosen) & (s[1:] < chosen)
             k, n = np.unique(s[:-1][both] * chosen + s[1:][both], return_counts=True)
-            k, at = np.unique(np.concatenate([sums["k"], k]), return_inverse=True)
-            sums["n"] = np.bincount(at, np.concatenate([sums["n"], n])).astype(np.int64)
-            sums["k"] = k
-        if len(sums["k"]):
-            yield pa.RecordBatch.from_arrays([pa.array(sums["k"]), pa.array(sums["n"])], ["k", "n"])
+            sums[k] += n
+        k = np.flatnonzero(sums)
+        for low in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(k[low : low + (1 << 16)]), pa.array(sums[k[low : low + (1 << 16)]])], ["k", "n"])
 
     grams = np.zeros((chosen, chosen), np.float64)  # at most CLUSTERED squared, whatever the corpus
     got = rows.select("_text").mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
