@@ -80,23 +80,22 @@ def family_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fam.select("family_id", F.explode(F.sequence(F.lit(0), F.lit(NODES - 1))).alias("node")).select("family_id", "node", _letter((F.col("node") + 26) * 7).alias("aa"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.translate(F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 300), "BJOU", "DLNC")
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id"), F.col("doc_id").alias("seq_id"), F.col("doc_id").alias("ord"), s.alias("raw"))
-
-
-def sequence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All letters of each document in successive pieces of 300, a row each; seq_id is doc_id * 2 ** 20 + piece. A document without letters has none."""
-    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOU", "DLNC")
+def _pieces(spark: SparkSession, sf_dir: str, letters: Column, size: int) -> DataFrame:
+    """All letters of each document in successive pieces of one size (the last may be shorter), a row each; seq_id is doc_id * 2 ** 20 + piece. A document without letters has none."""
     d = table(spark, sf_dir, "documents").select("lang", "doc_id", letters.alias("_s")).filter("length(_s) > 0")
-    d = d.select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / 300).cast("int")), lambda k: F.substring(F.col("_s"), 300 * k + 1, F.lit(300)))).alias("_k", "raw"))
+    d = d.select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / size).cast("int")), lambda k: F.substring(F.col("_s"), size * k + 1, F.lit(size)))).alias("_k", "raw"))
     seq_id = F.col("doc_id") * (1 << 20) + F.col("_k")
     return d.select(F.col("lang").alias("family_id"), seq_id.alias("seq_id"), seq_id.alias("ord"), "raw")
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 300 letters."""
+    return _pieces(spark, sf_dir, F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOU", "DLNC"), 300)
+
+
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.rpad(F.translate(F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, NODES), " ", "-"), NODES, "-")
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id"), F.col("doc_id").alias("seq_id"), F.col("doc_id").alias("ord"), s.alias("raw"))
+    """Pieces of NODES letters and spaces; a space, and what a last piece lacks, is a gap."""
+    return _pieces(spark, sf_dir, F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), " ", "-"), NODES).withColumn("raw", F.rpad("raw", NODES, "-"))
 
 
 def msa_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +148,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def properties(spark: SparkSession, sf_dir: str, texts=sequences) -> DataFrame:
+def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prop_id (family), aa, value: thousands of each letter in the family's sequences."""
-    seen = texts(spark, sf_dir).select(F.col("family_id").alias("prop_id"), F.explode(F.split("raw", "")).alias("aa")).groupBy("prop_id", "aa").agg(F.count("*").alias("n"))
+    seen = sequences(spark, sf_dir).select(F.col("family_id").alias("prop_id"), F.explode(F.split("raw", "")).alias("aa")).groupBy("prop_id", "aa").agg(F.count("*").alias("n"))
     grid = table(spark, sf_dir, "documents").select(F.col("lang").alias("prop_id")).distinct().select("prop_id", F.explode(F.split(F.lit(LETTERS), "")).alias("aa")).filter("aa != ''")
     return grid.join(seen, ["prop_id", "aa"], "left").select("prop_id", "aa", (F.coalesce("n", F.lit(0)) / 1000.0).alias("value"))
 
@@ -163,6 +162,11 @@ def _sql_letter(x: str) -> str:
     return f"substr({_L}, 1 + cast(({x}) % 20 as int), 1)"
 
 
+def _sql_pieces(letters: str, size: int, piece: str) -> str:
+    parts = f"select lang, doc_id, s, unnest(range(0, (length(s) + {size - 1}) // {size})) as k from (select lang, doc_id, {letters} as s from documents)"
+    return f"select lang as family_id, doc_id * {1 << 20} + k as seq_id, doc_id * {1 << 20} + k as ord, {piece} as raw from ({parts})"
+
+
 _ORDERS = """select concat('a', o_custkey % 3) as assay_id, o_orderkey as ord, 26 + o_orderkey // 57 as position, o_totalprice / 100000 as fitness,
  0.01::double * (1 + o_custkey % 10) as fitness_err, case when o_orderkey % 3 = 0 then 0 else 1 end as single from orders"""
 
@@ -183,8 +187,8 @@ CTES = {
     "nodes": """select assay_id, ord, single, idx, code, fitness, case when node_1 is null or (single = 0 and node_2 is null) then []::bigint[] when single = 1 then [node_1] else [node_1, node_2] end as nodes from placed""",
     "letters": f"select range as aa_idx, substr({_L}, 1 + cast(range as int), 1) as aa from range(20)",
     "family_residues": f"select family_id, node, {_sql_letter('(node + 26) * 7')} as aa from (select distinct lang as family_id from documents), (select range as node from range({NODES}))",
-    "sequences": "select lang as family_id, doc_id as seq_id, doc_id as ord, translate(substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 300), 'BJOU', 'DLNC') as raw from documents",
-    "msa": f"select lang as family_id, doc_id as seq_id, doc_id as ord, rpad(translate(substr(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), 1, {NODES}), ' ', '-'), {NODES}, '-') as raw from documents",
+    "sequences": _sql_pieces("translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOU', 'DLNC')", 300, "substr(s, 300 * k + 1, 300)"),
+    "msa": _sql_pieces("translate(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ', '-')", NODES, f"rpad(substr(s, {NODES} * k + 1, {NODES}), {NODES}, '-')"),
     "msa_columns": f"select family_id, col - col // 7 as match_column, col, col as node from (select distinct lang as family_id from documents), (select range as col from range({NODES})) where col % 7 != 6",
     "states": f"""select family_id, seq_id, s as match_states, round(c, 4) as coverage from (select family_id, seq_id, s, 1 - (length(s) - length(replace(s, '-', ''))) / (select count(*) from range({NODES}) where range % 7 != 6) as c
  from (select m.family_id, m.seq_id, string_agg(case when contains({_L}, substr(m.raw, 1 + cast(k.col as int), 1)) then substr(m.raw, 1 + cast(k.col as int), 1) else '-' end, '' order by k.col) as s from msa m join msa_columns k using (family_id) group by 1, 2)) where c >= 0.5""",

@@ -46,9 +46,10 @@ MERGED = """merged as (select *, fitness >= df - de and fitness <= df + de as si
 
 @query("select assay_id, ord, position, wt_aa, mut_aa, fitness from raw_single where position is not null")
 def assay_sheet(s, d):
-    """A sheet with its own column names, cleaned."""
-    raw = c.raw_single(s, d).withColumnsRenamed({"position": "Ambler Position", "wt_aa": "WT AA", "mut_aa": "Mutant AA", "fitness": "Fitness", "fitness_err": "Estimated error in fitness"})
-    return readers.clean_assay(raw, "single").select("assay_id", "ord", "position", "wt_aa", "mut_aa", "fitness")
+    """A sheet with its own column names and text cells, cleaned."""
+    raw = c.raw_single(s, d).withColumn("position", F.col("position").cast("string")).withColumn("fitness", F.col("fitness").cast("string"))
+    raw = raw.withColumnsRenamed({"position": "Ambler Position", "wt_aa": "WT AA", "mut_aa": "Mutant AA", "fitness": "Fitness", "fitness_err": "Estimated error in fitness"})
+    return readers.clean_assay(raw, "single").select("assay_id", "ord", F.col("position").cast("long").alias("position"), "wt_aa", "mut_aa", "fitness")
 
 
 @query("select assay_id, ord, idx from idx_single")
@@ -238,10 +239,6 @@ def cleaned(s, d):
     return family.clean_sequences(c.sequences(s, d))
 
 
-def cleaned_pieces(s, d):
-    return family.clean_sequences(c.sequence_pieces(s, d))
-
-
 CLEAN = f"clean as (select family_id, seq_id, raw as sequence from sequences where regexp_matches(raw, '^[{LETTERS}]+$'))"
 
 
@@ -254,7 +251,7 @@ def clean_sequences(s, d):
 def align_to_reference(s, d):
     """All clean pieces of the whole texts against the wild-type letters."""
     letters = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
-    return family.filter_by_identity(cleaned_pieces(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
+    return family.filter_by_identity(cleaned(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
 
 
 @query("select seq_id from sequences order by seq_id limit 100")
@@ -416,16 +413,18 @@ def candidate_pairs(s, d):
     return cluster.candidate_pairs(kmer_sets(s, d)).select("a", "b")
 
 
-@query(f"with {KMERS}, {PAIRS} select a, b, round(i / (x + y - i), 6) as similarity from (select a, b, len(list_intersect(p.ks, q.ks)) as i, len(p.ks) as x, len(q.ks) as y from cand join km p on p.seq_id = a join km q on q.seq_id = b) where i >= 0.5 * (x + y - i)")
+@query(f"""with {KMERS}, {PAIRS}, each as (select seq_id, unnest(ks) as x from km), common as (select p.seq_id as a, q.seq_id as b, count(*) as i from each p join each q on p.x = q.x and p.seq_id < q.seq_id group by 1, 2),
+near as (select a, b, i, len(p.ks) as x, len(q.ks) as y from common join km p on p.seq_id = a join km q on q.seq_id = b where i >= 0.5 * (len(p.ks) + len(q.ks) - i))
+select a, b, round(i / (x + y - i), 6) as similarity from near semi join cand using (a, b)""")
 def similar_pairs(s, d):
     return cluster.similar_pairs(kmer_sets(s, d)).withColumn("similarity", r6("similarity"))
 
 
 @query()
 def cluster_sequences(s, d):
-    return cluster.cluster_sequences(cleaned_pieces(s, d))
+    return cluster.cluster_sequences(cleaned(s, d))
 
 
 @query()
 def cluster_stats(s, d):
-    return cluster.cluster_stats(cluster.cluster_sequences(cleaned_pieces(s, d)))
+    return cluster.cluster_stats(cluster.cluster_sequences(cleaned(s, d)))

@@ -406,7 +406,7 @@ def score_batches(s, d):
     width = 2 * (40 + 3 * c.properties(s, d).select("prop_id").distinct().count()) + 1
     rng = np.random.default_rng(7)
     net = scoring.mlp(rng.normal(0, 0.1, (16, width)), rng.normal(0, 0.1, 16), rng.normal(0, 0.1, 16), 0.1)
-    known = features.standardize_properties(c.properties(s, d, c.sequence_pieces))
+    known = features.standardize_properties(c.properties(s, d))
     return scoring.score_batches(features.variant_features(c.block_variants(s, d), c.block_mapping(s, d), known), net, width, ["assay_id", "ord"]).withColumn("prediction", r6("prediction"))
 
 

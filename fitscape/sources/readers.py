@@ -27,7 +27,7 @@ def clean_assay(df: DataFrame, kind: str) -> DataFrame:
     out = df.withColumnsRenamed(names)
     for c, t in out.dtypes:
         if c in ("position", "fitness", "fitness_err", "mut1_fitness", "mut1_err", "mut2_fitness", "mut2_err", "epistasis") and t == "string":
-            out = out.withColumn(c, F.try_to_number(F.col(c), F.lit("S999999999.999999999")).cast("double"))
+            out = out.withColumn(c, F.col(c).try_cast("double"))
     return out.na.drop(subset=_KEYS[kind])
 
 

@@ -14,6 +14,9 @@ def test_assay(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Ambler Position,WT AA,Mutant AA,Fitness,Estimated error in fitness\n26,H,A,0.5,0.1\n,H,A,0.5,0.1\n27,P,R,,\n")
     df = readers.read_assay(spark, str(tmp_path / "s.csv"), "single")
     assert got(df, "position", "wt_aa", "fitness") == [(26.0, "H", 0.5), (27.0, "P", None)]
+    (tmp_path / "t.csv").write_text("Ambler Position,WT AA,Mutant AA,Fitness,Estimated error in fitness\n26,H,A,0.502826123456789,1.5e-05\n27,P,R,-2E+3,n/a\n")
+    cells = readers.read_assay(spark, str(tmp_path / "t.csv"), "single")
+    assert got(cells, "fitness", "fitness_err") == [(-2000.0, None), (0.502826123456789, 1.5e-05)]
     with pytest.raises(ValueError, match="kind"):
         readers.clean_assay(df, "triple")
     assert readers.clean_assay(df, "pair").columns == df.columns
