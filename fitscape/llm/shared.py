@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one is set on a single machine (tests), and a cluster must name one."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
