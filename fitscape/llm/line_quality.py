@@ -24,8 +24,14 @@ def _has_word(line: Column) -> Column:
     return F.length(F.translate(line, BLANK_CHARS, "")) > 0
 
 
-def _hashed(line: Column) -> Column:
-    return F.xxhash64(F.translate(F.trim(F.regexp_replace(F.lower(line), BLANK, " ")), "123456789", "000000000"))
+def _tidy(text: Column) -> Column:
+    """Of a whole text, line by line, or of a line: lower case, one space for white space and 0 for a digit; spaces at a line's ends stay."""
+    return F.regexp_replace(F.translate(F.lower(text), "\t\x0b\x0c\r123456789", "    000000000"), " {2,}", " ")
+
+
+def _line_hashes(text: Column) -> Column:
+    """Of the lines with a word."""
+    return F.transform(F.filter(F.split(_tidy(text), "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))
 
 
 def _word_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -57,10 +63,11 @@ def _word_stats(docs: DataFrame, text: str) -> DataFrame:
 
 def hot_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, max_share: float) -> DataFrame:
     """__host and __hot: hashes of the lines in more than min_docs distinct documents of the host and in more than max_share of these."""
-    lines = F.array_distinct(F.transform(F.filter(F.split(text_col, "\n"), _has_word), _hashed))
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(host_col, F.lit("")).alias("__host"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("copy"), lines.alias("lines"))
-    hosts = docs.select(F.coalesce(host_col, F.lit("")).alias("__host"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("copy")).distinct().groupBy("__host").agg(F.count("*").alias("docs"))
-    of_line = rows.select("__host", "copy", F.explode("lines").alias("line")).distinct().groupBy("__host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    copy = F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("copy")
+    # explode_outer: a filter inferred from explode would compute all hashes once more
+    rows = docs.select(F.coalesce(host_col, F.lit("")).alias("__host"), copy, F.explode_outer(F.array_distinct(_line_hashes(F.col(text_col)))).alias("line"))
+    hosts = docs.select(F.coalesce(host_col, F.lit("")).alias("__host"), copy).distinct().groupBy("__host").agg(F.count("*").alias("docs"))
+    of_line = rows.filter("line is not null").distinct().groupBy("__host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     hot = of_line.join(hosts, "__host").filter(F.col("n") > max_share * F.col("docs"))
     return stored(hot.groupBy("__host").agg(F.collect_list("line").alias("__hot")), "hot-lines")
 
@@ -74,7 +81,7 @@ def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
     if (hot.agg(F.sum(F.size("__hot") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     rows = _word_stats(rows, "__text").join(hot, "__host", "left")
-    rows = rows.withColumn("__line", F.when(F.col("__hot").isNotNull(), F.transform("__own", _hashed)))
+    rows = rows.withColumn("__line", F.when(F.col("__hot").isNotNull(), _line_hashes(F.col("__text"))))
     rows = rows.withColumn("__found", F.when(F.arrays_overlap("__line", "__hot"), F.array_intersect("__line", "__hot")))
     at = F.array_compact(F.transform("__line", lambda h, i: F.when(F.array_contains("__found", h), i)))
     rows = rows.withColumn("__hot_lines", F.when(F.col("__found").isNotNull(), at))
@@ -83,7 +90,7 @@ def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
     rows = rows.withColumn("__base_failed", (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words")))
     left = F.col("__n_words") - F.col("__n_hot_words")
     rows = rows.withColumn("__kept", ~F.col("__base_failed") & (left >= min_left * F.col("__n_words")))
-    stays = lambda x: ~(_has_word(x) & F.array_contains("__found", _hashed(x)))
+    stays = lambda x: ~(_has_word(x) & F.array_contains("__found", F.xxhash64(F.trim(_tidy(x)))))
     rows = rows.withColumn("__clean_text", F.when(F.col("__found").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), stays), "\n")))
     return rows.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(docs.columns)], F.struct(*[F.col(f"__{x}").alias(x) for x in fields]).alias("__quality"))
 

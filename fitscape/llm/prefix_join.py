@@ -206,7 +206,7 @@ def _lists(of_docs: DataFrame, groups: DataFrame, percent: int, scratch: Scratch
     induction the first shingle of each run that two prefixes share gives the pair, in whatever list that one is.
     """
     shingle = F.transform("prefix", lambda x, i: F.struct(x.alias("tok"), i.cast("int").alias("i"), F.when(i > F.col("seen"), F.get("prefix", i - 1)).alias("prev"), (i >= F.col("hot")).alias("hot")))
-    postings = of_docs.filter("prefix is not null").select("grp", "n", F.explode(shingle).alias("x")).select("x.tok", "grp", "n", "x.i", "x.prev", "x.hot")
+    postings = of_docs.filter("prefix is not null").select("grp", "n", F.explode_outer(shingle).alias("x")).select("x.tok", "grp", "n", "x.i", "x.prev", "x.hot")
     by_token = Window.partitionBy("tok")
     cold = postings.filter("not hot").drop("hot").withColumn("_lo", F.min("grp").over(by_token)).withColumn("_hi", F.max("grp").over(by_token)).filter("_lo < _hi").drop("_lo", "_hi").distinct()
     # the nearest sizes in a list tell whether any is near enough
