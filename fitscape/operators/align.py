@@ -52,34 +52,43 @@ def align_pairs(sequences: list[str], reference: str) -> list[list[int]]:
         extends[:, 2:] = left[:, 1:-1] + EXTEND > new[:, 1:-1] + OPEN + 1e-9
         back[i] = bits | source | np.where(extends, 8, 0).astype(np.uint8)
         best = new
-    out = []
-    for r, s in enumerate(sequences):
-        i, j, place, state = len(s), m, [-1] * len(s), 0
-        while i or j:
-            b = int(back[i, r, j])
-            if state == 0:
-                state = b & 3 if i and j else (1 if i else 2)
-                if state == 0:
-                    place[i - 1] = j - 1
-                    i, j = i - 1, j - 1
-            elif state == 1:
-                state = 1 if (b & 4 and i > 1) or (j == 0 and i > 1) else 0
-                i -= 1
-            else:
-                state = 2 if (b & 8 and j > 1) or (i == 0 and j > 1) else 0
-                j -= 1
-        out.append(place)
-    return out
-
-
-def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "seq_id", seq_col: str = "sequence", batch: int = 256) -> DataFrame:
-    """Adds node_of (reference position of each letter, -1 if none), n_mapped, n_equal, percent_identity (equal by mapped; null if none) and full_identity (equal by reference length). Null and empty sequences map nothing."""
+    # the way back, all rows in step
+    i, j = np.array([len(s) for s in sequences]), np.full(k, m)
+    place, state = np.full((k, max(n, 1)), -1), np.zeros(k, np.int64)
+    while True:
+        on = np.flatnonzero((i > 0) | (j > 0))
+        if not len(on):
+            return [place[r, : len(s)].tolist() for r, s in enumerate(sequences)]
+        at_i, at_j = i[on], j[on]
+        bits = back[at_i, on, at_j]
+        source = np.where((at_i > 0) & (at_j > 0), bits & 3, np.where(at_i > 0, 1, 2))
+        now = np.where(state[on] == 0, source, state[on])
+        pair, above = now == 0, now == 1
+        place[on[pair], at_i[pair] - 1] = at_j[pair] - 1
+        goes_up = above & (at_i > 1) & ((bits & 4 > 0) | (at_j == 0))
+        goes_left = (now == 2) & (at_j > 1) & ((bits & 8 > 0) | (at_i == 0))
+        state[on] = np.where(goes_up, 1, np.where(goes_left, 2, 0))
+        i[on] -= pair | above
+        j[on] -= ~above
+
+
+#: Cells of one batch's way back, a byte each.
+CELLS = 32 << 20
+
+
+def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "seq_id", seq_col: str = "sequence", batch: int = 256, cells: int = CELLS) -> DataFrame:
+    """Adds node_of (reference position of each letter, -1 if none), n_mapped, n_equal, percent_identity (equal by mapped; null if none) and full_identity (equal by reference length). Null and empty sequences map nothing. Sequences of like length go in one batch, as many as `cells` allows."""
     schema = ", ".join(f"{n} {t}" for n, t in sequences.dtypes) + ", node_of array<int>, n_mapped int, n_equal int, percent_identity double, full_identity double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for low in range(0, len(whole), batch):
-                pdf = whole.iloc[low : low + batch]
+            size = whole[seq_col].str.len().fillna(0).to_numpy()
+            whole, size = whole.iloc[np.argsort(-size, kind="stable")], -np.sort(-size)
+            low = 0
+            while low < len(whole):
+                high = low + max(1, min(batch, int(cells / ((size[low] + 1) * (len(reference) + 1)))))
+                pdf = whole.iloc[low:high]
+                low = high
                 texts = [x or "" for x in pdf[seq_col]]
                 maps = align_pairs(texts, reference)
                 mapped = [sum(x >= 0 for x in m) for m in maps]
@@ -87,3 +96,14 @@ def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "s
                 yield pdf.assign(node_of=maps, n_mapped=mapped, n_equal=equal, percent_identity=[e / n if n else None for e, n in zip(equal, mapped, strict=True)], full_identity=[e / len(reference) if reference else None for e in equal])
 
     return sequences.repartition(F.length(F.col(seq_col)), F.col(id_col)).mapInPandas(run, schema)
+
+
+def experiment_mapping(experiments: DataFrame, reference: str) -> DataFrame:
+    """assay_id, single, idx, node, wt_aa: each experiment's sequence (one a row of assay_id and single) aligned on the structure's letters.
+
+    idx is a letter's place in the experiment and node the aligned place in the structure; unaligned letters have no
+    row, and a null or empty sequence none at all.
+    """
+    own = align_to_reference(experiments.select("assay_id", "single", "sequence"), reference, id_col="assay_id")
+    at = own.select("assay_id", "single", "sequence", F.posexplode("node_of").alias("idx", "node")).filter("node >= 0")
+    return at.select("assay_id", "single", F.col("idx").cast("long").alias("idx"), F.col("node").cast("long").alias("node"), F.substring(F.col("sequence"), F.col("idx") + 1, F.lit(1)).alias("wt_aa"))

@@ -254,6 +254,15 @@ def align_to_reference(s, d):
     return family.filter_by_identity(cleaned(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
 
 
+@query()
+def experiment_mapping(s, d):
+    """The experiments of each block of orders, aligned on the wild-type letters."""
+    letters = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
+    single = assay.experiment_sequence(c.raw_single(s, d, c._blocks)).withColumn("single", F.lit(1))
+    pair = assay.experiment_sequence(c.raw_pair(s, d, c._blocks), "wt_aa_1").withColumn("single", F.lit(0))
+    return align.experiment_mapping(single.unionByName(pair), letters)
+
+
 @query("select seq_id from sequences order by seq_id limit 100")
 def cap_records(s, d):
     """The first 100 records are the feature."""

@@ -73,6 +73,19 @@ def test_alignment_is_optimal():
             assert score(places, s, reference) == pytest.approx(best_score(s, reference))
 
 
+def test_experiment_mapping(spark):
+    experiments = [("a", 1, STRUCTURE[5:120]), ("a", 0, STRUCTURE[:40] + STRUCTURE[60:]), ("b", 1, None), ("c", 1, "")]
+    df = spark.createDataFrame(experiments, "assay_id string, single int, sequence string")
+    got = {}
+    for r in align.experiment_mapping(df, STRUCTURE).collect():
+        got.setdefault((r["assay_id"], r["single"]), {})[r["idx"]] = (r["node"], r["wt_aa"])
+    assert set(got) == {("a", 1), ("a", 0)}
+    for key, sequence in (("a", 1), experiments[0][2]), (("a", 0), experiments[1][2]):
+        (places,) = align.align_pairs([sequence], STRUCTURE)
+        assert got[key] == {i: (p, sequence[i]) for i, p in enumerate(places) if p >= 0}
+    assert got["a", 1][0] == (5, STRUCTURE[5]) and got["a", 0][40] == (60, STRUCTURE[60])
+
+
 def test_alignment_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "seq_id long, sequence string")
     assert rows(align.align_to_reference(df, "ARN"), "n_mapped", "percent_identity") == [(0, None), (0, None)]
