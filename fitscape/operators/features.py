@@ -32,7 +32,7 @@ def property_arrays(props: DataFrame) -> DataFrame:
 
 def _with_props(df: DataFrame, letter: str, props: DataFrame, name: str) -> DataFrame:
     """Adds the property array of a letter column; zeros for other letters. The table of 20 rows is broadcast."""
-    width = len(props.select("prop_id").distinct().limit(1000).collect())
+    width = props.select("prop_id").distinct().count()
     table = property_arrays(props).select(F.col("aa").alias(letter), F.col("props").alias(name))
     zeros = F.array_repeat(F.lit(0.0), width)
     return df.join(F.broadcast(table), letter, "left").withColumn(name, F.coalesce(name, zeros))

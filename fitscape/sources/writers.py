@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Overwrites; CSV has a header; partitioned by the given keys (assay, family)."""
+    """Overwrites; CSV has a header, JSON (of summaries) a line a row; partitioned by the given keys (assay, family)."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -22,6 +22,12 @@ def test_assay(spark, tmp_path):
     assert readers.clean_assay(df, "pair").columns == df.columns
 
 
+def test_summary(spark, tmp_path):
+    writers.write_table(spark.createDataFrame([("a", 3, 0.25), ("b", 1, None)], "model string, n long, rho double").coalesce(1), str(tmp_path / "s"), "json")
+    lines = [x for p in (tmp_path / "s").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(lines) == ['{"model":"a","n":3,"rho":0.25}', '{"model":"b","n":1}']
+
+
 def test_a2m(spark, tmp_path):
     (tmp_path / "f.a2m").write_text(">query one\nAC-d\nEF.\n>two\nA-\n\n>empty\n>last\nGG\n")
     df = readers.read_a2m(spark, str(tmp_path / "f.a2m"))
