@@ -462,6 +462,41 @@ def test_rare_words_are_joined(odd, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"], r["n_tokens"]]) and r["n_known"] == r["n_tokens"] and math.isfinite(r["score"])
 
 
+@pytest.mark.parametrize("frequent", [1 << 17, 12])
+def test_scores_against_the_plain_model(odd, monkeypatch, frequent):
+    """Given the words' classes, the transitions, emissions and scores of a plain class bigram model."""
+    rows, df = odd
+    monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 8)
+    learn = df.filter("doc_id is null or doc_id % 3 > 0")
+    model, counts = class_lm.train(learn.select(F.col("text").alias("_text")))
+    known = {r["w"]: (r["c"], r["cls"]) for r in counts.collect()}
+    end = int(np.array([class_lm.END]).view(np.int64)[0])
+    key = lambda w: int(textkit.words([w.encode()], lower=True)[3].view(np.int64)[0])
+    tokens = lambda t: [end, *map(key, WORD.findall(t or "")), end]
+    states, joint = class_lm.CLASSES + 1, np.zeros((class_lm.CLASSES + 1,) * 2)
+    seen = Counter()
+    for d, t, *_ in rows:
+        if d is None or d % 3:
+            w = tokens(t)
+            seen.update(w[1:])
+            for a, b in zip(w, w[1:]):  # noqa: B905
+                joint[known[a][1], known[b][1]] += 1
+    assert {w: c for w, (c, _) in known.items()} == seen
+    once = max(0.5, sum(c == 1 for c in seen.values()))
+    joint[:, -1] += once * joint.sum(axis=1) / max(1, joint.sum())
+    unigram = (joint.sum(axis=0) + 0.5) / (joint.sum() + 0.5 * states)
+    follow = (joint + 20 * unigram) / (joint.sum(axis=1, keepdims=True) + 20)
+    mass = np.bincount([k for _, k in known.values()], [c for c, _ in known.values()], minlength=states)
+    mass[-1] += once
+    expected = Counter()
+    for d, t, *_ in rows:
+        at = [known.get(w, (once, states - 1)) for w in tokens(t)]
+        expected[d, round(sum(math.log10(follow[a[1], b[1]]) + math.log10(b[0] / mass[b[1]]) for a, b in zip(at, at[1:])), 6)] += 1  # noqa: B905
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in class_lm.score(df, model, counts).collect())
+    assert sum((got & expected).values()) >= 0.97 * len(rows) and sorted(x for _, x in got.elements()) == pytest.approx(sorted(x for _, x in expected.elements()), abs=1e-5)
+
+
 def test_digest_columns(spark):
     r = queries.op6_substring_dedup(spark, DATA).filter("n_removed = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").filter(F.col("doc_id") == r["doc_id"]).first()["text"]
