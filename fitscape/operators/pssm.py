@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, aa_index
 
+BROADCAST_COLUMNS = 200_000
+
 
 def thread_sequences(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states."""
+    """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states. Up to BROADCAST_COLUMNS columns of all families are broadcast, so that letters aren't shuffled by the few columns."""
     letters = rows.select("family_id", "seq_id", F.posexplode(F.split("match_states", "")).alias("match_column", "aa")).filter("aa != ''")
-    return letters.join(columns.select("family_id", "match_column", "node"), ["family_id", "match_column"]).select("family_id", "seq_id", "node", "aa", aa_index(F.col("aa")).alias("aa_idx"))
+    nodes = columns.select("family_id", "match_column", "node")
+    nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS else nodes
+    return letters.join(nodes, ["family_id", "match_column"]).select("family_id", "seq_id", "node", "aa", aa_index(F.col("aa")).alias("aa_idx"))
 
 
 def pssm_counts(threaded: DataFrame, residues: DataFrame) -> DataFrame:
