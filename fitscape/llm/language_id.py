@@ -132,7 +132,8 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
 
     lang_pred is the nearest centroid's language, or und for a null text or one without letters (score 0). rejected says
     that the text is farther from that centroid than any text that it was made of; callers that want a reject class use
-    it. Null ids and repeated rows are judged like others; an empty table gives none; extra columns are ignored.
+    it. Of equal cosines the first language by name is taken; very long texts are counted in pieces, whole. Null ids and
+    repeated rows are judged like others; an empty table gives none; extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))

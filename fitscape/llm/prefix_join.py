@@ -292,6 +292,9 @@ def _likely(pairs: DataFrame, of_docs: DataFrame, percent: int, scratch: Scratch
     gids = scratch.stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct(), "candidates")
     asked = F.broadcast(gids) if gids.count() <= BROADCAST_IDS else gids
     own = of_docs.filter("wide is not null").select("gid", "wide").join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("wide").alias("w"))
+    own = scratch.stored(own, "candidates")
+    if (own.agg(F.sum(F.size("w") + 1)).first()[0] or 0) <= BROADCAST_IDS:
+        own = F.broadcast(own)
     both = pairs.join(own.select(F.col("gid").alias("a"), F.col("w").alias("wa")), "a").join(own.select(F.col("gid").alias("b"), F.col("w").alias("wb")), "b")
     size = F.least(F.size("wa"), F.size("wb"))  # similar sizes are a factor of two apart at most
     xor = lambda x, y: x.bitwiseXOR(y)

@@ -406,6 +406,32 @@ def test_language_id(spark, odd, empty):
     assert not language_id.has_letter(b"12 !?") and language_id.has_letter("é".encode()) and not language_id.has_letter("½ 🎉".encode())
 
 
+def test_language_id_against_the_plain_version(odd):
+    rows, df = odd
+    model = language_id.train_centroids(df)
+    taught = [t for _, t, lang, _ in rows if t is not None and lang is not None]
+    grams = {t: {k: n for k, n in enumerate(language_id.ngram_counts([t.encode()])[0].tolist()) if n} for t in {t for _, t, *_ in rows if t}}
+    seen = Counter(k for t in taught if t for k in grams[t])
+    idf = [math.log((1 + len(taught)) / (1 + seen[k])) + 0.1 for k in range(language_id.SIZE)]
+    assert model.idf.tolist() == pytest.approx(idf, rel=1e-4)
+    found = {(r["doc_id"], round(r["score"], 4)): r for r in language_id.identify(df, model).collect()}
+    checked = 0
+    for d, t, *_ in rows:
+        if t and any(c.isalpha() for c in t) and len(t) < 2000:
+            x = {k: math.log1p(n) * idf[k] for k, n in grams[t].items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            cosines = [sum(v * float(c[k]) for k, v in x.items()) / norm for c in model.vectors]
+            best = max(cosines)
+            r = next(found[key] for key in found if key[0] == d and abs(key[1] - best) < 2e-3)
+            assert r["lang_pred"] in {lang for lang, c in zip(model.languages, cosines, strict=True) if c > best - 1e-4}
+            checked += 1
+    assert checked > 30
+    # n-grams of a plain count
+    for text in ("Abc  12 déF", "a", "x y x y x y"):
+        b = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.encode().lower())
+        assert language_id.ngram_counts([text.encode()]).sum() == sum(max(0, len(b) - n + 1) for n in (1, 2, 3))
+
+
 def test_class_lm(odd, empty):
     rows, df = odd
     model, counts = class_lm.train(df.select(F.col("text").alias("_text")))
