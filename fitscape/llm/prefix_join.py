@@ -180,11 +180,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = scratch.stored(of_docs.filter("gid is not null").groupBy("gid").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in BITS], F.min("doc_id").alias("doc_id"), F.min("_key").alias("_key")), "groups")
     short, long = _lists(of_docs, groups, percent, scratch)
     link = lambda pairs: _links(rows, groups, _likely(pairs, of_docs, percent, scratch), size, percent)
-    comps, tables = None, []
+    comps, tables, judged = None, [], None
     for k in range(rounds + 1):
         now = long.withColumn("comp", F.col("gid")) if comps is None else long.join(comps.withColumnRenamed("node", "gid"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
         pairs = _with_leaders(now, k, percent) if k < rounds else _all_crossing(now, percent, scratch)
-        found = link(short.unionByName(pairs).distinct() if k == 0 else pairs)
+        pairs = short.unionByName(pairs).distinct() if judged is None else pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = scratch.stored(pairs, "judged")
+        judged = pairs.select("a", "b") if judged is None else judged.union(pairs.select("a", "b"))
+        found = link(pairs)
         scratch.clear("candidates", "main-component")
         comps = _joined(comps, found)
         tables += [found, comps]
@@ -288,13 +291,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, of_docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets differ by few enough parities."""
-    pairs = scratch.stored(pairs, "candidates")
     gids = scratch.stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct(), "candidates")
     asked = F.broadcast(gids) if gids.count() <= BROADCAST_IDS else gids
     own = of_docs.filter("wide is not null").select("gid", "wide").join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("wide").alias("w"))
-    own = scratch.stored(own, "candidates")
-    if (own.agg(F.sum(F.size("w") + 1)).first()[0] or 0) <= BROADCAST_IDS:
-        own = F.broadcast(own)
     both = pairs.join(own.select(F.col("gid").alias("a"), F.col("w").alias("wa")), "a").join(own.select(F.col("gid").alias("b"), F.col("w").alias("wb")), "b")
     size = F.least(F.size("wa"), F.size("wb"))  # similar sizes are a factor of two apart at most
     xor = lambda x, y: x.bitwiseXOR(y)

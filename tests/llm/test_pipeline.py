@@ -73,7 +73,8 @@ def test_stages_match_the_plain_version(spark, tables, given):
         out = stage(spark, out, path)
         assert out.columns == docs.columns, name
     got = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert got == dict(plain_pipeline(rows, kept, items))
+    none = [r["text"] for r in docs.collect() if r["doc_id"] is None]
+    assert {k: v for k, v in got.items() if k is not None} == dict(plain_pipeline(rows, kept, items)) and (None not in got or got[None] in none)
     pieces = corpus_pipeline.STAGES[-1][1](spark, out, path).collect()
     assert {r["doc_id"] for r in pieces} == set(got)
     whole = Counter()
@@ -82,6 +83,17 @@ def test_stages_match_the_plain_version(spark, tables, given):
     assert all(whole[r["doc_id"]] == r["doc_tokens"] for r in pieces)
 
 
+def test_rows_without_an_id_of_their_own_stay(spark, tmp_path):
+    """Null ids, and one id with several texts: each text is a row of its own in every stage; of repeated rows one stays."""
+    own = lambda k: " ".join(f"w{'abcde'[k % 5]}{'f' * (k // 5 + 1)}x{'g' * (j + 1)}" for j in range(30))
+    rows = [(None, own(1)), (None, own(2)), (7, own(3)), (7, own(4)), (7, own(4)), (9, own(1))]
+    docs = spark.createDataFrame([(d, t, "s", len(t)) for d, t in rows], "doc_id long, text string, source string, n_chars long")
+    spark.createDataFrame([(None, "no such words"), (1, own(8))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted([(9, own(1)), (None, own(2)), (7, own(3)), (7, own(4))], key=repr)
+
+
 def test_run_and_empty_tables(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, tables).count() > 20
     for name in ("documents", "benchmark"):
