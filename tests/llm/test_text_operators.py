@@ -198,9 +198,9 @@ def test_merged_spans():
 def plain_contamination(text, items, size=13):
     phrases = defaultdict(set)
     for i, t in items:
-        w = ALNUM.findall(lower(t)) if t is not None and i is not None else []
+        w = ALNUM.findall(lower(t)) if t is not None else []
         for j in range(max(1, len(w) - size + 1) if w else 0):
-            phrases[tuple(w[j : j + size])].add(str(i))
+            phrases[tuple(w[j : j + size])].update([str(i)] if i is not None else [])  # one without an id is searched for, not listed
     w, hit, found = ALNUM.findall(lower(text or "")), set(), set()
     for n in {len(p) for p in phrases}:
         for i in range(len(w) - n + 1):
