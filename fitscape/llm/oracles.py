@@ -43,4 +43,51 @@ both_ways as (select a, b from links union select b, a from links),
 reach as (select a as doc_id, a as r from both_ways union select reach.doc_id, b from reach join both_ways on a = r)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.r, d.doc_id)) as component_id from d left join n using (doc_id) left join (select doc_id, min(r) as r from reach group by 1) m using (doc_id)"""
 
-ORACLES = {"op2_decontaminate": _OP2, "op6_substring_dedup": _OP6, "op7_line_quality": _OP7, "op9_prefix_join": _OP9}
+_OP11 = """with d as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+tops as (select payload_digest, max(page_id) as top from d where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, payload_digest, case when top is not null and page_id is distinct from top then 'revisit' else 'response' end as record_type, case when page_id is distinct from top then top end as refers_to
+from d left join tops using (payload_digest)"""
+
+
+def _vectors(scale: int, keep: str = "true") -> str:
+    """rid, vec_id, label and v, the integer components of whole vectors."""
+    return f"""select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: floor(x::double * {scale})::bigint) as v from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and {keep}"""
+
+
+_FLOOR_MEAN = "((s - ((s % n) + n) % n) // n)::bigint"
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    found = f"select rid, p, min(d * {entries} + e) as m from (select x.rid, x.p, e, sum((x.y - b.y) * (x.y - b.y)) as d from x join {{book}} b using (p, j) group by 1, 2, 3) group by 1, 2"
+    ctes = [
+        f"kept as materialized ({_vectors(scale)})", f"x as materialized (select rid, (i - 1) // (len(v) // {parts}) as p, (i - 1) % (len(v) // {parts}) as j, v[i] as y from (select rid, v, unnest(range(1, len(v) + 1)) as i from kept))",
+        f"b0 as materialized (select p, e, j, y from x join (select rid, row_number() over (order by vec_id) - 1 as e from kept) using (rid) where e < {entries})",
+    ]
+    for k in range(rounds):
+        ctes.append(f"a{k} as materialized ({found.format(book=f'b{k}')})")
+        ctes.append(f"""b{k + 1} as materialized (select b.p, b.e, b.j, case when n > 0 then {_FLOOR_MEAN} else b.y end as y from b{k} b
+ left join (select p, m % {entries} as e, j, count(*) as n, sum(y) as s from a{k} join x using (rid, p) group by 1, 2, 3) using (p, e, j))""")
+    ctes.append(f"a{rounds} as materialized ({found.format(book=f'b{rounds}')})")
+    ctes.append(f"coded as (select vec_id, label, code, error from kept join (select rid, string_agg(printf('%02x', (m % {entries})::int), '' order by p) as code, sum(m // {entries})::bigint as error from a{rounds} group by 1) using (rid))")
+    return f"""with {', '.join(ctes)} select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, (select sha256(string_agg(y::varchar, ',' order by p, e, j)) from b{rounds}) as codebooks_sha256 from coded"""
+
+
+def _op13(clusters: int = 8, rounds: int = 10, scale: int = 1024, seed: int = 3) -> str:
+    found = f"select rid, min(d * {clusters} + e) as m from (select x.rid, e, sum((x.y - b.y) * (x.y - b.y)) as d from x join {{book}} b using (j) group by 1, 2) group by 1"
+    ctes = [
+        f"kept as materialized ({_vectors(scale, 'len(embedding) = 64')})", "x as materialized (select rid, unnest(range(1, 65)) as j, unnest(v) as y from kept)",
+        f"b0 as materialized (select e, j, y from x join (select rid, row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as e from kept) using (rid) where e < {clusters})",
+    ]
+    for k in range(rounds):
+        ctes.append(f"a{k} as materialized ({found.format(book=f'b{k}')})")
+        ctes.append(f"b{k + 1} as materialized (select b.e, b.j, case when n > 0 then {_FLOOR_MEAN} else b.y end as y from b{k} b left join (select m % {clusters} as e, j, count(*) as n, sum(y) as s from a{k} join x using (rid) group by 1, 2) using (e, j))")
+    ctes.append(f"a{rounds} as materialized ({found.format(book=f'b{rounds}')})")
+    return f"""with {', '.join(ctes)}, digests as (select e, sha256(string_agg(y::varchar, ',' order by j)) as h from b{rounds} group by 1)
+select vec_id, (m % {clusters})::int as cluster, (m // {clusters})::bigint as distance, (sum(m // {clusters}) over (partition by m % {clusters}))::bigint as cluster_inertia, (sum(m // {clusters}) over ())::bigint as inertia, h as centroid_sha256
+from kept join a{rounds} using (rid) join digests on e = m % {clusters}"""
+
+
+ORACLES = {
+    "op2_decontaminate": _OP2, "op6_substring_dedup": _OP6, "op7_line_quality": _OP7, "op9_prefix_join": _OP9, "op11_warc_captures": _OP11, "op12_vector_codes": _op12(), "op13_simplex_clusters": _op13(),
+}

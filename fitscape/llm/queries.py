@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitscape.llm import class_lm, html_extract, language_id, url_filter
+from fitscape.llm import class_lm, html_extract, language_id, url_filter, warc
 from fitscape.llm.decontaminate import decontaminate
 from fitscape.llm.fst_tokens import count_tokens
 from fitscape.llm.line_quality import line_quality
 from fitscape.llm.oracles import ORACLES
 from fitscape.llm.packing import pack_documents
 from fitscape.llm.prefix_join import similar_components
-from fitscape.llm.shared import table
+from fitscape.llm.shared import delete, shared_dir, stored, table
+from fitscape.llm.simplex_clusters import cluster_vectors
 from fitscape.llm.substring_dedup import substring_dedup
+from fitscape.llm.vector_codes import compress_vectors
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +73,35 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train_tree_model())
 
 
+def op11_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_warc(warc.planned(pages), path)
+    records = warc.read_warc(spark, path)
+    # digests and sizes of whole payloads are all that is asked for
+    records = stored(records.withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload"))), "warc-records")
+    delete(spark, path)
+    found = warc.revisited(warc.assemble(records))
+    page = lambda x: F.from_json(F.get(x, F.lit(0))["payload"].cast("string"), f"page_id {dict(pages.dtypes)['page_id']}")["page_id"]
+    return found.select(
+        page(F.col("metadata")).alias("page_id"), F.coalesce("original.payload_bytes", "response.payload_bytes").alias("payload_bytes"),
+        F.coalesce("original.payload_sha1", "response.payload_sha1").alias("payload_digest"), F.col("response.record_type").alias("record_type"), page(F.col("original.metadata")).alias("refers_to"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_decontaminate, op3_language_id, op4_packing, op5_class_lm, op6_substring_dedup, op7_line_quality, op8_fst_tokens, op9_prefix_join,
-        op10_html_extract,
+        op10_html_extract, op11_warc_captures, op12_vector_codes, op13_simplex_clusters,
     )
 }
 

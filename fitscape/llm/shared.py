@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).stored(df, name)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -39,7 +39,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
         for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            _delete(df.sparkSession, folder)
+            delete(df.sparkSession, folder)
 
 
 class Scratch:
@@ -61,7 +61,7 @@ class Scratch:
         """Of the given names, or all."""
         for name in names or list(self.paths):
             for path in self.paths.pop(name, []):
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
