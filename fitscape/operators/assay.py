@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
-from fitscape.operators.ordering import running_sum
+from fitscape.operators.ordering import run_number
 
 NO_EPISTASIS = -111.0
 
@@ -14,15 +14,12 @@ NO_EPISTASIS = -111.0
 def run_index(df: DataFrame, value: str, order: str, by: list[str], name: str = "idx") -> DataFrame:
     """Adds the number, from 0, of the run of equal consecutive values; a value that comes again later begins a new run."""
     w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("_new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)).withColumn(name, (F.sum("_new").over(w) - 1).cast("long")).drop("_new")
+    return df.withColumn("_new", F.when(F.lag(F.struct(F.col(value).alias("v"))).over(w).eqNullSafe(F.struct(F.col(value).alias("v"))), 0).otherwise(1)).withColumn(name, (F.sum("_new").over(w) - 1).cast("long")).drop("_new")
 
 
 def run_index_at_scale(df: DataFrame, value: str, order: str, by: list[str], name: str = "idx") -> DataFrame:
-    """run_index for assays too large for one task: the row before comes from a join of ordinals, the sum from buckets."""
-    rows = running_sum(df, F.lit(1), [order], by, "_n")
-    before = rows.select(*by, (F.col("_n") + 1).alias("_n"), F.col(value).alias("_before"), F.lit(True).alias("_has"))
-    rows = rows.join(before, [*by, "_n"], "left").withColumn("_new", F.when(F.col("_has") & F.col("_before").eqNullSafe(F.col(value)), 0).otherwise(1))
-    return running_sum(rows, "_new", [order], by, name).withColumn(name, (F.col(name) - 1).cast("long")).drop("_n", "_before", "_has", "_new")
+    """run_index for assays too large for one task."""
+    return run_number(df, value, [order], by, name)
 
 
 def mutation_code(kind: str, glue: str = "_") -> Column:

@@ -3,47 +3,74 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+from fitscape.operators.checkpoints import with_checkpoints
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in ranges of the whole order, one a task, with _bucket (the range's number) and _at (ascending along the whole order).
 
-def _order_key(df: DataFrame, column: str) -> Column:
-    """A double that never contradicts the order of the column; equal keys stay in one bucket."""
-    if dict(df.dtypes)[column] == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+    Ranges are cut on all order columns, so neither equal first columns nor a common prefix gathers rows in one task, and
+    there are as many as the session has shuffle partitions. They are stored once, as two runs needn't cut alike.
+    """
+    with_checkpoints(df.sparkSession)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    return rows.withColumn("_bucket", F.shiftright("_at", 33))
+
+
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return cond
 
 
-def _bucketed(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
-    """Adds _b, ascending with the first order column; bounds are a few quantiles. Nulls come first."""
-    key = _order_key(df, order[0])
-    bounds = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    return df.withColumn("_b", F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]).cast("array<double>"), lambda x: x < key))))
+def _carried(rows: DataFrame, value: Column, by: list[str], name: str, last: bool = False) -> DataFrame:
+    """Adds what earlier ranges pass on to a row's group: the sum of value, or its last one; null for a group's first range.
+
+    Groups that reach over k ranges have k - 1 rows in the broadcast table: fewer rows than ranges, whatever the number of groups.
+    """
+    of = rows.groupBy(*by, "_bucket").agg((F.max_by(F.struct(value.alias("v")), "_at") if last else F.sum(value)).alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket")
+    before = F.lag("_s").over(earlier) if last else F.sum("_s").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    of = of.withColumn(name, before).filter(F.col(name).isNotNull())
+    return rows.alias("l").join(F.broadcast(of).alias("r"), _same("l", "r", [*by, "_bucket"]), "left").select("l.*", f"r.{name}")
+
 
+def _in_bucket(by: list[str]) -> WindowSpec:
+    return Window.partitionBy("_bucket", *by).orderBy("_at")
 
-def running_sum(df: DataFrame, value: Column | str, order: list[str], by: list[str] | None = None, name: str = "running", buckets: int = BUCKETS) -> DataFrame:
-    """Sum of `value` over the rows up to each one in `order` (a total order), within `by`. Each bucket is summed by itself; sums of earlier buckets are joined in."""
+
+def running_sum(df: DataFrame, value: Column | str, order: list[str], by: list[str] | None = None, name: str = "running") -> DataFrame:
+    """Sum of `value` over the rows up to each one in `order` (a total order, nulls first), within `by`; null while all values are null. Each range of rows is summed by itself; sums of earlier ranges are joined in."""
     by = by or []
-    value = F.col(value) if isinstance(value, str) else value
-    rows = _bucketed(df, order, buckets).withColumn("_v", value)
-    sums = rows.groupBy(*by, "_b").agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    own = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    left, right = rows.withColumn("_own", F.sum("_v").over(own)).alias("l"), sums.alias("r")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_b"]]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    return left.join(right, cond).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._own") + F.col("r._before")).alias(name))
-
-
-def with_ordinal(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "ordinal", buckets: int = BUCKETS) -> DataFrame:
+    rows = _ranged(df.withColumn("_v", F.col(value) if isinstance(value, str) else value), [*by, *order])
+    return _summed(rows, F.col("_v"), by, name).select(*df.columns, name)
+
+
+def _summed(rows: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
+    # ranges stay apart: windows by them need no other shuffle
+    own = _carried(rows, value, by, "_carried").repartitionByRange("_bucket").withColumn("_own", F.sum(value).over(_in_bucket(by).rowsBetween(Window.unboundedPreceding, 0)))
+    return own.withColumn(name, F.coalesce(F.col("_own") + F.col("_carried"), "_own", "_carried")).drop("_own", "_carried")
+
+
+def with_ordinal(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "ordinal") -> DataFrame:
     """Adds the row's number from 1 in `order`, within `by`."""
-    out = running_sum(df, F.lit(1), order, by, name, buckets)
-    return out.withColumn(name, F.col(name).cast("long"))
+    if by:
+        out = running_sum(df, F.lit(1), order, by, name)
+        return out.withColumn(name, F.col(name).cast("long"))
+    rows = _carried(_ranged(df, order), F.lit(1), [], "_carried")
+    return rows.select(*df.columns, (F.coalesce("_carried", F.lit(0)) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
+def run_number(df: DataFrame, value: str, order: list[str], by: list[str], name: str) -> DataFrame:
+    """Adds the number, from 0, of the run of equal consecutive values within `by`: a value that comes again later begins a new run. A range's first row meets the last value of the range before."""
+    rows = _carried(_ranged(df, [*by, *order]), F.col(value), by, "_last", last=True).repartitionByRange("_bucket")
+    own = F.struct(F.col(value).alias("v"))
+    before = F.coalesce(F.lag(own).over(_in_bucket(by)), "_last")
+    rows = rows.withColumn("_new", F.when(before.eqNullSafe(own), 0).otherwise(1)).drop("_last")
+    return _summed(rows, F.col("_new"), by, name).select(*df.columns, (F.col(name) - 1).cast("long").alias(name))
 
 
 def shuffled(df: DataFrame, key: str, seed: int, name: str = "_shuffle") -> DataFrame:

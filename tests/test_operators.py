@@ -284,3 +284,32 @@ def test_classes_and_weights(spark):
     assert rows(metrics.fitness_classes(df, "v", "split"), "class", "n") == [("beneficial", 1), ("dead", 1), ("deleterious", 1)]
     w = features.group_weights(spark.createDataFrame([("m", 1), ("m", 1), ("m", 1)], "m string, single int"), ["m"])
     assert rows(w, "single", "weight") == [(0, 0.0), (1, 0.5)]
+
+
+@pytest.mark.parametrize("kind", ["one value", "common prefix", "nulls"])
+def test_ranges_split_any_order_key(spark, kind):
+    n = 4000
+    first = {"one value": lambda k: "x", "common prefix": lambda k: f"a-long-common-prefix-{k * 7919 % n:05d}", "nulls": lambda k: None if k % 3 else str(k % 5)}[kind]
+    df = spark.createDataFrame([(first(k), k * 31 % n, k % 3 == 0) for k in range(n)], "s string, id long, odd boolean").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task's
+    sizes = [r["count"] for r in ordering._ranged(df, ["s", "id"]).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.4 * n
+    order = sorted(df.collect(), key=lambda r: (r["s"] is not None, r["s"] or "", r["id"]))
+    assert {r["id"]: r["ordinal"] for r in ordering.with_ordinal(df, ["s", "id"]).collect()} == {r["id"]: k for k, r in enumerate(order, 1)}
+    place, seen = {}, {}
+    for r in order:
+        place[r["id"]] = seen[r["odd"]] = seen.get(r["odd"], 0) + 1
+    assert {r["id"]: r["ordinal"] for r in ordering.with_ordinal(df, ["s", "id"], ["odd"]).collect()} == place
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_runs_over_ranges(spark):
+    random.seed(8)
+    data = [("ab"[k % 50 == 0], k, random.choice([None, 1, 2]) if k % 9 == 0 else k // 700) for k in range(3000)]
+    df = spark.createDataFrame(data, "assay_id string, ord long, position long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert rows(assay.run_index_at_scale(df, "position", "ord", ["assay_id"])) == rows(assay.run_index(df, "position", "ord", ["assay_id"]))
+    sums = {r["ord"]: r["running"] for r in ordering.running_sum(df.withColumn("v", F.when(F.col("ord") > 2500, F.col("ord"))), "v", ["ord"]).collect()}
+    assert sums[2500] is None and sums[2501] == 2501 and sums[2999] == sum(range(2501, 3000))
+    assert ordering.with_ordinal(df.limit(0), ["ord"]).count() == 0 and assay.run_index_at_scale(df.limit(0), "position", "ord", ["assay_id"]).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
