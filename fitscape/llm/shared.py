@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,21 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             start = stop
 
 
+def with_match(rows: DataFrame, key: Column, lookup: DataFrame, name: str, spread: Column, *, share: int = 1000) -> DataFrame:
+    """rows with `name`, taken from the row of lookup (columns _key, of which each is one row, and name) whose _key equals key; null if there is none.
+
+    Keys with at least one row in `share` are at most `share`: what they find is broadcast. All other keys are too small
+    to fill a task and are joined by shuffle; rows that are done by then, or have no key, are dealt by `spread` (a string).
+    """
+    rows = rows.withColumn("_k", key)
+    counts = rows.filter("_k is not null").groupBy(F.col("_k").alias("_key")).agg(F.count("*").alias("_n"))
+    hot = lookup.join(counts.filter(F.col("_n") >= rows.count() / share), "_key", "left_semi")
+    done = rows.join(F.broadcast(hot.select(F.col("_key").alias("_k"), F.struct(name).alias("_hot"))), "_k", "left")
+    done = done.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_k")).otherwise(None)).withColumn("_key", F.coalesce("_key", F.concat(F.lit("-"), spread)))
+    out = done.join(lookup.select("_key", F.struct(name).alias("_cold")), "_key", "left")
+    return out.withColumn(name, F.coalesce("_hot", "_cold")[name]).drop("_k", "_key", "_hot", "_cold")
+
+
 def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
     """The rows of the greatest counts n (at least 1): at most `limit`, cut at a bound of the count (in steps of 2 ** (1 / 32)), so that no task or driver sorts them."""
     step = F.floor(F.log2(n) * 32).cast("int")

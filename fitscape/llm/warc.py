@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitscape.llm.shared import with_match
+
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 1000
 #: Fixed value: the profile of revisits of an equal payload.
@@ -34,17 +36,16 @@ def _record(kind: Column | str, record_id: Column, date: str, content_type: str,
 def planned(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest, record_id and, for a revisit, refers_to: the record of the largest id with an equal payload of LEAST_BYTES or more.
 
-    Digests with more than one row are counted map-side; rows are joined to them by digest, where Spark splits the
-    rows of a hot one. All rows with that largest id are responses; rows with a null id revisit it; without any id
-    all are responses.
+    All rows with that largest id are responses; rows with a null id revisit it; without any id all are responses.
+    Digests are grouped without their payloads, and a payload that many rows share is found by broadcast.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("record_id", _id(F.lit("response"), F.col("page_id"), F.col("url"), F.col("digest")))
-    long = rows.filter(F.octet_length("payload") >= LEAST_BYTES).filter("page_id is not null")
-    first = long.groupBy(F.col("digest").alias("_digest")).agg(F.max(F.struct("page_id", "record_id")).alias("_first"))
-    linked = rows.join(first, F.col("digest") == F.col("_digest"), "left")
-    other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
-    return linked.select(*rows.columns, F.when(other, F.col("_first.record_id")).alias("refers_to"))
+    long = rows.filter(F.octet_length("payload") >= LEAST_BYTES)
+    groups = long.groupBy(F.col("digest").alias("_key")).agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("first"))
+    linked = with_match(rows, F.when(F.octet_length("payload") >= LEAST_BYTES, F.col("digest")), groups.filter("n > 1 and first is not null").select("_key", "first"), "first", F.col("record_id"))
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return linked.select(*rows.columns, F.when(other, F.col("first.record_id")).alias("refers_to"))
 
 
 def record_texts(captures: DataFrame, date: str) -> DataFrame:
@@ -178,10 +179,7 @@ def unlinked(records: DataFrame) -> DataFrame:
 
 
 def revisited(captures: DataFrame) -> DataFrame:
-    """Adds original to assemble()'s rows: record_id, metadata, payload_bytes and payload_sha1 of the response that a revisit refers to, null for others.
-
-    Revisits are joined to the responses' ids only, of which each counts once; Spark splits the rows of a response that many refer to.
-    """
-    response = captures.filter("response.record_type = 'response'")
-    known = response.select(F.col("response.record_id").alias("_id"), F.struct("response.record_id", "metadata", "response.payload_bytes", "response.payload_sha1").alias("original"))
-    return captures.join(known.dropDuplicates(["_id"]), F.col("response.refers_to") == F.col("_id"), "left").drop("_id")
+    """Adds original to assemble()'s rows: record_id, metadata, payload_bytes and payload_sha1 of the response that a revisit refers to, null for others. A response that many refer to is found by broadcast."""
+    of = F.struct("response.record_id", "metadata", "response.payload_bytes", "response.payload_sha1")
+    known = captures.filter("response.record_type = 'response'").select(F.col("response.record_id").alias("_key"), of.alias("original")).dropDuplicates(["_key"])
+    return with_match(captures, F.col("response.refers_to"), known, "original", F.col("response.record_id"))
