@@ -160,40 +160,68 @@ def test_splits_share_no_group(spark):
 
 
 def leaders(sequences, k, threshold, n):
-    """The greedy rule, one sequence at a time."""
+    """The greedy rule, one sequence at a time: a cluster is reached by an anchor of any of its members so far."""
     sets = {i: {s[j : j + k] for j in range(len(s) - k + 1)} for i, s in sequences.items()}
-    anchors = {i: set(sorted(x)[:n]) for i, x in sets.items()}
-    out, lead = {}, []
+    out, lead, doors = {}, [], {}
     for i in sorted(sequences, key=lambda i: (-len(sequences[i]), i)):
-        best, at = 0.0, None
+        own = sorted(sets[i])[:n]
+        reached = set().union(*(doors.get(x, set()) for x in own))
+        best, at = 0.0, i
         for j in lead:
-            same = sequences[i] == sequences[j] and len(sequences[i]) >= k
-            if anchors[i] & anchors[j] or same:
-                u = len(sets[i] | sets[j])
-                x = len(sets[i] & sets[j]) / u if u else 0.0
-                if x > best:
+            if j in reached:
+                x = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if x >= threshold and x > best:
                     best, at = x, j
-        if at is not None and best >= threshold:
-            out[i] = at
-        else:
-            out[i] = i
+        out[i] = at
+        if at == i:
             lead.append(i)
+        for x in own:
+            doors.setdefault(x, set()).add(at)
     return out
 
 
-def test_clusters_match_the_greedy_rule(spark):
-    random.seed(3)
-    base = ["".join(random.choices(LETTERS, k=30)) for _ in range(5)]
+def drifting(seed, n, length, letters, edits):
+    """Chains in which each sequence is an edited, maybe shorter, copy of one before, and whole copies."""
+    random.seed(seed)
     data = {}
-    for i in range(40):
-        s = list(random.choice(base)[: random.randint(20, 30)])
-        for _ in range(random.randint(0, 2)):
-            s[random.randrange(len(s))] = random.choice(LETTERS)
-        data[i] = "".join(s)
-    data |= {100: "AR", 101: "AR", 102: base[0], 103: base[0]}
+    for i in range(n):
+        if i < 4:
+            s = random.choices(letters, k=length)
+        else:
+            s = list(data[random.randrange(max(0, i - 12), i)])
+            for _ in range(random.choice([0, *edits])):
+                s[random.randrange(len(s))] = random.choice(letters)
+            s = s[: random.choice([len(s), len(s), len(s) - 1])] if len(s) > length * 0.6 else s
+        data[i * 7 % n] = "".join(s) if i * 7 % n not in data else data[i * 7 % n]
+        data.setdefault(i, "".join(s))
+    return data
+
+
+@pytest.mark.parametrize(("seed", "n", "length", "edits", "anchors", "threshold"), [(3, 60, 30, (1, 2), 8, 0.5), (5, 500, 24, (1, 2, 4), 2, 0.4), (6, 500, 18, (1, 3), 3, 0.3)])
+def test_clusters_match_the_greedy_rule(spark, monkeypatch, seed, n, length, edits, anchors, threshold):
+    monkeypatch.setattr(cluster, "BLOCK", 50)
+    data = drifting(seed, n, length, "ACDE", edits) | {9000: "AR", 9001: "AR", 9002: "", 9003: None}
     df = spark.createDataFrame(list(data.items()), "seq_id long, sequence string")
-    got = {r["seq_id"]: r["leader"] for r in cluster.cluster_sequences(df, 3, 0.5, 8).collect()}
-    assert got == leaders(data, 3, 0.5, 8)
+    got = {r["seq_id"]: r["leader"] for r in cluster.cluster_sequences(df, 3, threshold, anchors).collect()}
+    plain = leaders({i: s or "" for i, s in data.items()}, 3, threshold, anchors)
+    assert got == plain and len(set(got.values())) > 4
+    if n == 500:  # some join a leader with which they share no anchor
+        own = {i: set(sorted({s[j : j + 3] for j in range(len(s) - 2)})[:anchors]) for i, s in data.items() if s}
+        assert any(i != j and not own[i] & own[j] for i, j in got.items() if i in own)
+
+
+def test_similar_pairs_of_long_lists(spark, monkeypatch):
+    """Lists of several blocks: the pairs are those of a plain run."""
+    monkeypatch.setattr(cluster, "BLOCK", 100)
+    random.seed(11)
+    base = ["".join(random.choices("ACDE", k=26)) for _ in range(150)]
+    data = {i: "AAA" + base[i % 150][: 20 + i % 5] + random.choice("ACDE") * (i % 3) for i in range(900)}
+    df = cluster.anchors(cluster.kmers(spark.createDataFrame(list(data.items()), "seq_id long, sequence string"), 3))
+    got = {(r["a"], r["b"]): r["similarity"] for r in cluster.similar_pairs(df, 0.7).collect()}
+    sets = {i: {s[j : j + 3] for j in range(len(s) - 2)} for i, s in data.items()}
+    plain = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    own = {i: set(sorted(x)[:8]) for i, x in sets.items()}
+    assert got == {(a, b): pytest.approx(x) for (a, b), x in plain.items() if own[a] & own[b]} and len(got) > 1000
 
 
 def test_masks(spark):
