@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from fitscape.functions.arrays import distance
 
-#: The spring's strength (its cube over the cubed squared distance), and the least singular value kept.
+#: The spring's strength (its cube over the cubed squared distance), and the least stiffness of a mode that isn't free.
 STRENGTH, LEAST = 100.0, 1e-6
 DIRECTIONS = np.array([(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)], float)
 DIRECTIONS /= np.linalg.norm(DIRECTIONS, axis=1, keepdims=True)
 
 
 def response_matrix(ca: np.ndarray) -> np.ndarray:
-    """N x N: mean displacement of i over unit forces at j in seven directions, by the grand total. Fails unless exactly six modes are free."""
+    """N x N: mean displacement of i over unit forces at j in seven directions, by the grand total. Fails unless exactly six modes are free.
+
+    A structure can always be moved and turned as a whole, so these six modes are known: with them made stiff the Hessian
+    is positive definite and is solved by Cholesky's method, and they are taken out again.
+    """
     n = len(ca)
     d = ca[:, None] - ca[None]
     r2 = (d * d).sum(axis=2)
@@ -26,16 +30,32 @@ def response_matrix(ca: np.ndarray) -> np.ndarray:
     block = (spring / r2)[:, :, None, None] * d[:, :, :, None] * d[:, :, None, :]
     hessian = -block
     hessian[np.arange(n), np.arange(n)] = block.sum(axis=1)
-    u, s, vt = np.linalg.svd(hessian.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n), hermitian=True)
-    free = s < LEAST
-    if free.sum() != 6:
-        raise ValueError(f"{free.sum()} free modes, not six")
-    inverse = (vt.T[:, ~free] / s[~free]) @ u.T[~free]
+    hessian = hessian.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n)
+    moves = rigid_modes(ca)
+    stiff = np.trace(hessian) / (3 * n)
+    try:
+        half = np.linalg.inv(np.linalg.cholesky(hessian + stiff * moves @ moves.T))
+    except np.linalg.LinAlgError:
+        raise ValueError("more than six free modes") from None
+    inverse = half.T @ half - moves @ moves.T / stiff
+    if np.linalg.norm(inverse) * LEAST > 1 and np.linalg.norm(inverse, 2) * LEAST > 1:  # the first norm is quick and never less
+        raise ValueError("more than six free modes")
     moved = np.einsum("ixjy,dy->dijx", inverse.reshape(n, 3, n, 3), DIRECTIONS)
     out = np.linalg.norm(moved, axis=3).mean(axis=0)
     return out / out.sum()
 
 
+def rigid_modes(ca: np.ndarray) -> np.ndarray:
+    """3N x 6, orthonormal: the shifts along and turns around three axes. Fails for points on a line, which have five."""
+    x = ca - ca.mean(axis=0)
+    shifts = np.tile(np.eye(3), (len(ca), 1))
+    turns = np.stack([np.cross(axis, x) for axis in np.eye(3)], axis=2).reshape(3 * len(ca), 3)
+    q, r = np.linalg.qr(np.hstack([shifts, turns / max(np.abs(x).max(), 1e-300)]))
+    if len(ca) < 3 or np.abs(np.diag(r)).min() < 1e-7 * np.abs(np.diag(r)).max():
+        raise ValueError("not six free modes: points on a line")
+    return q
+
+
 def perturbation(residues: DataFrame) -> DataFrame:
     """structure_id, i, j, value. One structure is one task's work (9 N^2 numbers); N is a protein's length."""
 

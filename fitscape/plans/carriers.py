@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
@@ -106,10 +106,10 @@ def msa_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each NODES successive embeddings are one structure, so structures stay small and their number grows with the table."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda k: F.array(*[(F.get("embedding", F.lit(k + j)).cast("double") * 10) for j in range(3)])
-    node = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    return e.select(F.col("label").alias("structure_id"), node.alias("node"), _letter(F.col("vec_id")).alias("aa"), at(0).alias("ca"), at(3).alias("n"), at(6).alias("c"), at(9).alias("o"), "vec_id")
+    return e.select(F.floor(F.col("vec_id") / NODES).alias("structure_id"), (F.col("vec_id") % NODES).cast("long").alias("node"), _letter(F.col("vec_id")).alias("aa"), at(0).alias("ca"), at(3).alias("n"), at(6).alias("c"), at(9).alias("o"), "vec_id")
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ CTES = {
     "pssm": """select family_id, node, aa, aa_idx, (n + 1.0::double) / (sum(n) over (partition by family_id, node) + 20.0::double) as freq, cast(sum(n) over (partition by family_id, node) as bigint) as n_observed
  from (select g.family_id, g.node, l.aa, l.aa_idx, coalesce(c.n, 0) as n from (select distinct family_id, node from family_residues) g cross join letters l left join counts c on c.family_id = g.family_id and c.node = g.node and c.aa = l.aa)""",
     "one_pssm": "select node, aa, aa_idx, freq from pssm where family_id = 'en'",
-    "residues": f"""select label as structure_id, row_number() over (partition by label order by vec_id) - 1 as node, {_sql_letter('vec_id')} as aa, vec_id,
+    "residues": f"""select vec_id // {NODES} as structure_id, vec_id % {NODES} as node, {_sql_letter('vec_id')} as aa, vec_id,
  {', '.join(f"[{', '.join(f'embedding[{k + j + 1}]::double * 10' for j in range(3))}] as {a}" for a, k in (('ca', 0), ('n', 3), ('c', 6), ('o', 9)))} from embeddings""",
     "chosen": "select structure_id, node from residues where node % 9 = 4",
     "dist": "select a.structure_id, a.node as i, b.node as j, "

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fitscape.functions.arrays import log_softmax, softmax
 from fitscape.operators import dynamics, features, masking, metrics, scoring, structure
+from fitscape.operators.checkpoints import Rounds
 from fitscape.plans import carriers as c
 from fitscape.plans import core_queries as core
 from fitscape.plans.core_queries import r6
@@ -200,6 +201,23 @@ def edge_vector(s, d):
     return x.select("structure_id", "src", "dst", F.size(F.filter(some, lambda v: v != 0)).cast("long").alias("n"), F.round(F.aggregate(F.slice("features", 1, 96), F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+@query()
+def coupling_chain(s, d):
+    """T8 to T18 one after the other: response of each structure, coupling edges, spatial edges, their vectors of 99 numbers (as a digest) and the report of degrees."""
+    r = c.residues(s, d).withColumn("ca", F.transform("ca", lambda x: x * 8))
+    big = r.groupBy("structure_id").agg(F.count("*").alias("_n")).filter("_n >= 24").select("structure_id")
+    r = r.join(big, "structure_id")
+    p = Rounds(s).stored(dynamics.perturbation(r), "response")
+    a = dynamics.coupling_asymmetry(p)
+    edges = dynamics.coupling_edges(dynamics.remove_driver_strength(a), 12, check=False)
+    both = dynamics.union_edges(edges, structure.knn_edges(r, 20, directed=True))
+    v = dynamics.edge_vector(dynamics.coupling_feature(structure.edge_features(r, both), a))
+    dfi = dynamics.dfi_profile(p).select("structure_id", F.col("node").alias("dst"), r6("pct_dfi", "pct_dfi"))
+    v = v.join(dfi, ["structure_id", "dst"]).join(dynamics.degree_report(edges, r).select("structure_id", "n_edges", "n_drivers"), "structure_id")
+    total = F.aggregate("features", F.lit(0.0), lambda x, y: x + y)
+    return v.select("structure_id", "src", "dst", "from_dci", "from_spatial", F.round("coupling", 5).alias("coupling"), F.size("features").alias("width"), F.round(total, 4).alias("total"), "pct_dfi", "n_edges", "n_drivers")
+
+
 # ---- features and labels
 
 

@@ -341,3 +341,74 @@ def test_runs_over_ranges(spark):
     assert sums[2500] is None and sums[2501] == 2501 and sums[2999] == sum(range(2501, 3000))
     assert ordering.with_ordinal(df.limit(0), ["ord"]).count() == 0 and assay.run_index_at_scale(df.limit(0), "position", "ord", ["assay_id"]).count() == 0
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_nearest_by_cells(spark):
+    """Even, clustered and flat clouds, far outliers, equal points and distances, k above N - 1, residues without coordinates."""
+    rng = np.random.default_rng(2)
+    clouds = {
+        0: rng.normal(0, 5, (300, 3)), 1: np.vstack([rng.normal(0, 0.01, (150, 3)), rng.normal(900, 1, (5, 3)), [[1e6, 0, 0]]]), 2: np.repeat(np.arange(8.0), 4).reshape(32, 1) * [[1, 0, 0]], 3: np.zeros((9, 3)),
+        4: np.array([(a, b, c) for a in range(5) for b in range(5) for c in range(5)], float), 5: rng.normal(0, 1, (3, 3)), 6: np.zeros((1, 3)),
+    }
+    data = [(s, k, x.tolist()) for s, p in clouds.items() for k, x in enumerate(p)]
+    odd = [(0, 900, None), (0, 901, [1.0, None, 2.0]), (0, 902, [float("nan"), 0.0, 0.0]), (5, 903, [float("inf"), 0.0, 0.0])]
+    r = spark.createDataFrame(data + odd, "structure_id int, node long, ca array<double>")
+    got = rows(structure.knn_edges(r, 5, directed=True), "structure_id", "src", "dst")
+    plain = []
+    for s, p in clouds.items():
+        for i in range(len(p)):
+            d = np.sqrt(((p[i] - p) ** 2 @ np.ones(3)))
+            d = [float(np.sqrt((x := p[i] - q)[0] * x[0] + x[1] * x[1] + x[2] * x[2])) for q in p]
+            plain += [(s, i, j) for _, j in sorted((d[j], j) for j in range(len(p)) if j != i)[:5]]
+    assert got == sorted(plain, key=repr)
+    assert structure.knn_edges(r.limit(0), 5).count() == 0
+
+
+def by_svd(ca):
+    """The response matrix with free modes found by singular values."""
+    n = len(ca)
+    d = ca[:, None] - ca[None]
+    r2 = (d * d).sum(axis=2) + np.eye(n)
+    spring = 1e6 / r2**3 * (1 - np.eye(n))
+    block = (spring / r2)[:, :, None, None] * d[:, :, :, None] * d[:, :, None, :]
+    h = -block
+    h[np.arange(n), np.arange(n)] = block.sum(axis=1)
+    u, s, vt = np.linalg.svd(h.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n), hermitian=True)
+    assert (s < 1e-6).sum() == 6
+    inverse = ((vt[:-6].T / s[:-6]) @ u[:, :-6].T).reshape(n, 3, n, 3)
+    out = np.linalg.norm(np.einsum("ixjy,dy->dijx", inverse, dynamics.DIRECTIONS), axis=3).mean(axis=0)
+    return out / out.sum()
+
+
+def test_response_by_known_modes(spark):
+    rng = np.random.default_rng(6)
+    for n in (4, 30, 120):
+        x = np.cumsum(rng.normal(0, 4, (n, 3)), axis=0)
+        assert np.abs(dynamics.response_matrix(x) - by_svd(x)).max() < 1e-9
+    with pytest.raises(ValueError, match="line"):
+        dynamics.response_matrix(np.outer(np.arange(6.0), [1, 2, 3]))
+    two = np.vstack([rng.normal(0, 3, (5, 3)), rng.normal(0, 3, (5, 3)) + 1e5])  # two bodies that hardly hold each other
+    with pytest.raises(ValueError, match="more than six"):
+        dynamics.response_matrix(two)
+
+
+def test_chain_of_couplings(spark):
+    """T8 to T18 against NumPy."""
+    rng = np.random.default_rng(7)
+    x = np.cumsum(rng.normal(0, 3, (30, 3)), axis=0)
+    r = residues(spark, x.tolist())
+    p = by_svd(x)
+    c = p / p.mean(axis=1, keepdims=True)
+    a = (c - c.T) * (1 - np.eye(30))
+    clear = a - (a.mean(axis=0)[None] - a.mean(axis=0)[:, None])
+    asym = dynamics.coupling_asymmetry(dynamics.perturbation(r))
+    edges = dynamics.coupling_edges(dynamics.remove_driver_strength(asym), 4)
+    top = {(j, i) for i in range(30) for j in sorted((j for j in range(30) if j != i), key=lambda j: (-round(clear[i, j], 9), j))[:4]}
+    assert set(rows(edges, "src", "dst")) == top
+    both = dynamics.union_edges(edges, structure.knn_edges(r, 3, directed=True))
+    v = dynamics.edge_vector(dynamics.coupling_feature(structure.edge_features(r, both), asym)).collect()
+    assert {len(e["features"]) for e in v} == {99} and len(v) == both.count()
+    for e in v:
+        i, j = e["dst"], e["src"]
+        assert e["features"][96] == ((j, i) in top) and e["features"][98] == pytest.approx(a[i, j] / np.abs(a).max(), abs=1e-5)
+        assert e["features"][0] == pytest.approx(np.exp(-((np.linalg.norm(x[i] - x[j]) - 2) ** 2) / (10 / 6) ** 2))
