@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,8 @@ def distance(a: Column, b: Column) -> Column:
     """Euclidean, of arrays of three."""
     d = [F.get(a, F.lit(k)) - F.get(b, F.lit(k)) for k in range(3)]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for a row however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

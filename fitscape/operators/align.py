@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 MATCH, MISMATCH, OPEN, EXTEND = 1.0, -1.0, -2.0, -0.5
 
 
+def _kept(n: int) -> int:
+    """Rows between those that are kept: a kept one takes 16 bytes a column, and one of the way back takes one."""
+    return max(32, int(4 * n**0.5))
+
+
 def align_pairs(sequences: list[str], reference: str) -> list[list[int]]:
     """For each sequence, the reference position of each letter, or -1; end gaps cost like others.
 
     All sequences advance by one letter at a time; columns of the recurrence that depend on their left neighbour are
-    solved by a running maximum. On ties the diagonal comes first, then a gap in the reference.
+    solved by a running maximum. On ties the diagonal comes first, then a gap in the reference. Only every so many rows
+    are kept; on the way back the rows behind a kept one are computed again, so memory grows with the root of the length.
     """
     if not sequences:
         return []
@@ -27,58 +33,64 @@ def align_pairs(sequences: list[str], reference: str) -> list[list[int]]:
     for i, s in enumerate(sequences):
         data[i, : len(s)] = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
     cols = np.arange(m + 1)
-    gap = np.where(cols > 0, OPEN + EXTEND * (cols - 1), 0.0)
     low = -1e9
-    best = np.tile(gap, (k, 1))  # best score of each prefix pair
-    up = np.full((k, m + 1), low)  # ends with a letter of the sequence against a gap
-    back = np.zeros((n + 1, k, m + 1), np.uint8)  # bits: 0-1 source of best, 2 up extends, 3 left extends
-    back[0, :, 1:] = 2
-    back[0, :, 2:] |= 8
-    for i in range(1, n + 1):
-        opened, longer = best + OPEN, up + EXTEND
-        bits = np.where(longer > opened, 4, 0).astype(np.uint8)
-        up = np.maximum(opened, longer)
-        match = np.where(data[:, i - 1 : i] == ref, MATCH, MISMATCH)
-        diagonal = np.full((k, m + 1), low)
-        diagonal[:, 1:] = best[:, :-1] + match
-        top = np.maximum(diagonal, up)
-        # left[j] = max over c < j of top[c] + OPEN + EXTEND * (j - 1 - c)
-        run = np.maximum.accumulate(top - EXTEND * cols, axis=1)
-        left = np.full((k, m + 1), low)
-        left[:, 1:] = run[:, :-1] + OPEN + EXTEND * (cols[1:] - 1)
-        new = np.maximum(top, left)
-        source = np.where(diagonal >= new - 1e-9, 0, np.where(up >= new - 1e-9, 1, 2))
-        extends = np.zeros((k, m + 1), bool)
-        extends[:, 2:] = left[:, 1:-1] + EXTEND > new[:, 1:-1] + OPEN + 1e-9
-        back[i] = bits | source | np.where(extends, 8, 0).astype(np.uint8)
-        best = new
-    # the way back, all rows in step
+
+    def advance(best: np.ndarray, up: np.ndarray, first: int, last: int, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """best (score of each prefix pair) and up (ends with a letter of the sequence against a gap) of row `last` from those of row `first`; back gets bits: 0-1 source of best, 2 up extends, 3 left extends."""
+        for i in range(first, last):
+            opened, longer = best + OPEN, up + EXTEND
+            was = up
+            up = np.maximum(opened, longer)
+            match = np.where(data[:, i : i + 1] == ref, MATCH, MISMATCH)
+            diagonal = np.full((k, m + 1), low)
+            diagonal[:, 1:] = best[:, :-1] + match
+            top = np.maximum(diagonal, up)
+            # left[j] = max over c < j of top[c] + OPEN + EXTEND * (j - 1 - c)
+            run = np.maximum.accumulate(top - EXTEND * cols, axis=1)
+            left = np.full((k, m + 1), low)
+            left[:, 1:] = run[:, :-1] + OPEN + EXTEND * (cols[1:] - 1)
+            new = np.maximum(top, left)
+            if back is not None:
+                source = np.where(diagonal >= new - 1e-9, 0, np.where(up >= new - 1e-9, 1, 2))
+                extends = np.zeros((k, m + 1), bool)
+                extends[:, 2:] = left[:, 1:-1] + EXTEND > new[:, 1:-1] + OPEN + 1e-9
+                back[i - first] = np.where(was + EXTEND > opened, 4, 0).astype(np.uint8) | source.astype(np.uint8) | np.where(extends, 8, 0).astype(np.uint8)
+            best = new
+        return best, up
+
+    step = _kept(n)
+    kept = [(np.tile(np.where(cols > 0, OPEN + EXTEND * (cols - 1), 0.0), (k, 1)), np.full((k, m + 1), low))]
+    for first in range(0, n - step, step):
+        kept.append(advance(*kept[-1], first, first + step))
+    # the way back, all rows in step, from one kept row to the one before
     i, j = np.array([len(s) for s in sequences]), np.full(k, m)
     place, state = np.full((k, max(n, 1)), -1), np.zeros(k, np.int64)
-    while True:
-        on = np.flatnonzero((i > 0) | (j > 0))
-        if not len(on):
-            return [place[r, : len(s)].tolist() for r, s in enumerate(sequences)]
-        at_i, at_j = i[on], j[on]
-        bits = back[at_i, on, at_j]
-        source = np.where((at_i > 0) & (at_j > 0), bits & 3, np.where(at_i > 0, 1, 2))
-        now = np.where(state[on] == 0, source, state[on])
-        pair, above = now == 0, now == 1
-        place[on[pair], at_i[pair] - 1] = at_j[pair] - 1
-        goes_up = above & (at_i > 1) & ((bits & 4 > 0) | (at_j == 0))
-        goes_left = (now == 2) & (at_j > 1) & ((bits & 8 > 0) | (at_i == 0))
-        state[on] = np.where(goes_up, 1, np.where(goes_left, 2, 0))
-        i[on] -= pair | above
-        j[on] -= ~above
-
-
-#: Cells of one batch's way back, a byte each.
+    back = np.zeros((min(step, max(n, 1)), k, m + 1), np.uint8)
+    for first in range((len(kept) - 1) * step, -1, -step):
+        if not (i > first).any():
+            continue
+        advance(*kept[first // step], first, min(n, first + step), back)
+        while len(on := np.flatnonzero(i > first)):  # with no letters left, what remains is a gap
+            at_i, at_j = i[on], j[on]
+            bits = back[at_i - first - 1, on, at_j]
+            now = np.where(state[on] == 0, np.where(at_j > 0, bits & 3, 1), state[on])
+            pair, above = now == 0, now == 1
+            place[on[pair], at_i[pair] - 1] = at_j[pair] - 1
+            goes_up = above & (at_i > 1) & ((bits & 4 > 0) | (at_j == 0))
+            goes_left = (now == 2) & (at_j > 1) & (bits & 8 > 0)
+            state[on] = np.where(goes_up, 1, np.where(goes_left, 2, 0))
+            i[on] -= pair | above
+            j[on] -= ~above
+    return [place[r, : len(s)].tolist() for r, s in enumerate(sequences)]
+
+
+#: Bytes of one batch's kept rows and way back.
 CELLS = 32 << 20
 
 
 def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "seq_id", seq_col: str = "sequence", batch: int = 256, cells: int = CELLS) -> DataFrame:
-    """Adds node_of (reference position of each letter, -1 if none), n_mapped, n_equal, percent_identity (equal by mapped; null if none) and full_identity (equal by reference length). Null and empty sequences map nothing. Sequences of like length go in one batch, as many as `cells` allows."""
-    schema = ", ".join(f"{n} {t}" for n, t in sequences.dtypes) + ", node_of array<int>, n_mapped int, n_equal int, percent_identity double, full_identity double"
+    """Adds node_of (reference position of each letter, -1 if none), on_reference (the letter at each reference position, '-' if none), n_mapped, n_equal, percent_identity (equal by mapped; null if none) and full_identity (equal by reference length). Null and empty sequences map nothing. Sequences of like length go in one batch, as many as `cells` allows."""
+    schema = ", ".join(f"{n} {t}" for n, t in sequences.dtypes) + ", node_of array<int>, on_reference string, n_mapped int, n_equal int, percent_identity double, full_identity double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -86,14 +98,19 @@ def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "s
             whole, size = whole.iloc[np.argsort(-size, kind="stable")], -np.sort(-size)
             low = 0
             while low < len(whole):
-                high = low + max(1, min(batch, int(cells / ((size[low] + 1) * (len(reference) + 1)))))
+                step = _kept(int(size[low]))
+                high = low + max(1, min(batch, int(cells / ((16 * size[low] / step + step) * (len(reference) + 1)))))
                 pdf = whole.iloc[low:high]
                 low = high
                 texts = [x or "" for x in pdf[seq_col]]
                 maps = align_pairs(texts, reference)
                 mapped = [sum(x >= 0 for x in m) for m in maps]
                 equal = [sum(p >= 0 and reference[p] == c for p, c in zip(m, s, strict=True)) for m, s in zip(maps, texts, strict=True)]
-                yield pdf.assign(node_of=maps, n_mapped=mapped, n_equal=equal, percent_identity=[e / n if n else None for e, n in zip(equal, mapped, strict=True)], full_identity=[e / len(reference) if reference else None for e in equal])
+                on = [np.full(len(reference), "-") for _ in texts]
+                for row, m, s in zip(on, maps, texts, strict=True):
+                    at = np.array(m, int)
+                    row[at[at >= 0]] = np.array(list(s), str)[at >= 0]
+                yield pdf.assign(node_of=maps, on_reference=["".join(x) for x in on], n_mapped=mapped, n_equal=equal, percent_identity=[e / n if n else None for e, n in zip(equal, mapped, strict=True)], full_identity=[e / len(reference) if reference else None for e in equal])
 
     return sequences.repartition(F.length(F.col(seq_col)), F.col(id_col)).mapInPandas(run, schema)
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
+from fitscape.functions.arrays import bound
 from fitscape.operators.align import align_to_reference
 
+#: Fixed value: queries that agree less with the structure are reported.
+LEAST_IDENTITY = 0.9
+
 
 def clean_sequences(raw: DataFrame) -> DataFrame:
     """family_id, seq_id, sequence: gaps out, upper case; empty ones and those with other letters go; of one id the last (by ord) stays."""
@@ -34,6 +38,14 @@ def match_columns(query: DataFrame) -> DataFrame:
     return c.filter(is_match).select("family_id", "col", F.col("_m").alias("match_column"), F.when(F.col("ch") != "-", F.col("_r")).alias("residue"), F.col("ch").alias("letter"))
 
 
+def query_mapping(queries: DataFrame, reference: str) -> DataFrame:
+    """family_id, residue, node, percent_identity, low_identity (below 0.9): each family's query record (family_id, raw), all its letters aligned on the structure's. Null queries have no rows."""
+    letters = F.upper(F.regexp_replace("raw", "[^A-Za-z]", ""))
+    own = align_to_reference(queries.select("family_id", letters.alias("sequence")), reference, id_col="family_id")
+    at = own.select("family_id", F.posexplode("node_of").alias("residue", "node"), "percent_identity", (F.col("percent_identity") < LEAST_IDENTITY).alias("low_identity"))
+    return at.filter("node >= 0").withColumn("residue", F.col("residue").cast("long"))
+
+
 def column_map(query_columns: DataFrame, query_mapping: DataFrame) -> DataFrame:
     """Columns whose query residue is on the structure, renumbered: family_id, match_column, col, node, query_residue. query_mapping: family_id, residue, node."""
     j = query_columns.filter("residue is not null").join(query_mapping, ["family_id", "residue"])
@@ -44,15 +56,18 @@ def column_map(query_columns: DataFrame, query_mapping: DataFrame) -> DataFrame:
 def extract_match_states(msa: DataFrame, columns: DataFrame, min_coverage: float = 0.5) -> DataFrame:
     """family_id, seq_id, match_states (letters at the kept columns; others '-') and coverage (4 decimals), if it is at least min_coverage. columns: a few thousand rows a family."""
     kept = columns.groupBy("family_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("match_column", "col"))), lambda x: x["col"]).alias("_cols"))
-    s = msa.join(F.broadcast(kept) if _few(kept) else kept, "family_id")
-    letters = F.transform("_cols", lambda c: F.upper(F.substring(F.col("raw"), c + 1, F.lit(1))))
-    states = F.regexp_replace(F.array_join(F.transform(letters, lambda x: F.when(x == "", "-").otherwise(x)), ""), f"[^{LETTERS}]", "-")
-    s = s.withColumn("match_states", states)
-    share = 1 - (F.length("match_states") - F.length(F.translate("match_states", "-", ""))) / F.size("_cols")
-    return s.withColumn("_c", share).filter(F.col("_c") >= min_coverage).select("family_id", "seq_id", "match_states", F.round("_c", 4).alias("coverage"))
-
-
-def _few(kept: DataFrame, limit: int = 1000) -> bool:
+    s = msa.join(F.broadcast(kept) if few(kept) else kept, "family_id")
+    # the text is cut into letters once; columns are taken by place
+    letters = lambda text: F.array_join(F.transform("_cols", lambda c: F.coalesce(F.get(text, c), F.lit("-"))), "")
+    states = F.regexp_replace(bound(F.split(F.upper("raw"), ""), letters), f"[^{LETTERS}]", "-")
+    share = lambda x: 1 - (F.length(x) - F.length(F.translate(x, "-", ""))) / F.size("_cols")
+    row = bound(states, lambda x: F.struct(x.alias("match_states"), share(x).alias("_c")))
+    # rows are made from an array, so that the filter doesn't compute the states again
+    s = s.select("family_id", "seq_id", F.inline(F.filter(F.array(row), lambda x: x["_c"] >= min_coverage)))
+    return s.select("family_id", "seq_id", "match_states", F.round("_c", 4).alias("coverage"))
+
+
+def few(kept: DataFrame, limit: int = 1000) -> bool:
     """Whether a table of families, a row each, is small enough to broadcast."""
     return kept.limit(limit + 1).count() <= limit
 

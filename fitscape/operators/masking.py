@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import aa_index
+from fitscape.functions.arrays import bound
 from fitscape.operators.assay import code_sites, with_nodes
 
 IGNORED = -100
@@ -15,16 +16,25 @@ def sample_masks(threaded: DataFrame, ratio: float = 0.15, seed: int = 1012, epo
     """family_id, seq_id, epoch, node, visible (-1 if masked or a gap), is_masked, label (IGNORED elsewhere).
 
     max(1, half-even round of ratio * valid) nodes of each sequence and epoch, those of least md5 of
-    seed:epoch:sequence:node. A sequence without valid nodes has none.
+    seed:epoch:sequence:node. A sequence without valid nodes has none. threaded: rows with sites, which are masked
+    inside their array, without any shuffle; or a row for each node, gathered by sequence first.
     """
+    if "sites" not in threaded.columns:
+        threaded = threaded.groupBy("family_id", "seq_id").agg(F.collect_list(F.struct("node", "aa_idx")).alias("sites"))
     e = threaded.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    own = Window.partitionBy("family_id", "seq_id", "epoch")
-    valid = F.col("aa_idx") >= 0
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("seq_id").cast("string"), F.col("node").cast("string")))
-    e = e.withColumn("_n", F.sum(valid.cast("int")).over(own)).withColumn("_r", F.row_number().over(own.orderBy((~valid).cast("int"), h, "node")))
-    masked = valid & (F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(ratio)).cast("int")))
-    e = e.withColumn("is_masked", masked)
-    return e.select("family_id", "seq_id", "epoch", "node", F.when(F.col("is_masked"), -1).otherwise(F.col("aa_idx")).alias("visible"), "is_masked", F.when(F.col("is_masked"), F.col("aa_idx")).otherwise(IGNORED).alias("label"))
+    prefix = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("seq_id").cast("string"), F.lit(""))
+    keyed = F.transform("sites", lambda x: F.struct(F.when(x["aa_idx"] >= 0, F.md5(F.concat(F.col("_prefix"), x["node"].cast("string")))).alias("h"), x["node"].alias("node"), x["aa_idx"].alias("aa_idx")))
+    key = lambda x: F.struct(x["h"], x["node"])
+
+    def masked(sites: Column) -> Column:
+        valid = F.sort_array(F.transform(F.filter(sites, lambda x: x["aa_idx"] >= 0), key))
+        n = lambda v: F.greatest(F.lit(1), F.bround(F.size(v) * F.lit(ratio)).cast("int"))
+        last = bound(valid, lambda v: F.get(v, n(v) - 1))
+        hidden = lambda x, end: F.coalesce((x["aa_idx"] >= 0) & (key(x) <= end), F.lit(False))
+        row = lambda x, yes: F.struct(x["node"].alias("node"), F.when(yes, -1).otherwise(x["aa_idx"]).alias("visible"), yes.alias("is_masked"), F.when(yes, x["aa_idx"]).otherwise(IGNORED).alias("label"))
+        return bound(last, lambda end: F.transform(sites, lambda x: bound(hidden(x, end), lambda yes: row(x, yes))))
+
+    return e.withColumn("_prefix", prefix).select("family_id", "seq_id", "epoch", F.inline(bound(keyed, masked)))
 
 
 def masked_marginals(variants: DataFrame, mapping: DataFrame, covered: DataFrame | None = None) -> DataFrame:

@@ -6,16 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, aa_index
+from fitscape.functions.arrays import bound
+from fitscape.operators.family import few
 
-BROADCAST_COLUMNS = 200_000
+def thread_arrays(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """family_id, seq_id, sites: an array of (node, aa, aa_idx; -1 at gaps) for the kept columns of match_states. Each family's columns (a few thousand) are one row; letters are cut once and taken by place."""
+    kept = columns.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("match_column", "node"))).alias("_cols"))
+    kept = F.broadcast(kept) if few(kept) else kept
+    site = lambda letters, c: bound(F.get(letters, c["match_column"]), lambda x: F.struct(c["node"].alias("node"), x.alias("aa"), aa_index(x).alias("aa_idx")))
+    sites = bound(F.split("match_states", ""), lambda letters: F.filter(F.transform("_cols", lambda c: site(letters, c)), lambda x: x["aa"] != ""))
+    return rows.join(kept, "family_id").select("family_id", "seq_id", sites.alias("sites"))
 
 
 def thread_sequences(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states. Up to BROADCAST_COLUMNS columns of all families are broadcast, so that letters aren't shuffled by the few columns."""
-    letters = rows.select("family_id", "seq_id", F.posexplode(F.split("match_states", "")).alias("match_column", "aa")).filter("aa != ''")
-    nodes = columns.select("family_id", "match_column", "node")
-    nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS else nodes
-    return letters.join(nodes, ["family_id", "match_column"]).select("family_id", "seq_id", "node", "aa", aa_index(F.col("aa")).alias("aa_idx"))
+    """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states."""
+    return thread_arrays(rows, columns).select("family_id", "seq_id", F.inline("sites"))
+
+
+def thread_homologs(aligned: DataFrame, n_nodes: int) -> DataFrame:
+    """family_id, seq_id, sites of align_to_reference's rows: each homolog by its own alignment, with a gap at every node of the structure that has none of its letters."""
+    sites = bound(F.split("on_reference", ""), lambda letters: F.transform(F.sequence(F.lit(0), F.lit(n_nodes - 1)), lambda n: bound(F.get(letters, n), lambda x: F.struct(n.cast("long").alias("node"), x.alias("aa"), aa_index(x).alias("aa_idx")))))
+    return aligned.select("family_id", "seq_id", sites.alias("sites"))
 
 
 def pssm_counts(threaded: DataFrame, residues: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ def family_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf_dir: str, letters: Column, size: int) -> DataFrame:
     """All letters of each document in successive pieces of one size (the last may be shorter), a row each; seq_id is doc_id * 2 ** 20 + piece. A document without letters has none."""
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id", letters.alias("_s")).filter("length(_s) > 0")
+    # a small table may be one block of one file, which a single task would cut, align and mask
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text").repartition("doc_id")
+    d = d.select("lang", "doc_id", letters.alias("_s")).filter("length(_s) > 0")
     d = d.select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / size).cast("int")), lambda k: F.substring(F.col("_s"), size * k + 1, F.lit(size)))).alias("_k", "raw"))
     seq_id = F.col("doc_id") * (1 << 20) + F.col("_k")
     return d.select(F.col("lang").alias("family_id"), seq_id.alias("seq_id"), seq_id.alias("ord"), "raw")

@@ -247,20 +247,51 @@ def clean_sequences(s, d):
     return cleaned(s, d)
 
 
+#: The structure's letters, as in the carriers.
+STRUCTURE = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
+
+
+def homologs(s, d):
+    """All clean pieces of the whole texts against the wild-type letters, within the reference's bounds of identity."""
+    return family.filter_by_identity(cleaned(s, d), STRUCTURE, 0.4, 0.99)
+
+
 @query()
 def align_to_reference(s, d):
-    """All clean pieces of the whole texts against the wild-type letters."""
-    letters = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
-    return family.filter_by_identity(cleaned(s, d), letters, 0.0, 1.0).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
+    """X1, X3."""
+    return homologs(s, d).select("family_id", "seq_id", "n_mapped", "n_equal", r6("percent_identity", "percent_identity"), r6("full_identity", "full_identity"))
 
 
 @query()
 def experiment_mapping(s, d):
     """The experiments of each block of orders, aligned on the wild-type letters."""
-    letters = "".join(LETTERS[((k + 26) * 7) % 20] for k in range(c.NODES))
     single = assay.experiment_sequence(c.raw_single(s, d, c._blocks)).withColumn("single", F.lit(1))
     pair = assay.experiment_sequence(c.raw_pair(s, d, c._blocks), "wt_aa_1").withColumn("single", F.lit(0))
-    return align.experiment_mapping(single.unionByName(pair), letters)
+    return align.experiment_mapping(single.unionByName(pair), STRUCTURE)
+
+
+@query()
+def thread_homologs(s, d):
+    """Each homolog by its own alignment."""
+    return pssm.thread_homologs(homologs(s, d), c.NODES).select("family_id", "seq_id", F.inline("sites")).filter("aa_idx >= 0").select("family_id", "seq_id", "node", "aa_idx")
+
+
+@query()
+def homolog_frequencies(s, d):
+    """X10 to X12 on aligned homologs."""
+    rows = pssm.thread_homologs(homologs(s, d), c.NODES).select("family_id", "seq_id", F.inline("sites"))
+    own = c.family_residues(s, d).withColumn("node", F.col("node").cast("long"))
+    return pssm.pssm_frequencies(pssm.pssm_counts(rows, own), own).select("family_id", "node", "aa", r6("freq", "freq"), "n_observed")
+
+
+@query()
+def structure_columns(s, d):
+    """Each family's query aligned on the structure; columns without a node are out, and identities below 0.9 are reported."""
+    q = family.query_records(c.msa(s, d))
+    at = family.query_mapping(q, STRUCTURE)
+    x = family.column_map(family.match_columns(q), at.select("family_id", "residue", "node"))
+    report = at.select("family_id", r6("percent_identity", "percent_identity"), "low_identity").distinct()
+    return x.join(report, "family_id").select("family_id", *[F.col(k).cast("long").alias(k) for k in ("match_column", "col", "node", "query_residue")], "percent_identity", "low_identity")
 
 
 @query("select seq_id from sequences order by seq_id limit 100")
@@ -373,7 +404,7 @@ MASKED = """masked as (select family_id, seq_id, epoch, node, aa_idx, aa_idx >=
 
 
 def masked(s, d):
-    return masking.sample_masks(threaded(s, d), epochs=2)
+    return masking.sample_masks(pssm.thread_arrays(states(s, d), c.msa_columns(s, d)), epochs=2)
 
 
 @query(f"with {MASKED} select family_id, seq_id, epoch::int as epoch, node::int as node, case when is_masked then -1 else aa_idx end as visible, is_masked, case when is_masked then aa_idx else -100 end as label from masked")

@@ -1,13 +1,14 @@
 """Hand-made edge cases, golden values and brute-force twins."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, aa_index, letter_of_name
-from fitscape.operators import align, assay, cluster, dynamics, features, masking, metrics, ordering, pssm, scoring, splits, structure
+from fitscape.operators import align, assay, cluster, dynamics, family, features, masking, metrics, ordering, pssm, scoring, splits, structure
 
 STRUCTURE = (
     "HPETLVKVKDAEDQLGARVGYIELDLNSGKILESFRPEERFPMMSTFKVLLCGAVLSRIDAGQEQLGRRIHYSQNDLVEYSPVTEKHLTDGMTVRELCSAAITMSDNTAANLLLTTIGGPKELTAFLHNMGDHVTRLDRWEPELNEAIPNDERDTTMPVAMATTLRKLLTGELLTLASRQQLIDWMEADKVAGPLLRSALPAGWFIADKSGAGERGSRGIIAALGPDGKPSRIVVIYTTGSQATMDERNRQIAEIGASLIKHW"
@@ -412,3 +413,65 @@ def test_chain_of_couplings(spark):
         i, j = e["dst"], e["src"]
         assert e["features"][96] == ((j, i) in top) and e["features"][98] == pytest.approx(a[i, j] / np.abs(a).max(), abs=1e-5)
         assert e["features"][0] == pytest.approx(np.exp(-((np.linalg.norm(x[i] - x[j]) - 2) ** 2) / (10 / 6) ** 2))
+
+
+def test_long_alignment_in_bounded_memory():
+    random.seed(9)
+    long = "".join(random.choices(LETTERS, k=40_000))
+    tracemalloc.start()
+    (got,) = align.align_pairs([long], STRUCTURE[:60])
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    tracemalloc.stop()
+    assert len(got) == 40_000 and score(got, long, STRUCTURE[:60]) == pytest.approx(best_by_rows(long, STRUCTURE[:60]))
+    kept = align._kept(200)
+    some = ["".join(random.choices("ARN", k=n)) for n in (kept - 1, kept, kept + 1, 2 * kept, 200, 0, 1)]
+    for s, places in zip(some, align.align_pairs(some, "ARNNAR" * 5), strict=True):
+        assert score(places, s, "ARNNAR" * 5) == pytest.approx(best_score(s, "ARNNAR" * 5))
+
+
+def best_by_rows(a, b):
+    low = np.full(len(b) + 1, -1e9)
+    best, up = np.array([0.0] + [-2 - 0.5 * j for j in range(len(b))]), low
+    for x in a:
+        up = np.maximum(best - 2, up - 0.5)
+        new = up.copy()
+        new[1:] = np.maximum(new[1:], best[:-1] + np.where(np.array(list(b)) == x, 1, -1))
+        left = -1e9
+        for j in range(1, len(b) + 1):
+            left = max(new[j - 1] - 2, left - 0.5)
+            new[j] = max(new[j], left)
+        best = new
+    return best[-1]
+
+
+def test_homologs_by_their_own_alignment(spark):
+    data = [("f", 1, STRUCTURE[10:200]), ("f", 2, STRUCTURE[:90] + STRUCTURE[120:]), ("f", 3, "A" * 50), ("g", 4, STRUCTURE)]
+    df = spark.createDataFrame(data, "family_id string, seq_id long, sequence string")
+    aligned = family.filter_by_identity(df, STRUCTURE, 0.5, 1.0)
+    got = {}
+    for r in pssm.thread_homologs(aligned, len(STRUCTURE)).select("seq_id", F.inline("sites")).collect():
+        got.setdefault(r["seq_id"], {})[r["node"]] = r["aa_idx"]
+    plain = {}
+    for _, i, s in data:
+        (places,) = align.align_pairs([s], STRUCTURE)
+        same = sum(STRUCTURE[p] == c for p, c in zip(places, s, strict=True) if p >= 0)
+        if 0.5 <= same / sum(p >= 0 for p in places) <= 1:
+            plain[i] = {n: -1 for n in range(len(STRUCTURE))} | {p: LETTERS.index(c) for p, c in zip(places, s, strict=True) if p >= 0}
+    assert got == plain and 4 in got and min(got[1].values()) == -1
+    queries = spark.createDataFrame([("f", STRUCTURE[:60].lower() + "--.." + STRUCTURE[60:100]), ("g", "ARND" * 30), ("h", None)], "family_id string, raw string")
+    at = family.query_mapping(queries, STRUCTURE)
+    report = {r["family_id"]: r["low_identity"] for r in at.select("family_id", "low_identity").distinct().collect()}
+    assert report == {"f": False, "g": True}
+    (places,) = align.align_pairs([STRUCTURE[:100]], STRUCTURE)
+    columns = rows(family.column_map(family.match_columns(queries.filter("family_id = 'f'")), at), "match_column", "col", "node", "query_residue")
+    assert columns == sorted(((k, 64 + k, places[60 + k], 60 + k) for k in range(40)), key=repr)
+
+
+def test_masks_of_arrays_and_rows(spark):
+    random.seed(12)
+    states = spark.createDataFrame([("f", k, "".join(random.choice(LETTERS + "---") for _ in range(30))) for k in range(40)] + [("f", 99, "-" * 30), ("f", 100, "")], "family_id string, seq_id long, match_states string")
+    columns = spark.createDataFrame([("f", k, 100 + k * 3) for k in range(30) if k % 7], "family_id string, match_column int, node long")
+    arrays, flat = pssm.thread_arrays(states, columns), pssm.thread_sequences(states, columns)
+    assert rows(masking.sample_masks(arrays, 0.3, epochs=3)) == rows(masking.sample_masks(flat, 0.3, epochs=3))
+    assert "Exchange hash" not in masking.sample_masks(arrays)._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert flat.filter("seq_id = 0").count() == 25 and flat.filter("seq_id = 100").count() == 0
