@@ -124,8 +124,8 @@ class Segmenter:
 class Lexicon:
     """The compiled lexicon: states, and transitions with the tokens that they emit."""
 
-    #: Transitions kept at once (with their states about 400 bytes each); beyond that all are compiled anew.
-    KEPT = 1 << 19
+    #: Transitions kept at once (with their states about 400 bytes each); beyond that all are compiled anew. Bytes of pretokens that are read in step; what few have behind them is read one by one.
+    KEPT, IN_STEP = 1 << 19, 64
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -147,6 +147,7 @@ class Lexicon:
         self.states = [(b"", ((None, 0),))]
         self.number = {self.states[0]: 0}
         self.apart.clear()
+        self.moves: dict[int, tuple[int, int]] = {}
         self.keys, self.to, self.emits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _edges(self, token: bytes) -> tuple | None:
@@ -189,21 +190,41 @@ class Lexicon:
         more = before[1] + 1
         keep = next(k for k in range(len(text)) if text[k:] in self.begins)
         made = (text[keep:], (*((t, n - more) for t, n in places[keep:]), (last, 0)))
+        return self._numbered(made), more
+
+    def _numbered(self, made: tuple) -> int:
         if made not in self.number:
             self.number[made] = len(self.states)
             self.states.append(made)
-        return self.number[made], more
+        return self.number[made]
+
+    def _read_on(self, state: int, data: bytes) -> int:
+        """Tokens emitted from a state on; a new transition costs no more than itself, and too many of them are dropped on the way."""
+        total = 0
+        for byte in data:
+            key = state << 8 | byte
+            move = self.moves.get(key)
+            if move is None:
+                if len(self.moves) >= self.KEPT:
+                    here = self.states[state]
+                    self._clear()
+                    state = self._numbered(here)
+                    key = state << 8 | byte
+                move = self.moves[key] = self._compile(state, byte)
+            state, n = move
+            total += n
+        return total
 
     def counts(self, pretokens: list[bytes]) -> np.ndarray:
-        """Tokens of each pretoken, all read in step."""
-        if len(self.keys) > self.KEPT:
+        """Tokens of each pretoken: their first IN_STEP bytes all in step, the others' rest by itself."""
+        if len(self.keys) + len(self.moves) > self.KEPT:
             self._clear()
         size = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         order = np.argsort(-size, kind="stable")
         data, start = np.frombuffer(b"".join(pretokens), np.uint8), (np.cumsum(size) - size)[order]
         longest_first = size[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for place in range(int(size.max(initial=0))):
+        for place in range(min(self.IN_STEP, int(size.max(initial=0)))):
             on = int(np.searchsorted(-longest_first, -place))
             key = state[:on] << 8 | data[start[:on] + place]
             at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
@@ -217,6 +238,10 @@ class Lexicon:
                 at = np.searchsorted(self.keys, key)
             state[:on] = self.to[at]
             total[:on] += self.emits[at]
+        # by content, as numbers change if the table is dropped on the way
+        rest = [self.states[x] for x in state[: int(np.searchsorted(-longest_first, -self.IN_STEP))].tolist()]
+        for i, here in enumerate(rest):
+            total[i] += self._read_on(self._numbered(here), pretokens[order[i]][self.IN_STEP :])
         out = np.empty(len(order), np.int64)
         out[order] = total
         return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ from fitscape.llm.shared import table
 from fitscape.llm.substring_dedup import parsed
 
 
+#: Columns that stages know; they use no other names of a table.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+_Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _own_names(stage: _Stage) -> _Stage:
+    """A stage that returns the columns of docs: all but KNOWN have other names meanwhile, so none can clash with those that operators add."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[x if x in KNOWN else f"extra{k}" for k, x in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def _with_text(docs: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
     """Rows with another text, and n_chars to match, where it changed."""
     out = docs.withColumn("__text", text).withColumn("__changed", changed)
@@ -26,13 +45,15 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(x).isNull() for x in docs.columns], *docs.columns)
 
 
+@_own_names
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their lines over the limit; n_chars follows the text. Null and repeated ids are judged row by row; an empty table gives none."""
+    """Documents that the rules keep, without their lines over the limit; n_chars follows the text. Null and repeated ids are judged row by row, very long texts like others; an empty table gives none; other columns stay, whatever their names."""
     # a random column keeps the filter where it is: pushed down, it would compute all measures again, inside each other
     found = judged(docs).withColumn("__here", F.rand()).filter("__quality.kept and __here >= 0")
     return _with_text(found, docs.columns, F.col("__quality.clean_text"), F.col("__quality.hot_lines").isNotNull())
 
 
+@_own_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the row with the smallest id (null ids last, then by the row's hash).
 
@@ -46,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
+@_own_names
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that a document with a smaller id has.
 
@@ -56,6 +78,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _with_text(cut, docs.columns, F.col("__cut.kept_text"), F.col("__cut.n_removed") > 0)
 
 
+@_own_names
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the test items, row by row: null and repeated ids are judged like others; an empty table gives none."""
     found = searched(docs, table(spark, sf_dir, "benchmark"))
@@ -63,5 +86,5 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences; a null text is its end alone; an empty table gives none."""
+    """The pieces of the packed sequences; a null text is its end alone, very long texts are cut into full windows; an empty table gives none; other columns are ignored."""
     return pack_documents(docs)

@@ -29,7 +29,7 @@ from fitscape.llm import textkit as kit
 from fitscape.llm.shared import Scratch, small_slices
 
 SEED_WORDS = 8
-#: Segments of one anchor that a block takes at most, words of a block (about 6 MB of text), and rows of a broadcast table of hot windows (16 bytes each).
+#: Segments of one anchor that a block takes at most, words of a block, which one anchor's segments don't exceed either (about 6 MB of text), and rows of a broadcast table of hot windows (16 bytes each).
 HOT_SEGMENTS, BLOCK_WORDS, BROADCAST_WINDOWS = 512, 1_000_000, 1_000_000
 
 
@@ -185,8 +185,9 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = rows.mapInArrow(anchors, "a long, low long, high long, n long, words long").groupBy("a")
     spread = spread.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("words").alias("words")).filter("low < high").select("a", "n", "words")
     spread = scratch.stored(spread, "anchors")
-    total, n_hot = spread.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count_if(F.col("n") > HOT_SEGMENTS)).first()
-    shared = spark.sparkContext.broadcast((bloom_of(spread, "a", bloom_words), bloom_of(spread.filter(F.col("n") > HOT_SEGMENTS), "a", bloom_words) if n_hot else None))
+    many = (F.col("n") > HOT_SEGMENTS) | (F.col("words") > BLOCK_WORDS)
+    total, n_hot = spread.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count_if(many)).first()
+    shared = spark.sparkContext.broadcast((bloom_of(spread, "a", bloom_words), bloom_of(spread.filter(many), "a", bloom_words) if n_hot else None))
     scratch.clear()
 
     def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -299,7 +300,7 @@ def parsed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     """docs with a column __cut: n_words, n_removed, spans, factors and kept_text of substring_dedup()."""
     place, plain = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
     found = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words, bloom_words=bloom_words)
-    rows = docs.withColumn("__key", _key(id_col, text_col)).toDF(*plain, "_key").join(found, "_key", "left").select(*plain, "found")
+    rows = docs.toDF(*plain).withColumn("_key", _key(plain[docs.columns.index(id_col)], plain[place])).join(found, "_key", "left").select(*plain, "found")
     span, factor = pa.struct([("begin", pa.int32()), ("end", pa.int32())]), pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

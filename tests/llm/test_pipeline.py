@@ -94,6 +94,20 @@ def test_rows_without_an_id_of_their_own_stay(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted([(9, own(1)), (None, own(2)), (7, own(3)), (7, own(4))], key=repr)
 
 
+def test_stages_keep_columns_of_any_name(spark, tables):
+    """Names that stages and operators use themselves: rows and values are those without these columns."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id is not null")
+    odd = docs
+    for name in ("__key", "_key", "__found", "__quality", "__row", "__text", "__changed", "__here", "__cut", "__host", "c0", "extra0", "found", "component_id", "_text", "key"):
+        odd = odd.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, tables), stage(spark, odd, tables)
+        assert got.columns == odd.columns, name
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, got.select(plain.columns).collect())), name
+        assert got.filter("__row != concat('__row', doc_id) or c0 != concat('c0', doc_id) or __cut != concat('__cut', doc_id)").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, tables).count() > 0
+
+
 def test_run_and_empty_tables(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, tables).count() > 20
     for name in ("documents", "benchmark"):

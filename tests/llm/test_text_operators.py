@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -552,3 +553,28 @@ def test_all_words_get_a_class_of_their_neighbours(spark, monkeypatch):
     for r in class_lm.score(df, model, counts).collect():
         own = [None, *texts[r["doc_id"]].split(), None]
         assert r["score"] == pytest.approx(sum(model.transition[cls[a], cls[b]] + math.log10(c[b] / model.mass[cls[b]]) for a, b in zip(own, own[1:], strict=False)))
+
+
+def test_long_pretokens(monkeypatch):
+    """Words of any length cost time in proportion, and the library's counts stay as the table is dropped on the way."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    random.seed(4)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (63, 64, 65, 129, 5000)] + ["é" * 3000, "ab" * 4000, " " * 5000 + "x", "!" * 2000, "a " * 50 + "b" * 700]
+    expected = [len(x.ids) for x in bpe.library(path).encode_batch(texts, add_special_tokens=False)]
+    assert fst_tokens.token_counts([t.encode() for t in texts], fst_tokens.Lexicon(path)).tolist() == expected
+    small = fst_tokens.Lexicon(path)
+    monkeypatch.setattr(small, "KEPT", 300)
+    assert fst_tokens.token_counts([t.encode() for t in texts], small).tolist() == expected and len(small.moves) <= 300
+    began = time.process_time()
+    fst_tokens.token_counts(["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)).encode()], fst_tokens.Lexicon(path))
+    assert time.process_time() - began < 20
+
+
+def test_anchor_of_many_words(spark, monkeypatch):
+    """Texts of one repeated word are one segment each; an anchor of many words is counted by windows, with the same result."""
+    rows = [(k, "same " * (200 + k % 3) + f"own{k} " * (k % 2)) for k in range(30)] + [(99, "same " * 49), (100, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df).collect())
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 1000)
+    assert usual == sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df).collect())
+    assert usual[0][1] == 0 and all(n == 200 + d % 3 for d, n, _ in usual if 2 < d < 99)
