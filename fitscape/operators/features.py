@@ -79,6 +79,18 @@ def wild_type_background(residues: DataFrame, props: DataFrame, structural: Data
     return x.select("structure_id", "node", F.concat(F.array(F.lit(0.0)), one_hot(aa_index(F.col("aa"))), "_p", zeros, F.array_repeat(F.lit(0.0), 20), "_st").alias("features"))
 
 
+def graph_rows(changed: DataFrame, background: DataFrame) -> DataFrame:
+    """assay_id, ord, node, features of all nodes of the structure for each variant of changed (mutated_node_features): its own rows, and the background's (node, features; one structure, thousands of nodes at most) elsewhere.
+
+    The background is one array, in which a variant's nodes are replaced before it becomes rows; nothing is shuffled but
+    the changed rows of a variant, of which there are two at most.
+    """
+    whole = background.agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("node"), F.col("features").alias("features")))).alias("_all"))
+    own = changed.groupBy("assay_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("node", "features"))).alias("_own"))
+    place = lambda x: F.struct(x["node"].alias("node"), F.coalesce(F.try_element_at("_own", x["node"]), x["features"]).alias("features"))
+    return own.join(F.broadcast(whole), F.lit(True)).select("assay_id", "ord", F.inline(F.transform("_all", place)))
+
+
 def _scaled(df: DataFrame, value: str, by: list[str], shift: Column, scale: Column, name: str) -> DataFrame:
     stats = df.filter("split = 'train'").groupBy(*by).agg(shift.alias("_shift"), scale.alias("_scale"))
     return df.join(stats, by, "left").withColumn(name, (F.col(value) - F.col("_shift")) / F.nullif("_scale", F.lit(0.0))).drop("_shift", "_scale")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitscape.operators.ordering import running_sum
+from fitscape.operators.ordering import running_sum, with_ordinal
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -28,25 +28,19 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
-    """Adds the average rank (from 1) within `by`; ties share it."""
-    own = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(own.orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
-
-
-def average_ranks_at_scale(df: DataFrame, column: str, name: str) -> DataFrame:
-    """average_ranks of one huge group: ranks of the distinct values by bucketed running sums."""
-    values = df.groupBy(column).agg(F.count("*").alias("_c"))
-    upto = running_sum(values, "_c", [column], name="_u")
-    return df.join(upto.select(column, (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(name)), column)
+    """Adds the average rank (from 1) within `by`; ties share it. Distinct values are counted and summed in ranges of (by, value), so no group is one task's."""
+    values = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
+    upto = running_sum(values, "_c", [column], by, name="_u").select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate([*by, column])], (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(name))
+    same = F.lit(True)
+    for k, c in enumerate([*by, column]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{k}"))
+    return df.join(upto, same).select(*df.columns, name)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, rho: Pearson of average ranks."""
     d = df.withColumn("_vx", _clean(F.col(x))).withColumn("_vy", _clean(F.col(y))).filter("_vx is not null and _vy is not null").select(*by, "_vx", "_vy")
-    if by:
-        d = average_ranks(average_ranks(d, "_vx", by, "_rx"), "_vy", by, "_ry")
-    else:
-        d = average_ranks_at_scale(average_ranks_at_scale(d, "_vx", "_rx"), "_vy", "_ry")
+    d = average_ranks(average_ranks(d, "_vx", by, "_rx"), "_vy", by, "_ry")
     return pearson(d, "_rx", "_ry", by).withColumnRenamed("r", "rho")
 
 
@@ -119,8 +113,7 @@ def leaderboard(runs: DataFrame, base_seed: str) -> DataFrame:
         F.max_by(F.when(F.col("seed") == base_seed, F.col("score")), F.when(F.col("seed") == base_seed, F.col("run"))).alias("base"),
     )
     key = s.withColumn("_rest", -F.col("mean")).withColumn("_key", -F.col("n_seeds"))
-    w = Window.orderBy("_key", "_rest", "trial")
-    return key.withColumn("place", F.row_number().over(w).cast("long")).drop("_key", "_rest")
+    return with_ordinal(key, ["_key", "_rest", "trial"], name="place").drop("_key", "_rest")
 
 
 def top_trials(runs: DataFrame, k: int) -> DataFrame:

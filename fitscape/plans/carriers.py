@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
-from fitscape.operators.assay import combine_assays, run_index
+from fitscape.operators.assay import combine_assays, run_index_at_scale
 from fitscape.operators.structure import atom_distances
 
 NODES = 264
@@ -54,7 +54,7 @@ def raw_pair(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine_assays(*(run_index(x(spark, sf_dir), "position", "ord", ["assay_id"]) for x in (raw_single, raw_pair)))
+    return combine_assays(*(run_index_at_scale(x(spark, sf_dir), "position", "ord", ["assay_id"]) for x in (raw_single, raw_pair)))
 
 
 def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,18 @@ def wild_type_background(s, d):
     return exploded(features.wild_type_background(r, props(s, d), r.select("structure_id", "node", F.array(F.lit(1.5), F.lit(0.0)).alias("features"))), ["structure_id", "node"])
 
 
+@query(f"""with ps as (select aa, list_sum(p) as t from parr), b as (select node, 1 + t + node / 100.0::double as v from (select distinct node, aa from family_residues) join ps using (aa)),
+ s as (select assay_id, ord, node_1 as node, wt_1 as wt, m1 as mut from placed where node_1 is not null union all select assay_id, ord, node_2, wt_2, m2 from placed where node_1 is not null and node_2 is not null)
+ select assay_id, ord, {c.NODES}::bigint as n_nodes, count(*) as n_changed, round((select sum(v) from b) - sum(b.v) + sum(3 + 2 * m.t - w.t + node / 100.0::double), 4) as total from s join b using (node) join ps w on w.aa = s.wt join ps m on m.aa = s.mut group by 1, 2""")
+def graph_node_features(s, d):
+    """all nodes of each variant's graph, as the number of nodes, of changed ones and the sum of all features."""
+    own = c.family_residues(s, d).select(F.lit(0).alias("structure_id"), F.col("node").cast("long").alias("node"), "aa").distinct()
+    back = features.wild_type_background(own, props(s, d), node_table(s, d).withColumn("structure_id", F.lit(0)))
+    x = features.graph_rows(features.mutated_node_features(c.variants(s, d), c.mapping(s, d), props(s, d), node_table(s, d)), back)
+    add = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return x.groupBy("assay_id", "ord").agg(F.count("*").alias("n_nodes"), F.sum((F.get("features", F.lit(0)) == 1).cast("long")).alias("n_changed"), F.round(F.sum(add), 4).alias("total"))
+
+
 @query("select model, ord, round((target - m) / s, 6) as scaled from predictions join (select model, avg(target) as m, stddev_samp(target) as s from predictions where split = 'train' group by 1) using (model)")
 def standardize_labels(s, d):
     return features.standardize(c.predictions(s, d), "target", ["model"]).select("model", "ord", r6("scaled", "scaled"))
