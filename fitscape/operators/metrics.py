@@ -93,10 +93,11 @@ def share_above(df: DataFrame, value: str, cut: float, by: list[str]) -> DataFra
     return df.groupBy(*by).agg(F.sum((F.col(value) >= cut).cast("long")).alias("n_at_least"), F.avg((F.col(value) > cut).cast("int")).alias("share_above"))
 
 
-def subset_correlations(scores: DataFrame, x: str, y: str) -> DataFrame:
-    """subset (single, pair, all), n, r, rho."""
-    d = scores.select(F.explode(F.array(F.when(F.col("single") == 1, "single").otherwise("pair"), F.lit("all"))).alias("subset"), x, y)
-    return pearson(d, x, y, ["subset"]).join(spearman(d, x, y, ["subset"]).drop("n"), "subset")
+def subset_correlations(scores: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """by, subset (single, pair, all), n, r, rho."""
+    key = [*(by or []), "subset"]
+    d = scores.select(*(by or []), F.explode(F.array(F.when(F.col("single") == 1, "single").otherwise("pair"), F.lit("all"))).alias("subset"), x, y)
+    return pearson(d, x, y, key).join(spearman(d, x, y, key).drop("n"), key)
 
 
 def merge_predictions(a: DataFrame, b: DataFrame) -> DataFrame:

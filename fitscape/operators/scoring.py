@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
@@ -15,13 +15,14 @@ from fitscape.operators.assay import code_sites, real_mutations
 
 
 def conservation_score(variants: DataFrame, mapping: DataFrame, pssm: DataFrame) -> DataFrame:
-    """assay_id, ord, single, code, fitness, score of real mutations: sum over aligned sites of ln freq(mutant) - ln freq(experiment's wild type). pssm: node, aa, freq > 0."""
+    """assay_id, ord, single, code, fitness, score of real mutations: sum over aligned sites of ln freq(mutant) - ln freq(experiment's wild type). pssm: node, aa, freq > 0; with family_id each family scores each variant, and rows have it too."""
+    fam = [x for x in ("family_id",) if x in pssm.columns]
     v = real_mutations(variants, mapping).filter("real").withColumn("_s", code_sites(F.col("code")))
     site = lambda k: F.struct(F.col(f"node_{k}").alias("node"), F.col(f"wt_{k}").alias("wt"), F.get("_s", F.lit(k - 1))["mut"].alias("mut"))
     keys = ["assay_id", "ord", "single", "code", "fitness"]
     sites = v.select(*keys, F.inline(F.array(site(1), site(2)))).filter("node is not null and mut is not null")
-    f = lambda x: pssm.select("node", F.col("aa").alias(x), F.log("freq").alias(f"f_{x}"))
-    return sites.join(f("wt"), ["node", "wt"]).join(f("mut"), ["node", "mut"]).groupBy(*keys).agg(F.sum(F.col("f_mut") - F.col("f_wt")).alias("score"))
+    f = lambda x: pssm.select(*fam, "node", F.col("aa").alias(x), F.log("freq").alias(f"f_{x}"))
+    return sites.join(f("wt"), ["node", "wt"]).join(f("mut"), [*fam, "node", "mut"]).groupBy(*fam, *keys).agg(F.sum(F.col("f_mut") - F.col("f_wt")).alias("score"))
 
 
 def restrict_to(df: DataFrame, reference: DataFrame, key: str = "code") -> tuple[DataFrame, DataFrame]:
@@ -33,21 +34,23 @@ def restrict_to(df: DataFrame, reference: DataFrame, key: str = "code") -> tuple
 
 
 def mutational_scan(pssm: DataFrame, residues: DataFrame, variants: DataFrame, mapping: DataFrame) -> DataFrame:
-    """node, wt_aa, mut_aa, predicted (ln ratio to the structure's letter, 4 decimals), actual (the last measured single's fitness, or null) of each node and other letter."""
-    wt = residues.select("node", F.col("aa").alias("wt_aa"))
-    f = pssm.select("node", F.col("aa").alias("mut_aa"), F.log("freq").alias("f"))
-    own = f.select("node", F.col("mut_aa").alias("wt_aa"), F.col("f").alias("f_wt"))
-    grid = wt.join(f, "node").filter("wt_aa != mut_aa").join(own, ["node", "wt_aa"]).select("node", "wt_aa", "mut_aa", F.round(F.col("f") - F.col("f_wt"), 4).alias("predicted"))
+    """node, wt_aa, mut_aa, predicted (ln ratio to the structure's letter, 4 decimals), actual (the last measured single's fitness, or null) of each node and other letter. With family_id in pssm and residues, of each family."""
+    fam = [x for x in ("family_id",) if x in pssm.columns]
+    wt = residues.select(*fam, "node", F.col("aa").alias("wt_aa"))
+    f = pssm.select(*fam, "node", F.col("aa").alias("mut_aa"), F.log("freq").alias("f"))
+    own = f.select(*fam, "node", F.col("mut_aa").alias("wt_aa"), F.col("f").alias("f_wt"))
+    grid = wt.join(f, [*fam, "node"]).filter("wt_aa != mut_aa").join(own, [*fam, "node", "wt_aa"]).select(*fam, "node", "wt_aa", "mut_aa", F.round(F.col("f") - F.col("f_wt"), 4).alias("predicted"))
     s = variants.filter("single = 1").join(mapping.select("assay_id", "single", "idx", "node"), ["assay_id", "single", "idx"])
     s = s.groupBy("node", F.get(code_sites(F.col("code")), F.lit(0))["mut"].alias("mut_aa")).agg(F.max_by("fitness", F.struct("ord", "assay_id")).alias("actual"))
-    return grid.join(s, ["node", "mut_aa"], "left").select("node", "wt_aa", "mut_aa", "predicted", F.round("actual", 4).alias("actual"))
+    return grid.join(s, ["node", "mut_aa"], "left").select(*fam, "node", "wt_aa", "mut_aa", "predicted", F.round("actual", 4).alias("actual"))
 
 
 def scan_matrix(scan: DataFrame, letters: str = LETTERS) -> DataFrame:
     """mut_aa and a column for each letter's normalised prediction by node range is left to the sink; here: node, mut_aa, predicted_norm (by the greatest absolute), actual_norm ((actual - 1) by the greatest absolute), row (place of the letter)."""
-    top = scan.agg(F.max(F.abs("predicted")).alias("_p"), F.max(F.abs(F.col("actual") - 1)).alias("_a"))
-    x = scan.join(F.broadcast(top), F.lit(True))
-    return x.select("node", "mut_aa", F.instr(F.lit(letters), F.col("mut_aa")).alias("row"), (F.col("predicted") / F.nullif("_p", F.lit(0.0))).alias("predicted_norm"), ((F.col("actual") - 1) / F.nullif("_a", F.lit(0.0))).alias("actual_norm"))
+    fam = [x for x in ("family_id",) if x in scan.columns]
+    own = Window.partitionBy(*fam) if fam else Window.partitionBy(F.lit(0))
+    x = scan.withColumn("_p", F.max(F.abs("predicted")).over(own)).withColumn("_a", F.max(F.abs(F.col("actual") - 1)).over(own))  # nodes by letters: a few thousand rows
+    return x.select(*fam, "node", "mut_aa", F.instr(F.lit(letters), F.col("mut_aa")).alias("row"), (F.col("predicted") / F.nullif("_p", F.lit(0.0))).alias("predicted_norm"), ((F.col("actual") - 1) / F.nullif("_a", F.lit(0.0))).alias("actual_norm"))
 
 
 def scan_pivot(matrix: DataFrame, nodes: list[int], value: str = "predicted_norm") -> DataFrame:

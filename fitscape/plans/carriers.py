@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
-from fitscape.operators.assay import combine_assays, run_index_at_scale
+from fitscape.operators.assay import combine_assays
 from fitscape.operators.structure import atom_distances
 
 NODES = 264
@@ -54,26 +54,18 @@ def raw_pair(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine_assays(*(run_index_at_scale(x(spark, sf_dir), "position", "ord", ["assay_id"]) for x in (raw_single, raw_pair)))
-
-
-def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """variants() of all orders; idx is the position within the block, so gaps between order keys don't shift it."""
+    """Of all orders; idx is the position within the block, so gaps between order keys don't shift it."""
     idx = lambda x: x(spark, sf_dir, _blocks).withColumn("idx", F.col("position") - 26)
     return combine_assays(idx(raw_single), idx(raw_pair))
 
 
-def mapping(spark: SparkSession, sf_dir: str, orders=_orders) -> DataFrame:
+def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index idx of each experiment is position 26 + idx; each fortieth is unaligned."""
-    keys = orders(spark, sf_dir).select("assay_id", "single").distinct()
+    keys = _blocks(spark, sf_dir).select("assay_id", "single").distinct()
     idx = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(NODES - 1))).alias("idx")).filter("idx % 40 != 39").withColumn("idx", F.col("idx").cast("long"))
     return idx.select("assay_id", "single", "idx", (F.col("idx") - F.floor(F.col("idx") / 40)).cast("long").alias("node"), _letter((F.col("idx") + 26) * 7).alias("wt_aa"))
 
 
-def block_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping(spark, sf_dir, _blocks)
-
-
 def family_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """family_id, node, aa: the structure's letter at each node, of each family."""
     fam = table(spark, sf_dir, "documents").select(F.col("lang").alias("family_id")).distinct()
@@ -180,9 +172,9 @@ CTES = {
  fitness, fitness_err, fitness * 0.5::double as mut1_fitness, fitness_err * 2 as mut1_err, fitness * 0.25::double as mut2_fitness, fitness_err * 3 as mut2_err, fitness * 0.25::double as epistasis from o where single = 0""",
     "idx_single": "select *, cast(sum(n) over (partition by assay_id order by ord) - 1 as bigint) as idx from (select *, case when position is not distinct from lag(position) over (partition by assay_id order by ord) then 0 else 1 end as n from raw_single)",
     "idx_pair": "select *, cast(sum(n) over (partition by assay_id order by ord) - 1 as bigint) as idx from (select *, case when position is not distinct from lag(position) over (partition by assay_id order by ord) then 0 else 1 end as n from raw_pair)",
-    "variants": """select assay_id, ord, 1 as single, idx, concat_ws('_', wt_aa, position, mut_aa) as code, fitness, fitness_err, -111::double as epistasis, mut_aa as m1, null as m2, wt_aa as w1, null as w2, position from idx_single
- union all select assay_id, ord, 0, idx, concat_ws('_', wt_aa_1, wt_aa_2, position, mut_aa_1, mut_aa_2), fitness, fitness_err, epistasis, mut_aa_1, mut_aa_2, wt_aa_1, wt_aa_2, position from idx_pair""",
-    "mapping": f"select assay_id, single, idx, idx - idx // 40 as node, {_sql_letter('(idx + 26) * 7')} as wt_aa from (select distinct assay_id, single from o), (select range as idx from range({NODES})) where idx % 40 != 39",
+    "variants": """select assay_id, ord, 1 as single, idx, concat_ws('_', wt_aa, position, mut_aa) as code, fitness, fitness_err, -111::double as epistasis, mut_aa as m1, null as m2, wt_aa as w1, null as w2, position from block_single
+ union all select assay_id, ord, 0, idx, concat_ws('_', wt_aa_1, wt_aa_2, position, mut_aa_1, mut_aa_2), fitness, fitness_err, epistasis, mut_aa_1, mut_aa_2, wt_aa_1, wt_aa_2, position from block_pair""",
+    "mapping": f"select assay_id, single, idx, idx - idx // 40 as node, {_sql_letter('(idx + 26) * 7')} as wt_aa from (select distinct assay_id, single from ob), (select range as idx from range({NODES})) where idx % 40 != 39",
     "placed": """select v.*, a.node as node_1, a.wt_aa as wt_1, case when v.single = 0 then b.node end as node_2, case when v.single = 0 then b.wt_aa end as wt_2 from variants v
  left join mapping a on a.assay_id = v.assay_id and a.single = v.single and a.idx = v.idx left join mapping b on b.assay_id = v.assay_id and b.single = v.single and b.idx = v.idx + 1""",
     "flagged": "select *, node_1 is not null as aligned, node_1 is not null and (coalesce(m1 != wt_1, false) or coalesce(node_2 is not null and m2 != wt_2, false)) as really from placed",
@@ -198,7 +190,6 @@ CTES = {
     "counts": "select family_id, node, aa, cast(sum(n) as bigint) as n from (select family_id, node, aa, 1 as n from threaded where aa_idx >= 0 union all select family_id, node, aa, 1 from family_residues) group by 1, 2, 3",
     "pssm": """select family_id, node, aa, aa_idx, (n + 1.0::double) / (sum(n) over (partition by family_id, node) + 20.0::double) as freq, cast(sum(n) over (partition by family_id, node) as bigint) as n_observed
  from (select g.family_id, g.node, l.aa, l.aa_idx, coalesce(c.n, 0) as n from (select distinct family_id, node from family_residues) g cross join letters l left join counts c on c.family_id = g.family_id and c.node = g.node and c.aa = l.aa)""",
-    "one_pssm": "select node, aa, aa_idx, freq from pssm where family_id = 'en'",
     "residues": f"""select vec_id // {NODES} as structure_id, vec_id % {NODES} as node, {_sql_letter('vec_id')} as aa, vec_id,
  {', '.join(f"[{', '.join(f'embedding[{k + j + 1}]::double * 10' for j in range(3))}] as {a}" for a, k in (('ca', 0), ('n', 3), ('c', 6), ('o', 9)))} from embeddings""",
     "chosen": "select structure_id, node from residues where node % 9 = 4",
@@ -219,6 +210,15 @@ CTES = {
     "parr": "select aa, list(value order by prop_id) as p from zprops group by aa",
 }
 
+# each block of orders has its own assays, see _blocks()
+_SIZE = KEYS * NODES
+CTES["ob"] = f"select concat(assay_id, '-', ord // {_SIZE}) as assay_id, ord, 26 + (ord % {_SIZE}) // {KEYS} as position, fitness, fitness_err, single from o"
+for _kind in ("single", "pair"):
+    CTES[f"block_{_kind}"] = CTES[f"raw_{_kind}"].replace("select assay_id, ord,", "select assay_id, ord, position - 26 as idx,", 1).replace("from o where", "from ob where")
+# definitions come before their uses
+_FIRST = ("o", "ob", "block_single", "block_pair")
+CTES = {**{k: CTES[k] for k in _FIRST}, **{k: v for k, v in CTES.items() if k not in _FIRST}}
+
 
 def with_carriers(body: str) -> str:
     """SQL with the carriers that it uses, directly or not."""

@@ -62,7 +62,7 @@ def run_index_at_scale(s, d):
     return assay.run_index_at_scale(c.raw_pair(s, d), "position", "ord", ["assay_id"]).select("assay_id", "ord", "idx")
 
 
-@query("select assay_id, ord, code from variants where single = 0")
+@query("select assay_id, ord, concat_ws('_', wt_aa_1, wt_aa_2, position, mut_aa_1, mut_aa_2) as code from raw_pair")
 def mutation_code(s, d):
     return c.raw_pair(s, d).select("assay_id", "ord", assay.mutation_code("pair").alias("code"))
 

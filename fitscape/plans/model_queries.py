@@ -333,21 +333,22 @@ def group_weights(s, d):
 # ---- scores
 
 
-def one_pssm(s, d):
-    return core.frequencies(s, d).filter("family_id = 'en'").withColumn("node", F.col("node").cast("long"))
+def pssm(s, d):
+    """Frequencies of all families, each of which scores every variant."""
+    return core.frequencies(s, d).withColumn("node", F.col("node").cast("long"))
 
 
-SCORES = """scores as (select s.assay_id, s.ord, s.single, s.code, s.fitness, sum(ln(m.freq) - ln(w.freq)) as score from (select assay_id, ord, single, code, fitness, node_1 as node, wt_1 as wt, m1 as mut from flagged where really
- union all select assay_id, ord, single, code, fitness, node_2, wt_2, m2 from flagged where really and node_2 is not null) s join one_pssm w on w.node = s.node and w.aa = s.wt join one_pssm m on m.node = s.node and m.aa = s.mut group by 1, 2, 3, 4, 5)"""
+SCORES = """scores as (select w.family_id, s.assay_id, s.ord, s.single, s.code, s.fitness, sum(ln(m.freq) - ln(w.freq)) as score from (select assay_id, ord, single, code, fitness, node_1 as node, wt_1 as wt, m1 as mut from flagged where really
+ union all select assay_id, ord, single, code, fitness, node_2, wt_2, m2 from flagged where really and node_2 is not null) s join pssm w on w.node = s.node and w.aa = s.wt join pssm m on m.family_id = w.family_id and m.node = s.node and m.aa = s.mut group by 1, 2, 3, 4, 5, 6)"""
 
 
 def scores(s, d):
-    return scoring.conservation_score(c.variants(s, d), c.mapping(s, d), one_pssm(s, d))
+    return scoring.conservation_score(c.variants(s, d), c.mapping(s, d), pssm(s, d))
 
 
-@query(f"with {SCORES} select assay_id, ord, single, code, round(score, 6) as score from scores")
+@query(f"with {SCORES} select family_id, assay_id, ord, single, code, round(score, 6) as score from scores")
 def conservation_score(s, d):
-    return scores(s, d).select("assay_id", "ord", "single", "code", r6("score", "score"))
+    return scores(s, d).select("family_id", "assay_id", "ord", "single", "code", r6("score", "score"))
 
 
 RANK = "rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2.0::double as {r}"
@@ -363,33 +364,33 @@ def correlations(source: str, by: str, x: str, y: str) -> str:
  avg(rx) over (partition by {by}) as mrx, avg(ry) over (partition by {by}) as mry from (select {by}, {x} as x, {y} as y, {RANK.format(by=by, x=x, r='rx')}, {RANK.format(by=by, x=y, r='ry')} from {source})) group by {by})"""
 
 
-@query(f"with {SCORES}, t as (select unnest([case when single = 1 then 'single' else 'pair' end, 'all']) as subset, score, fitness from (select round(score, 9) as score, fitness, single from scores)) {correlations('t', 'subset', 'score', 'fitness')}")
+@query(f"with {SCORES}, t as (select unnest([case when single = 1 then 'single' else 'pair' end, 'all']) as subset, family_id, score, fitness from (select family_id, round(score, 9) as score, fitness, single from scores)) {correlations('t', 'family_id, subset', 'score', 'fitness')}")
 def conservation_report(s, d):
     """The flagship: E16 over E1."""
-    x = metrics.subset_correlations(scores(s, d).withColumn("score", F.round("score", 9)), "score", "fitness")
-    return x.select("subset", "n", r6("r", "r"), r6("rho", "rho"))
+    x = metrics.subset_correlations(scores(s, d).withColumn("score", F.round("score", 9)), "score", "fitness", ["family_id"])
+    return x.select("family_id", "subset", "n", r6("r", "r"), r6("rho", "rho"))
 
 
-@query(f"with {SCORES} select assay_id, ord from scores where code in (select code from variants where ord % 5 < 3)")
+@query(f"with {SCORES} select family_id, assay_id, ord from scores where code in (select code from variants where ord % 5 < 3)")
 def restrict_to(s, d):
-    return scoring.restrict_to(scores(s, d), c.variants(s, d).filter("ord % 5 < 3"))[0].select("assay_id", "ord")
+    return scoring.restrict_to(scores(s, d), c.variants(s, d).filter("ord % 5 < 3"))[0].select("family_id", "assay_id", "ord")
 
 
-SCAN = """scan as (select w.node, w.aa as wt_aa, m.aa as mut_aa, round(ln(m.freq) - ln(o.freq), 4) as predicted, round(a.actual, 4) as actual from family_residues w join one_pssm m on m.node = w.node and m.aa != w.aa join one_pssm o on o.node = w.node and o.aa = w.aa
- left join (select node_1 as node, m1 as mut_aa, arg_max(fitness, ord) as actual from placed where single = 1 and node_1 is not null group by 1, 2) a on a.node = w.node and a.mut_aa = m.aa where w.family_id = 'en')"""
+SCAN = """scan as (select w.family_id, w.node, w.aa as wt_aa, m.aa as mut_aa, round(ln(m.freq) - ln(o.freq), 4) as predicted, round(a.actual, 4) as actual from family_residues w join pssm m on m.family_id = w.family_id and m.node = w.node and m.aa != w.aa join pssm o on o.family_id = w.family_id and o.node = w.node and o.aa = w.aa
+ left join (select node_1 as node, m1 as mut_aa, arg_max(fitness, ord) as actual from placed where single = 1 and node_1 is not null group by 1, 2) a on a.node = w.node and a.mut_aa = m.aa)"""
 
 
 def scan(s, d):
-    r = c.family_residues(s, d).filter("family_id = 'en'").withColumn("node", F.col("node").cast("long"))
-    return scoring.mutational_scan(one_pssm(s, d), r, c.variants(s, d), c.mapping(s, d))
+    r = c.family_residues(s, d).withColumn("node", F.col("node").cast("long"))
+    return scoring.mutational_scan(pssm(s, d), r, c.variants(s, d), c.mapping(s, d))
 
 
-@query(f"with {SCAN} select node, wt_aa, mut_aa, predicted, actual from scan")
+@query(f"with {SCAN} select family_id, node, wt_aa, mut_aa, predicted, actual from scan")
 def mutational_scan(s, d):
     return scan(s, d)
 
 
-@query(f"with {SCAN} select node, mut_aa, strpos('{c.LETTERS}', mut_aa)::int as row, round(predicted / max(abs(predicted)) over (), 6) as predicted_norm, round((actual - 1) / max(abs(actual - 1)) over (), 6) as actual_norm from scan")
+@query(f"with {SCAN} select family_id, node, mut_aa, strpos('{c.LETTERS}', mut_aa)::int as row, round(predicted / max(abs(predicted)) over (partition by family_id), 6) as predicted_norm, round((actual - 1) / max(abs(actual - 1)) over (partition by family_id), 6) as actual_norm from scan")
 def scan_matrix(s, d):
     return scoring.scan_matrix(scan(s, d)).withColumn("predicted_norm", r6("predicted_norm")).withColumn("actual_norm", r6("actual_norm"))
 
@@ -437,7 +438,7 @@ def score_batches(s, d):
     rng = np.random.default_rng(7)
     net = scoring.mlp(rng.normal(0, 0.1, (16, width)), rng.normal(0, 0.1, 16), rng.normal(0, 0.1, 16), 0.1)
     known = features.standardize_properties(c.properties(s, d))
-    return scoring.score_batches(features.variant_features(c.block_variants(s, d), c.block_mapping(s, d), known), net, width, ["assay_id", "ord"]).withColumn("prediction", r6("prediction"))
+    return scoring.score_batches(features.variant_features(c.variants(s, d), c.mapping(s, d), known), net, width, ["assay_id", "ord"]).withColumn("prediction", r6("prediction"))
 
 
 # ---- metrics
