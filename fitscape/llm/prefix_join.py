@@ -148,13 +148,22 @@ def _links(rows: DataFrame, groups: DataFrame, pairs: DataFrame, size: int, perc
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in small_slices(batches, "_text", 1 << 20):
-            a, part, b, s = [], [], [], []
+            out, held = [], 0
             for x, gid, roles in zip(shingle_sets(own, size), batch.column("gid").to_pylist(), batch.column("roles").to_pylist(), strict=True):
                 if not len(x) or int(_digest(x, 1)) != gid:
                     continue
                 for role in roles:
-                    a.append(role["a"]), part.append(role["part"]), b.append(None if role["own"] else gid), s.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(part, pa.int32()), pa.array(b, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["a", "part", "b", "s"])
+                    out.append((role["a"], role["part"], None if role["own"] else gid, x.view(np.int64)))
+                    held += 8 * len(x)
+                    if held > 4 << 20:  # a set of many roles goes out as often
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "part", "b", "s"])
 
     sets = scratch.stored(rows.join(asked, "_key").select("_text", "gid", "roles").mapInArrow(fetch, "a long, part int, b long, s array<long>"), "sets")
     both = sets.filter("b is not null").withColumnRenamed("s", "sb").join(sets.filter("b is null").select("a", "part", F.col("s").alias("sa")), ["a", "part"])
