@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, letter_of_name
+from fitscape.operators.ordering import running_sum
 
 # Column names of the sheets.
 _SINGLE = {"Ambler Position": "position", "WT AA": "wt_aa", "Mutant AA": "mut_aa", "Fitness": "fitness", "Estimated error in fitness": "fitness_err"}
@@ -42,6 +43,11 @@ def read_assay(spark: SparkSession, path: str, kind: str, fmt: str = "csv") -> D
     return clean_assay(reader(path), kind)
 
 
+def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """name (file), line (ascending within a file), value."""
+    return spark.read.text(path).select(F.input_file_name().alias(name), F.monotonically_increasing_id().alias("line"), "value")
+
+
 def read_a2m(spark: SparkSession, path: str) -> DataFrame:
     """family_id (file), seq_id (header line), raw (case and gaps kept), is_query (a file's first record). Text before the first header is dropped."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("family_id"), "value")
@@ -53,22 +59,40 @@ def read_a2m(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("family_id", F.rtrim(F.translate(F.get(parts, F.lit(0)), "\r", "")).alias("seq_id"), body.alias("raw"), "is_query").filter("seq_id != ''")
 
 
+def a2m_of_lines(lines: DataFrame) -> DataFrame:
+    """read_a2m() for a table of lines: family_id, line (orders a family's lines), value. The number of headers up to a line, counted by ranges of lines, is its record; null values are skipped."""
+    rows = lines.filter("value is not null").select("family_id", "line", "value").withColumn("_head", F.col("value").rlike(r"^[ \t\r]*>"))
+    rows = running_sum(rows, F.col("_head").cast("int"), ["line"], ["family_id"], "record").filter("record > 0")
+    body = F.when(~F.col("_head"), F.struct("line", F.translate("value", "\r \t", "").alias("part")))
+    head = F.rtrim(F.translate(F.regexp_replace("value", r"^[ \t\r]*>", ""), "\r", ""))
+    whole = rows.groupBy("family_id", "record").agg(F.max(F.when(F.col("_head"), head)).alias("seq_id"), F.array_sort(F.collect_list(body)).alias("parts"))
+    return whole.filter("seq_id != ''").select("family_id", "seq_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("raw"), (F.col("record") == 1).alias("is_query"))
+
+
 def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
-    """family_id (file), seq_id, raw: names with their gapped sequences; blocks of an interleaved file are joined in order. Compressed files are read by their suffix."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("family_id"), F.monotonically_increasing_id().alias("_at"), "value")
-    lines = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "//") & (F.trim("value") != ""))
+    """family_id (file), seq_id, raw: names with their gapped sequences. Compressed files are read by their suffix."""
+    return stockholm_of_lines(_lines(spark, path, "family_id"))
+
+
+def stockholm_of_lines(lines: DataFrame) -> DataFrame:
+    """family_id, seq_id, raw of lines (family_id, line, value): blocks of an interleaved file are joined in order of their lines; annotations, end marks, blank and null lines go."""
+    rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "//") & (F.trim("value") != ""))
     words = F.split(F.trim("value"), r"\s+")
-    rows = lines.select("family_id", "_at", F.get(words, F.lit(0)).alias("seq_id"), F.get(words, F.lit(1)).alias("part")).filter("part is not null")
-    whole = rows.groupBy("family_id", "seq_id").agg(F.array_sort(F.collect_list(F.struct("_at", "part"))).alias("parts"))
+    rows = rows.select("family_id", "line", F.get(words, F.lit(0)).alias("seq_id"), F.get(words, F.lit(1)).alias("part")).filter("part is not null")
+    whole = rows.groupBy("family_id", "seq_id").agg(F.array_sort(F.collect_list(F.struct("line", "part"))).alias("parts"))
     return whole.select("family_id", "seq_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("raw"))
 
 
 def read_atoms(spark: SparkSession, path: str, fmt: str = "mmcif", ca_only: bool = False, no_altloc: bool = False, chain: str | None = None) -> DataFrame:
-    """structure_id (file), atom_id, name, altloc, res_name, chain, res_seq, ins, occupancy, x, y, z of the first model's ATOM rows.
+    """atoms_of_lines() of files; structure_id is the file."""
+    return atoms_of_lines(_lines(spark, path, "structure_id"), fmt, ca_only, no_altloc, chain)
+
+
+def atoms_of_lines(lines: DataFrame, fmt: str = "mmcif", ca_only: bool = False, no_altloc: bool = False, chain: str | None = None) -> DataFrame:
+    """structure_id, atom_id, name, altloc, res_name, chain, res_seq, ins, occupancy, x, y, z of the first model's ATOM rows of lines (structure_id, line, value).
 
-    no_altloc keeps alternatives ' ' and 'A' only; mmCIF rows have the usual 21 fields.
+    no_altloc keeps alternatives ' ' and 'A' only; mmCIF rows have the usual 21 fields; null lines are skipped.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("structure_id"), F.monotonically_increasing_id().alias("_at"), "value")
     if fmt == "mmcif":
         f = F.split(F.trim("value"), r"\s+")
         at = lambda k: F.get(f, F.lit(k))
@@ -80,8 +104,8 @@ def read_atoms(spark: SparkSession, path: str, fmt: str = "mmcif", ca_only: bool
         rows = rows.join(model, "structure_id").filter(F.col("_model").cast("int") == F.col("_first")).drop("_model", "_first")
     elif fmt == "pdb":
         cut = lambda a, n: F.trim(F.substring("value", a, n))
-        end = lines.filter(F.col("value").startswith("ENDMDL")).groupBy("structure_id").agg(F.min("_at").alias("_end"))
-        rows = lines.filter(F.col("value").startswith("ATOM  ")).join(end, "structure_id", "left").filter("_end is null or _at < _end").select(
+        end = lines.filter(F.col("value").startswith("ENDMDL")).groupBy("structure_id").agg(F.min("line").alias("_end"))
+        rows = lines.filter(F.col("value").startswith("ATOM  ")).join(end, "structure_id", "left").filter("_end is null or line < _end").select(
             "structure_id", cut(7, 5).cast("int").alias("atom_id"), cut(13, 4).alias("name"), F.substring("value", 17, 1).alias("altloc"), cut(18, 3).alias("res_name"), F.substring("value", 22, 1).alias("chain"),
             cut(23, 4).cast("int").alias("res_seq"), cut(27, 1).alias("ins"), F.expr("try_cast(trim(substring(value, 55, 6)) as double)").alias("occupancy"), *[cut(k, 8).cast("double").alias(c) for k, c in ((31, "x"), (39, "y"), (47, "z"))],
         )
@@ -119,7 +143,12 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """record (file name without suffix), subject, predicate, object of tab-separated triples that end with a full stop; angle brackets go."""
-    t = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("record"), F.split(F.regexp_replace("value", r"\s*\.\s*$", ""), "\t").alias("f"))
+    """triples_of_lines() of files; record is the file's name without suffix."""
+    return triples_of_lines(spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("record"), "value"))
+
+
+def triples_of_lines(lines: DataFrame) -> DataFrame:
+    """record, subject, predicate, object of tab-separated triples (record, value) that end with a full stop; angle brackets go, lines of fewer fields too."""
+    t = lines.select("record", F.split(F.regexp_replace("value", r"\s*\.\s*$", ""), "\t").alias("f"))
     bare = lambda k: F.regexp_replace(F.trim(F.get("f", F.lit(k))), "^<|>$", "")
     return t.filter(F.size("f") >= 3).select("record", bare(0).alias("subject"), bare(1).alias("predicate"), bare(2).alias("object"))

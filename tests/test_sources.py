@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from fitscape.operators import family
 from fitscape.sources import readers, writers
@@ -36,6 +37,24 @@ def test_a2m(spark, tmp_path):
     assert got(columns, "col", "match_column", "residue") == [(0, 0, 0), (1, 1, 1), (2, 2, None), (4, 3, 3), (5, 4, 4)]
 
 
+def test_a2m_of_lines(spark):
+    text = {"f": "lost\n >query one\nAC-d\n\nEF.\n>two\nA- \t\n>empty\n>last\r\nGG\r", None: ">x\nA", "g": "no header", "h": ">\nAC\n>named\nD"}
+    rows = [(f, k, x) for f, t in text.items() for k, x in enumerate(t.split("\n"))] + [("f", 99, None)]
+    df = spark.createDataFrame(rows[::-1], "family_id string, line long, value string").withColumn("record", F.lit(7))
+    assert got(readers.a2m_of_lines(df), "family_id", "seq_id", "raw", "is_query") == sorted(
+        [("f", "query one", "AC-dEF.", True), ("f", "two", "A-", False), ("f", "empty", "", False), ("f", "last", "GG", False), (None, "x", "A", True), ("h", "named", "D", False)], key=repr
+    )
+    assert readers.a2m_of_lines(df.limit(0)).count() == 0
+
+
+def test_lines_without_order(spark):
+    lines = [(2, "a  GG"), (0, "a  AC"), (1, "//"), (3, None), (4, "# x"), (5, "b")]
+    df = spark.createDataFrame([("f", *x) for x in lines], "family_id string, line long, value string")
+    assert got(readers.stockholm_of_lines(df), "seq_id", "raw") == [("a", "ACGG")]
+    atoms = spark.createDataFrame([("s", k, x) for k, x in enumerate([*PDB, None])][::-1], "structure_id string, line long, value string")
+    assert got(readers.atoms_of_lines(atoms, "pdb"), "atom_id") == [(1,), (2,), (3,), (4,), (5,)]
+
+
 def test_stockholm(spark, tmp_path):
     with gzip.open(tmp_path / "f.sto.gz", "wt") as f:
         f.write("# STOCKHOLM 1.0\n#=GF ID x\na/1-2  AC-\nb  .CD\n\na/1-2  GG\nb  HH\n//\n")
