@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, *, path: str, capacity: int, end_id: int, id_c
 
 
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, windows_per_pack: int = 4000) -> DataFrame:
-    """Adds sequence_id and offset. Pieces are dealt at random to packs of about windows_per_pack windows, each packed by one task; the ids of a pack's windows follow its number."""
+    """Adds sequence_id and offset. Pieces (a stored table) are dealt by their place in it to packs of about windows_per_pack windows, so equal pieces don't meet; each pack is packed by one task, and the ids of its windows follow its number."""
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     packs = 1 + tokens // (capacity * windows_per_pack)
 
@@ -146,7 +146,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, windows_per_pack: in
         yield from table.append_column("sequence_id", pa.array(window + first)).append_column("offset", pa.array(offset)).combine_chunks().to_batches()
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return pieces.repartition(int(packs), F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(pack, schema)
+    return pieces.repartition(int(packs), F.xxhash64(F.monotonically_increasing_id())).mapInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", windows_per_pack: int = 4000) -> DataFrame:
@@ -154,7 +154,9 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int =
 
     A document is its text's ids and end_id. It is cut into full windows of `capacity` ids and a rest; rests go, longest
     first, into the open window with the least room that holds them. A null or empty text is end_id alone; repeated rows
-    and null ids are packed like others; an empty table gives none; extra columns are ignored. `path` is a tokenizer file
+    and null ids are packed like others, and dealt to packs like others; a very long text is many pieces, tokenised at once
+    in a slice of its own; of pieces of one length those of lesser ids_crc32, doc_id and start go first; an empty table gives
+    none; extra columns are ignored. `path` is a tokenizer file
     (white-space-free BPE, as word_bpe_49k.json, the default).
     """
     if path is None:
