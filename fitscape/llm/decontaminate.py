@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitscape.llm import textkit as kit
-from fitscape.llm.shared import small_slices
+from fitscape.llm.shared import Scratch, delete, small_slices
 
 SAMPLE = 8
 
@@ -162,10 +163,11 @@ def search_shard(first: np.ndarray, hashes: np.ndarray, phrases: Phrases) -> tup
     return hit, items
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with a column __found: n_words, n_hit, spans and items of decontaminate(). Nothing is shuffled: a block of test items after the other is searched for in the same pass over docs."""
+def searched(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = 8 << 20, blocks_at_once: int = 4) -> DataFrame:
+    """docs with a column __found: n_words, n_hit, spans and items of decontaminate(). The docs aren't shuffled: up to blocks_at_once blocks of test items are searched for in one pass over them, and what each pass but the last finds is stored, so that no more blocks are on the driver and executors."""
     spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
+    scratch = Scratch(spark)
+    tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null").distinct()
     total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     place = docs.columns.index(text_col)
@@ -173,8 +175,13 @@ def searched(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     out = docs.toDF(*plain).withColumn("__found", F.expr("cast(null as struct<n_words:bigint,n_hit:bigint,spans:array<struct<begin:int,end:int>>,items:array<string>>)"))
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
+    if blocks > 1:
+        tests = scratch.stored(tests, "benchmark-items")
+    live: list[Broadcast] = []
+
     def of_block(items: list[tuple[str | None, bytes]], rows: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
+        live.append(shared)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(shared.value, window)
@@ -196,8 +203,16 @@ def searched(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
         return rows.mapInArrow(search, rows.schema)
 
     for k in range(blocks):
-        part = tests.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
+        if k and k % blocks_at_once == 0:
+            before = scratch.paths.pop("found", [])
+            out = scratch.stored(out, "found")
+            for path in before:
+                delete(spark, path)
+            while live:
+                live.pop().destroy()
+        part = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         out = of_block([(x["i"], x["t"].encode()) for x in part], out)
+    scratch.clear("benchmark-items")
     return out.toDF(*docs.columns, "__found")
 
 
@@ -211,7 +226,7 @@ def decontaminate(
     items with a null text count as absent; one with a null id is searched for but not listed; items with one id are one
     item; a document with a null id is judged like any other; very long texts are a shard of their own; an empty
     benchmark hits nothing; repeated rows each get their row; extra columns are ignored. The test items are broadcast in
-    blocks of at most about block_bytes of text.
+    blocks of about block_bytes of text, dealt by id and text, so that neither equal ids nor repeated items fill a block.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = searched(rows, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes).select("doc_id", "__found.*")

@@ -220,10 +220,32 @@ def test_decontaminate(spark, odd, empty, block):
     expected = Counter((d, *plain_contamination(t, items)) for d, t, _, _ in rows)
     found = decontaminate.decontaminate(df, tests, block_bytes=block)
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found.collect()) == expected
+    few = decontaminate.searched(df, tests, block_bytes=block, blocks_at_once=1).select("doc_id", "__found.*")  # each pass is stored
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in few.collect()) == Counter(x[:4] for x in expected.elements())
     assert decontaminate.decontaminate(empty, tests).count() == 0
     assert decontaminate.decontaminate(df, tests.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_items_of_one_id_are_dealt_to_all_blocks(spark, monkeypatch):
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(words[k : k + 20]) for k in range(0, 3000, 20)]
+    tests = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])] * 200, "item_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, "none of it")], "doc_id long, text string")
+    sizes = []
+    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", lambda items, f=docs.sparkSession.sparkContext.broadcast: (sizes.append(sum(len(t) for _, t in items)), f(items))[1])
+    found = decontaminate.decontaminate(docs, tests, block_bytes=2000).collect()
+    assert {r["doc_id"] for r in found if r["contaminated"]} == set(range(len(texts))) and [r["items"] for r in found if r["doc_id"] == 0] == [["1"]]
+    assert len(sizes) > 5 and max(sizes) < 8000
+
+
+def test_equal_pieces_are_dealt_to_all_packs(spark):
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(64).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"), F.lit(64).cast("long").alias("doc_tokens"))
+    got = packing.pack_pieces(rows, windows_per_pack=100).withColumn("pack", F.shiftright("sequence_id", 32))
+    per_pack = [r["count"] for r in got.groupBy("pack").count().collect()]
+    assert sum(per_pack) == 40_000 and len(per_pack) == 13 and max(per_pack) < 4500
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
 def test_fm_index_locates_all():
     random.seed(2)
     text = np.array([random.randint(1, 4) for _ in range(300)] + [1] * 40)
