@@ -1,9 +1,10 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Each element that forms a block, or bears a class, id or role, is a node with a hidden label: its own text is main text,
-or it isn't. A node's potential comes from its tag, the key words of its attributes and its share of linked text; an
-edge's potential from the labels of parent and child, by the kind of parent. Sum-product messages up and down the tree
-give each node's marginal. All potentials are counted on labelled pages.
+or it isn't. A node's potential comes from its tag, the key words of its attributes, the length of its text, the linked
+share of its own and its subtree's text and the share of the page's text in its subtree; an edge's potential from the labels of parent and child, by the kind of parent. Sum-product messages up and down the tree
+give each node's marginal. All potentials are counted on labelled pages. Text outside any block is a node of its own, so pages
+without markup have one; an inline element with a marginal of its own (an advert in a paragraph) leaves its block by itself.
 """
 
 from __future__ import annotations
@@ -46,16 +47,18 @@ _ROLES = {"navigation": "menu", "banner": "edge", "contentinfo": "edge", "comple
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|select|canvas|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<(?:[a-zA-Z/!?][^>]*)?\Z""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|main)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
+#: Elements whose loose text is a node of its own.
+_FRAME = ("#page", "html", "body")
 
 
 @dataclass
 class Page:
-    """Nodes in page order (0 is the page itself): tag, parent, key words, characters, linked characters; and blocks: (node, text)."""
+    """Nodes in page order (0 is the page itself): tag, parent, key words, characters, linked characters; and blocks: lists of (node, source text)."""
 
     tags: list[str]
     parents: list[int]
@@ -64,7 +67,16 @@ class Page:
     linked: list[int]
     main: list[bool]
     above: list[tuple[str, ...]]  # key words of the elements around, but for those of text
-    blocks: list[tuple[int, str]]
+    parts: list[list[tuple[int, str]]]
+
+    @property
+    def blocks(self) -> list[tuple[int, str]]:
+        """The node and the text of each block; the node is that of the block's first part."""
+        return [(parts[0][0], _plain(parts)) for parts in self.parts]
+
+
+def _plain(parts: list[tuple[int, str]]) -> str:
+    return " ".join(html.unescape("".join(x for _, x in parts)).split())
 
 
 def _keys(attributes: str) -> tuple[tuple[str, ...], bool]:
@@ -85,30 +97,38 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements: tag, node that holds their text
     places: dict[str, list[int]] = defaultdict(lambda: [0])  # of the open elements of each tag, and of all blocks
     blocks = [0]
-    parts: list[str] = []
-    hidden = links = 0
-    owner = 0
+    parts: list[tuple[int, str]] = []
+    loose: dict[int, bool] = {}  # whether a frame's loose text is labelled
+    hidden = links = alone = 0
 
     def flush() -> None:
+        nonlocal alone
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            if any(not x.isspace() for _, x in parts):
+                page.parts.append(parts.copy())
             parts.clear()
-            if text:
-                page.blocks.append((owner, text))
+        alone = 0
+
+    def add(tag: str, up: int, keys: tuple[str, ...], main: bool) -> int:
+        page.tags.append(tag), page.parents.append(up), page.keys.append(keys)
+        page.above.append(tuple(sorted({*page.above[up], *page.keys[up]} - {"text"})) if page.keys[up] else page.above[up])
+        page.size.append(0), page.linked.append(0), page.main.append(main)
+        return len(page.tags) - 1
 
     def say(raw: str) -> None:
-        nonlocal owner
+        nonlocal alone
         if hidden or not raw:
             return
         node = stack[-1][1]
-        if node != owner and not raw.isspace():
-            if parts and (page.tags[node] in _BLOCK or page.tags[owner] in _BLOCK or node == 0) and not _inline_pair(page, node, owner):
-                flush()
-            owner = node if not parts else owner
-        n = len(raw)
-        page.size[node] += n
-        page.linked[node] += n if links else 0
-        parts.append(raw)
+        if raw.isspace():
+            parts.append((parts[-1][0], " ")) if parts else None
+            return
+        if page.tags[node] in _FRAME:
+            alone = alone or add("#text", node, (), loose.get(node, False))
+            node = alone
+        page.size[node] += len(raw)
+        page.linked[node] += len(raw) if links else 0
+        parts.append((node, raw))
 
     def close(upto: int) -> None:
         nonlocal hidden, links
@@ -146,16 +166,13 @@ def parse(source: str) -> Page:
                 break
         if tag in _VOID:
             if tag in ("br", "wbr", "hr", "img", "input"):
-                parts.append(" ") if parts and tag != "wbr" else None
+                parts.append((parts[-1][0], " ")) if parts and tag != "wbr" else None
             continue
         keys, main = _keys(m[4]) if m[4] else ((), False)
         node = stack[-1][1]
         if tag in _BLOCK or keys:
-            node = len(page.tags)
-            up = stack[-1][1]
-            page.tags.append(tag), page.parents.append(up), page.keys.append(keys)
-            page.above.append(tuple(sorted({*page.above[up], *page.keys[up]} - {"text"})) if page.keys[up] else page.above[up])
-            page.size.append(0), page.linked.append(0), page.main.append(main)
+            node = add(tag, node, keys, main and tag not in _FRAME)
+            loose[node] = main
         places[tag].append(len(stack))
         if tag in _BLOCK:
             blocks.append(len(stack))
@@ -167,21 +184,32 @@ def parse(source: str) -> Page:
     return page
 
 
-def _inline_pair(page: Page, a: int, b: int) -> bool:
-    """Whether one node is an inline element inside the other: their texts are one block unless their labels differ."""
-    return (page.parents[a] == b and page.tags[a] not in _BLOCK) or (page.parents[b] == a and page.tags[b] not in _BLOCK)
+def _share(part: int, whole: int) -> str:
+    return "none" if not part else "few" if part <= 0.1 * whole else "some" if part <= 0.6 * whole else "most"
+
+
+def _measures(page: Page) -> list[tuple[str, str, str, str]]:
+    """For each node: length of its text, linked share of it, and of its subtree's; the subtree's share of the page."""
+    size, linked = page.size.copy(), page.linked.copy()
+    for i in range(len(size) - 1, 0, -1):
+        size[page.parents[i]] += size[i]
+        linked[page.parents[i]] += linked[i]
+    return [
+        ("none" if not n else "short" if n < 25 else "line" if n < 100 else "long", "none" if not n else "most" if a > 0.6 * n else "few", "none" if not m else "most" if b > 0.6 * m else "few", _share(m, size[0]))
+        for n, a, m, b in zip(page.size, page.linked, size, linked, strict=True)
+    ]
 
 
-def _features(page: Page, i: int) -> list[str]:
-    share = page.linked[i] / page.size[i] if page.size[i] else 0.0
+def _features(page: Page, i: int, measures: tuple[str, str, str, str]) -> list[str]:
     bare = ["bare:" + page.tags[i]] if page.tags[i] in ("article", "main") and not page.keys[i] else []
     place = ["under:" + _kind(page, page.parents[i]) + ":" + page.tags[i]] if i else []
-    return [*bare, *place, "tag:" + page.tags[i], "links:" + ("none" if not page.size[i] else "most" if share > 0.6 else "few"), *("key:" + k for k in page.keys[i]), *("within:" + k for k in page.above[i])]
+    named = [f"{name}:{value}" for name, value in zip(("size", "links", "below", "share"), measures, strict=True)]
+    return [*bare, *place, "tag:" + page.tags[i], *named, *("key:" + k for k in page.keys[i]), *("within:" + k for k in page.above[i])]
 
 
 def _kind(page: Page, i: int) -> str:
     """Of a parent: the page's frame, an article that may hold other things, or any other element."""
-    if page.tags[i] in ("#page", "html", "body") and not page.keys[i]:
+    if page.tags[i] in _FRAME and not page.keys[i]:
         return "frame"
     return "article" if page.tags[i] in ("article", "main") or "text" in page.keys[i] else "inner"
 
@@ -192,9 +220,9 @@ class TreeModel:
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     prior: tuple[float, float]
 
-    def _own(self, page: Page, i: int) -> tuple[float, float]:
+    def _own(self, page: Page, i: int, measures: tuple[str, str, str, str] | None = None) -> tuple[float, float]:
         a, b = self.prior
-        for f in _features(page, i):
+        for f in _features(page, i, measures or _measures(page)[i]):
             x = self.node.get(f)
             if x:
                 a, b = a * x[0], b * x[1]
@@ -206,10 +234,10 @@ class TreeModel:
         n = len(page.tags)
         cache: dict[tuple, tuple[float, float]] = {}
         belief = []
-        for i in range(n):
-            key = (page.tags[i], page.keys[i], page.above[i], _kind(page, page.parents[i]) if i else "", page.size[i] > 0, page.linked[i] > 0.6 * page.size[i])
+        for i, measures in enumerate(_measures(page)):
+            key = (page.tags[i], page.keys[i], page.above[i], _kind(page, page.parents[i]) if i else "", measures)
             if key not in cache:
-                cache[key] = self._own(page, i)
+                cache[key] = self._own(page, i, measures)
             belief.append(cache[key])
         edges = [self.edge[_kind(page, i)] for i in range(n)]
         up = [(1.0, 1.0)] * n
@@ -234,11 +262,12 @@ def train_tree_model(pages: list[str] = LABELLED_PAGES, smoothing: float = 0.2)
     seen, edges, labels = Counter(), Counter(), Counter()
     for source in pages:
         page = parse(source)
+        measures = _measures(page)
         for i in range(1, len(page.tags)):
             y = page.main[i]
             labels[y] += 1
             edges[_kind(page, page.parents[i]), page.main[page.parents[i]], y] += 1
-            for f in _features(page, i):
+            for f in _features(page, i, measures[i]):
                 seen[f, y] += 1
     features = {f for f, _ in seen}
     node = {f: tuple((seen[f, y] + smoothing) / (labels[y] + 2 * smoothing) for y in (False, True)) for f in features}
@@ -252,16 +281,18 @@ def train_tree_model(pages: list[str] = LABELLED_PAGES, smoothing: float = 0.2)
 
 def main_text(source: str, model: TreeModel) -> str:
     page = parse(source)
-    if not page.blocks:
+    if not page.parts:
         return ""
     belief = model.marginals(page)
-    return "\n\n".join(text for node, text in page.blocks if belief[node] > 0.5)
+    texts = (_plain([x for x in parts if belief[x[0]] > 0.5]) for parts in page.parts)
+    return "\n\n".join(x for x in texts if x)
 
 
 def extract(pages: DataFrame, model: TreeModel, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, url, text (blocks of main text joined by two line ends), n_chars.
 
-    White space in a block is one space; line breaks inside a block are white space. A null or empty page has the text
+    White space in a block is one space; line breaks inside a block are white space. A marginal of exactly 0.5 isn't main
+    text; very long pages are read whole, in a slice of their own. A null or empty page has the text
     ''; null ids and urls stay; broken or cut markup is read as far as it goes; repeated rows each get their row; an empty
     table gives none; extra columns are ignored.
     """

@@ -1,6 +1,6 @@
-"""Small labelled pages for the extraction model: `main` marks an element whose own text is the page's main text."""
+"""Labelled pages for the extraction model: `main` marks an element whose own text is the page's main text (of body, its loose text)."""
 
-LABELLED_PAGES = [
+_WRITTEN = [
     """<html><head><title>t</title></head><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>
     <div class="ad">Buy now</div><article main><h1 main>Head</h1><p main>One two <a href=c>three</a> four.</p><p main>Five.</p></article>
     <footer>&copy; us</footer></body></html>""",
@@ -30,3 +30,45 @@ LABELLED_PAGES = [
     """<html><body><header><h1>Site</h1></header><main main><h2 main>H</h2><p main>T</p></main><aside><h2>More</h2></aside></body></html>""",
     """<html><body><header><div><h1>Site</h1><h2>Line</h2></div></header><div id="main" main><h1 main>H</h1><p main>T</p></div><footer><p>F</p></footer></body></html>""",
 ]
+
+_LONG, _LINE, _SHORT = "long text " * 25, "a line of it " * 4, "few words"
+_LINKS = "<a href=a>Home</a> <a href=b>News</a> <a href=c>Archive</a>"
+_LIST = "<ul><li><a href=a>One of these</a></li><li><a href=b>Two</a></li><li><a href=c>Another page</a></li></ul>"
+#: What holds the main text, what it is made of, and what stands before and after it: each holder is combined with each content.
+_HOLDERS = [
+    "<article main>{}</article>", "<main main>{}</main>", "<div main>{}</div>", "<div id=x12 main>{}</div>", "<div main><div main>{}</div></div>", "<section main>{}</section>",
+    "<table main><tr main><td main>{}</td></tr></table>", "{}", '<div class="content" main>{}</div>', "<div main><article main><div main>{}</div></article></div>",
+]
+_CONTENTS = [
+    f"<h1 main>{_SHORT}</h1><p main>{_LONG}</p><p main>{_LINE}</p><p main>{_LONG}<a href=a>link</a></p>",
+    f"<p main>{_LINE}</p><p main>{_LONG}</p><p main>{_SHORT}</p>",
+    f"<h2 main>{_SHORT}</h2><div main>{_LONG}</div><div main>{_LINE}</div>",
+    f"<h1 main>{_LINE}</h1><div main><div main><p main>{_LINE}</p></div><p main>{_LONG}</p></div><div main><p main>{_SHORT}</p></div>",
+    f"<h1 main>{_SHORT}</h1><p main>{_LONG}</p><ul main><li main>{_SHORT}</li><li main>{_LINE}</li></ul><table main><tr main><td main>{_SHORT}</td><td main>1</td></tr></table>",
+    f"<h1 main>{_SHORT}</h1><p main>{_LINE}<span class=ad>{_SHORT}</span>{_LONG}</p><blockquote main><p main>{_LINE}</p></blockquote><pre main>{_LINE}</pre>",
+    f"<p main>{_SHORT}</p>",
+    f"<section main><h2 main>{_SHORT}</h2><p main>{_LONG}</p></section><section main><h2 main>{_SHORT}</h2><p main>{_LINE}<em class=note main>{_SHORT}</em></p></section>",
+]
+_AROUND = [
+    ("", ""),
+    (f"<nav>{_LIST}</nav>", f"<footer><p>{_LINE}</p></footer>"),
+    (f'<div class="menu">{_LINKS}</div><div class="cookie-notice"><p>{_LINE}</p></div>', f'<div class="comments"><h3>{_SHORT}</h3><div class="comment"><p>{_LONG}</p></div></div><div id="footer">{_LINE}</div>'),
+    (f"<header><h1>{_SHORT}</h1><p>{_LINE}</p></header>", f"<aside><h3>{_SHORT}</h3>{_LIST}</aside><form><p>{_LINE}</p></form>"),
+    (f"<div>{_LINKS}</div>", f"<div>{_LIST}</div>"),
+    (f'<div class="ad">{_LONG}</div>', f'<div class="newsletter"><p>{_LINE}</p></div><div><div>{_LIST}</div></div>'),
+    (f'<div class="banner">{_LINE}</div><div id="sidebar"><h2>{_SHORT}</h2><p>{_LONG}</p></div>', f"<p>{_LINKS}</p>"),
+]
+
+
+def _composed() -> list[str]:
+    out = []
+    for i, holder in enumerate(_HOLDERS):
+        for j, content in enumerate(_CONTENTS):
+            before, after = _AROUND[(i + 3 * j) % len(_AROUND)]
+            page = before + holder.format(content) + after
+            out.append(page if (i + j) % 3 == 0 else f"<html><body>{page}</body></html>")
+    loose = [f"{_LONG}", f"{_SHORT}<br>{_LINE}", f"<h1 main>{_SHORT}</h1>{_LONG}<br><br>{_LONG}", _SHORT]
+    return out + [f"<body main>{before}{x}{after}</body>" for k, x in enumerate(loose) for before, after in _AROUND[k % 2 :: 2]] + [f"<body main>{x}</body>" for x in loose]
+
+
+LABELLED_PAGES = _WRITTEN + _composed()

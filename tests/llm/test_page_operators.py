@@ -96,6 +96,51 @@ def test_extraction(source, expected):
     assert html_extract.main_text(source, MODEL) == expected
 
 
+@pytest.mark.parametrize(
+    "source,expected",
+    [
+        ("<article><h1>H</h1><div><div><p>a</p></div></div></article>", "H\n\na"),
+        ("<div><p>Story here.</p></div>", "Story here."),
+        ("<body><div id='x12'><h1>T</h1><p>One long paragraph of a story that goes on.</p></div></body>", "T\n\nOne long paragraph of a story that goes on."),
+        ("no tags at all", "no tags at all"), ("a<br>b", "a b"), ("&amp; <b>x</b>", "& x"),
+        ("<div class='article'><p>A<span class='ad'>Buy</span>B</p></div>", "AB"),
+        ("<body><a href=x>Home</a> | <a href=y>News</a><article><p>t</p></article></body>", "t"),
+    ],
+)
+def test_ordinary_pages(source, expected):
+    assert html_extract.main_text(source, MODEL) == expected
+
+
+#: M is main text, X isn't; none is among the labelled pages.
+TEMPLATES = [
+    "<html><body><div id=wrap><div id=inner><h1>M</h1><p>M</p><p>M</p></div></div><div id=foot><a href=a>X</a><a href=b>X</a></div></body></html>",
+    "<body><div class='nav'><a href=a>X</a></div><h1>M</h1><p>M</p><div><p>M</p></div><div class='footer'>X</div></body>",
+    "<table><tr><td><a href=a>X</a><br><a href=b>X</a></td><td><h2>M</h2><p>M</p><p>M</p></td></tr></table>",
+    "<main><section><h2>M</h2><p>M</p></section><section><h2>M</h2><div><div><div><p>M</p></div></div></div></section></main><footer>X</footer>",
+    "<div><div><div><div>M</div><div>M</div></div></div></div><div class='sidebar'><p>X</p></div>",
+    "<header><p>X</p></header><div><article><p>M<span class='sponsor'>X</span></p><ol><li>M</li><li>M</li></ol></article></div><div id='comments'><p>X</p></div>",
+    "<body>M<br>M<p>M</p><footer>X</footer></body>",
+    "<div class='story'><h1>M</h1><p>M</p><blockquote>M</blockquote><div class='promo'><p>X</p></div><p>M</p></div><form><p>X</p></form>",
+    "<body><ul><li><a href=a>X</a></li><li><a href=b>X</a></li></ul><div><h1>M</h1><pre>M</pre><dl><dt>M</dt><dd>M</dd></dl></div></body>",
+    "<section><h1>M</h1><div><p>M</p><p>M</p></div></section><aside><div><p>X</p></div></aside><div class='cookie'>X</div>",
+]
+
+
+def test_words_of_generated_pages():
+    random.seed(3)
+    found = main = right = 0
+    for template in TEMPLATES:
+        for _ in range(20):
+            words = iter(range(10**6))
+            fill = lambda m: " ".join(f"{m[0].lower()}{next(words)}" for _ in range(random.choice([2, 3, 12, 40]) if m[0] == "M" else random.choice([1, 2, 6])))  # noqa: E731, B023
+            source = re.sub(r"\b[MX]\b", fill, template)
+            expected = set(re.findall(r"\bm\d+", source))
+            got = html_extract.main_text(source, MODEL).split()
+            assert len(got) == len(set(got))
+            found, main, right = found + len(got), main + len(expected), right + len(expected & set(got))
+    assert right >= 0.95 * main and right >= 0.95 * found, (right / main, right / found)
+
+
 def test_marginals_are_exact():
     """Messages give what the sum over all labellings gives."""
     import itertools
