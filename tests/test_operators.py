@@ -1,6 +1,7 @@
 """Hand-made edge cases, golden values and brute-force twins."""
 
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -475,3 +476,20 @@ def test_masks_of_arrays_and_rows(spark):
     assert rows(masking.sample_masks(arrays, 0.3, epochs=3)) == rows(masking.sample_masks(flat, 0.3, epochs=3))
     assert "Exchange hash" not in masking.sample_masks(arrays)._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     assert flat.filter("seq_id = 0").count() == 25 and flat.filter("seq_id = 100").count() == 0
+
+
+def test_alignment_takes_little_time_a_sequence():
+    random.seed(8)
+    some = ["".join(random.choices("ARNDCQEGHILKMFPSTWYV", k=300)) for _ in range(256)]
+    spent = []
+    for _ in range(3):
+        start = time.process_time()
+        align.align_pairs(some, STRUCTURE)
+        spent.append(time.process_time() - start)
+    assert min(spent) < 0.001 * len(some)
+
+
+def test_alignment_of_other_letters_and_columns(spark):
+    df = spark.createDataFrame([(1, "Aé\U0001f600R", "x"), (2, "ARN", None)], "seq_id long, sequence string, more string")
+    got = rows(align.align_to_reference(df, "ARN"), "seq_id", "more", "on_reference", "n_mapped", "n_equal")
+    assert got[1] == (2, None, "ARN", 3, 3) and got[0][:2] == (1, "x") and got[0][4] == 2
