@@ -20,12 +20,12 @@ def _kept(n: int) -> int:
 
 def align_pairs(sequences: list[str], reference: str) -> list[list[int]]:
     """For each sequence, the reference position of each letter, or -1; end gaps cost like others."""
-    data, size = _codes(sequences)
-    place = align_codes(data, size, np.array([ord(x) for x in reference], np.uint32))
+    data, size = codes(sequences)
+    place = aligncodes(data, size, np.array([ord(x) for x in reference], np.uint32))
     return [row[:n].tolist() for row, n in zip(place, size.tolist(), strict=True)]
 
 
-def _codes(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def codes(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of code points for each sequence, filled up by 0, and the lengths."""
     size = np.array([len(x) for x in sequences], np.int64)
     data = np.zeros((len(sequences), max(1, int(size.max(initial=0)))), np.uint32)
@@ -33,7 +33,7 @@ def _codes(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, size
 
 
-def align_codes(data: np.ndarray, size: np.ndarray, ref: np.ndarray) -> np.ndarray:
+def aligncodes(data: np.ndarray, size: np.ndarray, ref: np.ndarray) -> np.ndarray:
     """The reference position of each letter of data's rows (the first `size` of each), or -1.
 
     All sequences advance by one letter at a time; columns of the recurrence that depend on their left neighbour are
@@ -145,8 +145,8 @@ def align_to_reference(sequences: DataFrame, reference: str, *, id_col: str = "s
                 high = low + max(1, min(batch, int(cells / ((16 * longest / step + step) * (len(ref) + 1)))))
                 part = whole.take(pa.array(order[low:high]))
                 low = high
-                data, length = _codes([x or "" for x in part.column(seq_col).to_pylist()])
-                place = align_codes(data, length, ref)
+                data, length = codes([x or "" for x in part.column(seq_col).to_pylist()])
+                place = aligncodes(data, length, ref)
                 mapped = place >= 0
                 row, col = np.nonzero(mapped)
                 at, letters = place[row, col], data[row, col]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import aa_index
-from fitscape.functions.arrays import bound
 from fitscape.operators.assay import code_sites, with_nodes
 
 IGNORED = -100
@@ -21,20 +26,53 @@ def sample_masks(threaded: DataFrame, ratio: float = 0.15, seed: int = 1012, epo
     """
     if "sites" not in threaded.columns:
         threaded = threaded.groupBy("family_id", "seq_id").agg(F.collect_list(F.struct("node", "aa_idx")).alias("sites"))
-    e = threaded.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    prefix = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("seq_id").cast("string"), F.lit(""))
-    keyed = F.transform("sites", lambda x: F.struct(F.when(x["aa_idx"] >= 0, F.md5(F.concat(F.col("_prefix"), x["node"].cast("string")))).alias("h"), x["node"].alias("node"), x["aa_idx"].alias("aa_idx")))
-    key = lambda x: F.struct(x["h"], x["node"])
+    kinds = dict(threaded.dtypes)
+    node = threaded.schema["sites"].dataType.elementType["node"].dataType.simpleString()
+    rows = threaded.select("family_id", "seq_id", F.col("seq_id").cast("string").alias("_name"), F.transform("sites", lambda x: x["node"]).alias("nodes"), F.transform("sites", lambda x: x["aa_idx"]).alias("letters"))
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                nodes, letters = batch.column("nodes"), pc.fill_null(batch.column("letters").flatten(), -1).to_numpy(zero_copy_only=False)
+                ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(nodes), 0).to_numpy(zero_copy_only=False))]
+                flat = nodes.flatten()
+                # null nodes have no hash, as in SQL; texts are made once for each node of the batch
+                place = pc.dictionary_encode(flat, null_encoding="encode")
+                texts = [None if x is None else str(x).encode() for x in place.dictionary.to_pylist()]
+                place = place.indices.to_numpy(zero_copy_only=False)
+                named = np.array([x is not None for x in texts], bool)
+                valid = (letters >= 0) & (named[place] if len(texts) else False)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+                for epoch in range(epochs):
+                    hidden = np.zeros(len(letters), bool)
+                    for k, name in enumerate(batch.column("_name").to_pylist()):
+                        own = np.flatnonzero(valid[ends[k] : ends[k + 1]]) + ends[k]
+                        if len(own):
+                            hidden[own] = _least(f"{seed}:{epoch}:{'' if name is None else name + ':'}".encode(), [texts[x] for x in place[own].tolist()], ratio)
+                    visible, label = np.where(hidden, -1, letters).astype(np.int32), np.where(hidden, letters, IGNORED).astype(np.int32)
+                    epoch_of = pa.array(np.full(len(letters), epoch, np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column("family_id").take(row), batch.column("seq_id").take(row), epoch_of, flat, pa.array(visible), pa.array(hidden), pa.array(label)], ["family_id", "seq_id", "epoch", "node", "visible", "is_masked", "label"])
+
+    return rows.mapInArrow(mask, f"family_id {kinds['family_id']}, seq_id {kinds['seq_id']}, epoch int, node {node}, visible int, is_masked boolean, label int")
 
-    def masked(sites: Column) -> Column:
-        valid = F.sort_array(F.transform(F.filter(sites, lambda x: x["aa_idx"] >= 0), key))
-        n = lambda v: F.greatest(F.lit(1), F.bround(F.size(v) * F.lit(ratio)).cast("int"))
-        last = bound(valid, lambda v: F.get(v, n(v) - 1))
-        hidden = lambda x, end: F.coalesce((x["aa_idx"] >= 0) & (key(x) <= end), F.lit(False))
-        row = lambda x, yes: F.struct(x["node"].alias("node"), F.when(yes, -1).otherwise(x["aa_idx"]).alias("visible"), yes.alias("is_masked"), F.when(yes, x["aa_idx"]).otherwise(IGNORED).alias("label"))
-        return bound(last, lambda end: F.transform(sites, lambda x: bound(hidden(x, end), lambda yes: row(x, yes))))
 
-    return e.withColumn("_prefix", prefix).select("family_id", "seq_id", "epoch", F.inline(bound(keyed, masked)))
+def _least(prefix: bytes, texts: list[bytes], ratio: float) -> np.ndarray:
+    """Which of the texts are hidden: max(1, half-even round of ratio * their number), those of least md5 behind the prefix; equal texts go together."""
+    start = hashlib.md5(prefix)
+    digests = []
+    for x in texts:
+        h = start.copy()
+        h.update(x)
+        digests.append(h.digest())
+    n = max(1, round(len(texts) * ratio))
+    first = np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64)
+    last = np.partition(first, n - 1)[n - 1]
+    out = first <= last
+    if int(out.sum()) > n:  # the first half alone doesn't tell
+        end = sorted(digests)[n - 1]
+        out = np.array([x <= end for x in digests], bool)
+    return out
 
 
 def masked_marginals(variants: DataFrame, mapping: DataFrame, covered: DataFrame | None = None) -> DataFrame:
@@ -47,11 +85,17 @@ def masked_marginals(variants: DataFrame, mapping: DataFrame, covered: DataFrame
 
 
 def property_delta(masked: DataFrame, residues: DataFrame, properties: DataFrame) -> DataFrame:
-    """family_id, seq_id, epoch, node, prop_id, delta: property of the visible letter less that of the structure's; 0 where nothing is visible."""
+    """family_id, seq_id, epoch, node, prop_id, delta: property of the visible letter less that of the structure's; 0 where nothing is visible. masked: a row for each place, or (visible_counts) for each node and letter, whose number n is a column of the result then."""
+    keys = [x for x in ("family_id", "seq_id", "epoch", "node", "n") if x in masked.columns]
     wt = residues.join(properties, "aa").select("family_id", "node", "prop_id", F.col("value").alias("wt_value"))
     seen = properties.select(aa_index(F.col("aa")).alias("visible"), "prop_id", "value")
     j = masked.join(wt, ["family_id", "node"]).join(seen, ["visible", "prop_id"], "left")
-    return j.select("family_id", "seq_id", "epoch", "node", "prop_id", F.coalesce(F.col("value") - F.col("wt_value"), F.lit(0.0)).alias("delta"))
+    return j.select(*keys, "prop_id", F.coalesce(F.col("value") - F.col("wt_value"), F.lit(0.0)).alias("delta"))
+
+
+def visible_counts(masked: DataFrame) -> DataFrame:
+    """family_id, node, visible, n: masked rows counted, for sums over sequences of what depends on these alone."""
+    return masked.groupBy("family_id", "node", "visible").agg(F.count("*").alias("n"))
 
 
 def covered_flag(masked: DataFrame) -> DataFrame:

@@ -2,25 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, aa_index
 from fitscape.functions.arrays import bound
-from fitscape.operators.family import few
+from fitscape.operators.family import family_slices, few
 
-def thread_arrays(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """family_id, seq_id, sites: an array of (node, aa, aa_idx; -1 at gaps) for the kept columns of match_states. Each family's columns (a few thousand) are one row; letters are cut once and taken by place."""
+
+def _threaded(rows: DataFrame, columns: DataFrame, made: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What `made` gives for rows of one family, the nodes of the family's columns (a few thousand, in their order), the code point at each column and whether the text has one."""
     kept = columns.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("match_column", "node"))).alias("_cols"))
     kept = F.broadcast(kept) if few(kept) else kept
-    site = lambda letters, c: bound(F.get(letters, c["match_column"]), lambda x: F.struct(c["node"].alias("node"), x.alias("aa"), aa_index(x).alias("aa_idx")))
-    sites = bound(F.split("match_states", ""), lambda letters: F.filter(F.transform("_cols", lambda c: site(letters, c)), lambda x: x["aa"] != ""))
-    return rows.join(kept, "family_id").select("family_id", "seq_id", sites.alias("sites"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cols, text in family_slices(batches, "match_states", 1 << 20):
+            at = cols.field("match_column").fill_null(-1).to_numpy(zero_copy_only=False)
+            inside = np.flatnonzero((at >= 0) & (at < text.shape[1]))
+            letters = text[:, at[inside]]
+            size = pc.fill_null(pc.utf8_length(part.column("match_states")), 0).to_numpy(zero_copy_only=False)
+            yield made(part, cols.field("node").take(pa.array(inside)), letters, at[inside] < size[:, None])
+
+    return rows.select("family_id", "seq_id", "match_states").join(kept, "family_id").mapInArrow(run, schema)
+
+
+def _text_of(letters: np.ndarray) -> pa.Array:
+    """A string of one character for each code point."""
+    if letters.max(initial=0) < 128:
+        return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32)), pa.py_buffer(letters.astype(np.uint8).tobytes()))
+    return pa.array([chr(x) for x in letters.tolist()], pa.string())
+
+
+def _index_of(letters: np.ndarray) -> np.ndarray:
+    """Place of each code point among the 20 letters; -1 for others."""
+    place = np.full(129, -1, np.int32)
+    place[[ord(x) for x in LETTERS]] = np.arange(len(LETTERS))
+    return place[np.minimum(letters, 128)]
+
+
+def _kinds(rows: DataFrame, columns: DataFrame) -> tuple[str, str, str]:
+    kinds = dict(rows.dtypes)
+    return kinds["family_id"], kinds["seq_id"], dict(columns.dtypes)["node"]
+
+
+def thread_arrays(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """family_id, seq_id, sites: an array of (node, aa, aa_idx; -1 at gaps) for the kept columns of match_states, in the columns' order."""
+    family, seq, kind = _kinds(rows, columns)
+
+    def made(part: pa.RecordBatch, nodes: pa.Array, letters: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+        own = letters[has]
+        sites = pa.StructArray.from_arrays([nodes.take(pa.array(np.nonzero(has)[1])), _text_of(own), pa.array(_index_of(own))], ["node", "aa", "aa_idx"])
+        ends = np.r_[0, np.cumsum(has.sum(axis=1))].astype(np.int32)
+        return pa.RecordBatch.from_arrays([part.column("family_id"), part.column("seq_id"), pa.ListArray.from_arrays(pa.array(ends), sites)], ["family_id", "seq_id", "sites"])
+
+    return _threaded(rows, columns, made, f"family_id {family}, seq_id {seq}, sites array<struct<node: {kind}, aa: string, aa_idx: int>>")
 
 
 def thread_sequences(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states."""
-    return thread_arrays(rows, columns).select("family_id", "seq_id", F.inline("sites"))
+    family, seq, kind = _kinds(rows, columns)
+
+    def made(part: pa.RecordBatch, nodes: pa.Array, letters: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+        row, col = np.nonzero(has)
+        own, row = letters[has], pa.array(row)
+        return pa.RecordBatch.from_arrays([part.column("family_id").take(row), part.column("seq_id").take(row), nodes.take(pa.array(col)), _text_of(own), pa.array(_index_of(own))], ["family_id", "seq_id", "node", "aa", "aa_idx"])
+
+    return _threaded(rows, columns, made, f"family_id {family}, seq_id {seq}, node {kind}, aa string, aa_idx int")
+
+
+def thread_counts(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """family_id, node, aa, aa_idx, n: the letters of thread_sequences' rows, summed within each slice of rows, for pssm_counts."""
+    family, _, kind = _kinds(rows, columns)
+
+    def made(part: pa.RecordBatch, nodes: pa.Array, letters: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+        index, col = _index_of(letters), np.arange(letters.shape[1])
+        seen = has & (index >= 0)
+        n = np.bincount((col * len(LETTERS) + index)[seen], minlength=letters.shape[1] * len(LETTERS))
+        some = np.flatnonzero(n)
+        first = part.column("family_id").take(pa.array(np.zeros(len(some), np.int64)))
+        which = (some % len(LETTERS)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([first, nodes.take(pa.array(some // len(LETTERS))), pa.array([LETTERS[x] for x in which.tolist()], pa.string()), pa.array(which), pa.array(n[some].astype(np.int64))], ["family_id", "node", "aa", "aa_idx", "n"])
+
+    return _threaded(rows, columns, made, f"family_id {family}, node {kind}, aa string, aa_idx int, n long")
 
 
 def thread_homologs(aligned: DataFrame, n_nodes: int) -> DataFrame:
@@ -30,8 +98,8 @@ def thread_homologs(aligned: DataFrame, n_nodes: int) -> DataFrame:
 
 
 def pssm_counts(threaded: DataFrame, residues: DataFrame) -> DataFrame:
-    """family_id, node, aa, n: letters seen, one more for the structure's own (residues: family_id, node, aa). Other letters don't count."""
-    seen = threaded.filter("aa_idx >= 0").groupBy("family_id", "node", "aa").agg(F.count("*").alias("n"))
+    """family_id, node, aa, n: letters seen, one more for the structure's own (residues: family_id, node, aa). Other letters don't count. threaded: a row for each letter, or rows with their number n (thread_counts)."""
+    seen = threaded.filter("aa_idx >= 0").groupBy("family_id", "node", "aa").agg((F.sum("n") if "n" in threaded.columns else F.count("*")).alias("n"))
     own = residues.filter(aa_index(F.col("aa")) >= 0).select("family_id", "node", "aa", F.lit(1).cast("long").alias("n"))
     return seen.unionByName(own).groupBy("family_id", "node", "aa").agg(F.sum("n").alias("n"))
 

@@ -493,3 +493,30 @@ def test_alignment_of_other_letters_and_columns(spark):
     df = spark.createDataFrame([(1, "Aé\U0001f600R", "x"), (2, "ARN", None)], "seq_id long, sequence string, more string")
     got = rows(align.align_to_reference(df, "ARN"), "seq_id", "more", "on_reference", "n_mapped", "n_equal")
     assert got[1] == (2, None, "ARN", 3, 3) and got[0][:2] == (1, "x") and got[0][4] == 2
+
+
+def test_letters_are_threaded_counted_and_masked_as_arrow_columns(spark):
+    random.seed(13)
+    raw = [(f, k, k, "".join(random.choice("ARNDarnd-.zé") for _ in range(random.randint(0, 25)))) for f, k in [("f", 1), ("f", 2), ("g", 3), ("g", 4), ("f", 5)]] + [("f", 6, 6, None)]
+    msa = spark.createDataFrame(raw, "family_id string, seq_id long, ord long, raw string")
+    at = {"f": [3, 0, 19, 7], "g": [1, 2, 30]}
+    columns = spark.createDataFrame([(f, k, c, 100 + c) for f, cols in at.items() for k, c in enumerate(cols)], "family_id string, match_column int, col int, node long")
+    expected = []
+    for f, k, _, text in raw:
+        up = (text or "").upper()
+        letters = "".join(up[c] if c < len(up) and up[c] in LETTERS else "-" for c in at[f])
+        expected.append((f, k, letters, round(1 - letters.count("-") / len(letters), 4)))
+    states = family.extract_match_states(msa, columns, 0.0)
+    assert rows(states) == sorted(expected, key=repr)
+    flat = pssm.thread_sequences(states, columns)
+    assert rows(flat, "seq_id", "node", "aa", "aa_idx") == sorted(((k, 100 + c, x, LETTERS.find(x)) for f, k, s, _ in expected for c, x in zip(at[f], s, strict=True)), key=repr)
+    own = spark.createDataFrame([("f", 103, "A"), ("h", 0, "R"), ("h", 1, "-")], "family_id string, node long, aa string")
+    assert rows(pssm.pssm_counts(pssm.thread_counts(states, columns), own)) == rows(pssm.pssm_counts(flat, own))
+    masks = masking.sample_masks(flat.select("family_id", "seq_id", "node", "aa_idx"), 0.5)
+    for x in (states, flat, masks):
+        assert "MapInArrow" in x._jdf.queryExecution().executedPlan().toString()
+    residues = spark.createDataFrame([("f", 103, "A"), ("f", 107, "R"), ("g", 101, "N")], "family_id string, node long, aa string")
+    values = spark.createDataFrame([("p", a, float(k)) for k, a in enumerate(LETTERS)] + [("q", "A", 1.0)], "prop_id string, aa string, value double")
+    plain = masking.property_delta(masks, residues, values).groupBy("family_id", "prop_id").agg(F.count("*").alias("n"), F.sum("delta").alias("s"))
+    counted = masking.property_delta(masking.visible_counts(masks), residues, values).groupBy("family_id", "prop_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("delta")).alias("s"))
+    assert rows(counted) == rows(plain) and plain.count() == 3
