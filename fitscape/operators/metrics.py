@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitscape.operators.checkpoints import Rounds, with_checkpoints
 from fitscape.operators.ordering import running_sum, with_ordinal
 
 
@@ -21,17 +22,24 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, r over rows with both values; null for a constant column or no rows."""
     d = df.withColumn("_x", _clean(F.col(x))).withColumn("_y", _clean(F.col(y))).filter("_x is not null and _y is not null")
     m = d.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my")) if by else d.agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    d = d.join(m, by) if by else d.join(F.broadcast(m), F.lit(True))
+    d = d.join(_small(m), by) if by else d.join(F.broadcast(m), F.lit(True))
     dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
     aggs = [F.count("*").alias("n"), _ratio(F.sum(dx * dy), F.sqrt(F.sum(dx * dx)) * F.sqrt(F.sum(dy * dy))).alias("r")]
     return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
 
 
+def _small(df: DataFrame, limit: int = 1000) -> DataFrame:
+    """df, for a join on its key: broadcast if it has few rows, as a few keys would gather the other side's rows in as many tasks."""
+    with_checkpoints(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def average_ranks(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
     """Adds the average rank (from 1) within `by`; ties share it. Distinct values are counted and summed in ranges of (by, value), so no group is one task's."""
     values = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
     upto = running_sum(values, "_c", [column], by, name="_u").select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate([*by, column])], (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(name))
-    same = F.lit(True)
+    upto, same = _small(upto), F.lit(True)
     for k, c in enumerate([*by, column]):
         same = same & F.col(c).eqNullSafe(F.col(f"_r{k}"))
     return df.join(upto, same).select(*df.columns, name)
@@ -40,7 +48,12 @@ def average_ranks(df: DataFrame, column: str, by: list[str], name: str) -> DataF
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, rho: Pearson of average ranks."""
     d = df.withColumn("_vx", _clean(F.col(x))).withColumn("_vy", _clean(F.col(y))).filter("_vx is not null and _vy is not null").select(*by, "_vx", "_vy")
-    d = average_ranks(average_ranks(d, "_vx", by, "_rx"), "_vy", by, "_ry")
+    rounds = Rounds(df.sparkSession)
+    d = rounds.stored(d, "values")  # each step reads its rows several times
+    d = rounds.stored(average_ranks(d, "_vx", by, "_rx").drop("_vx"), "ranks-x")
+    rounds.drop("values")
+    d = rounds.stored(average_ranks(d, "_vy", by, "_ry").drop("_vy"), "ranks")
+    rounds.drop("ranks-x")
     return pearson(d, "_rx", "_ry", by).withColumnRenamed("r", "rho")
 
 
@@ -97,6 +110,7 @@ def subset_correlations(scores: DataFrame, x: str, y: str, by: list[str] | None
     """by, subset (single, pair, all), n, r, rho."""
     key = [*(by or []), "subset"]
     d = scores.select(*(by or []), F.explode(F.array(F.when(F.col("single") == 1, "single").otherwise("pair"), F.lit("all"))).alias("subset"), x, y)
+    d = Rounds(scores.sparkSession).stored(d, "scores")
     return pearson(d, x, y, key).join(spearman(d, x, y, key).drop("n"), key)
 
 

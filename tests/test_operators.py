@@ -520,3 +520,17 @@ def test_letters_are_threaded_counted_and_masked_as_arrow_columns(spark):
     plain = masking.property_delta(masks, residues, values).groupBy("family_id", "prop_id").agg(F.count("*").alias("n"), F.sum("delta").alias("s"))
     counted = masking.property_delta(masking.visible_counts(masks), residues, values).groupBy("family_id", "prop_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("delta")).alias("s"))
     assert rows(counted) == rows(plain) and plain.count() == 3
+
+
+def test_few_groups_and_values_do_not_gather_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("model"), (F.col("id") % 3).cast("double").alias("x"), F.sin("id").alias("y"))
+    ranked = metrics.average_ranks(df, "x", ["model"], "r")
+    assert ranked.agg(F.sum("r")).first()[0] == 2 * 1500 * 1501 / 2
+    for x in (ranked, metrics.pearson(df, "x", "y", ["model"])):
+        assert "BroadcastHashJoin" in x._jdf.queryExecution().executedPlan().toString()
+    # scores are computed once, however often the ranks' steps read them
+    seen = spark.sparkContext.accumulator(0)
+    fitness = F.udf(lambda k: (seen.add(1), float(k))[1], "double").asNondeterministic()
+    scores = spark.range(40).select((F.col("id") % 2).alias("single"), F.cos("id").alias("score"), fitness("id").alias("fitness"))
+    assert {r["subset"]: r["n"] for r in metrics.subset_correlations(scores, "score", "fitness").collect()} == {"single": 20, "pair": 20, "all": 40}
+    assert seen.value == 40
