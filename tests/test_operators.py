@@ -534,3 +534,20 @@ def test_few_groups_and_values_do_not_gather_rows(spark):
     scores = spark.range(40).select((F.col("id") % 2).alias("single"), F.cos("id").alias("score"), fitness("id").alias("fitness"))
     assert {r["subset"]: r["n"] for r in metrics.subset_correlations(scores, "score", "fitness").collect()} == {"single": 20, "pair": 20, "all": 40}
     assert seen.value == 40
+
+
+def test_pairs_are_not_stored_and_copies_are_compared_once(spark, monkeypatch):
+    random.seed(14)
+    texts = ["".join(random.choices("ARND", k=40)) for _ in range(30)]
+    df = spark.createDataFrame([(k, texts[k % 30] if k < 90 else "ARN") for k in range(95)], "seq_id long, sequence string")
+    sets = cluster.anchors(cluster.kmers(df)).cache()
+    own = {r["seq_id"]: (set(r["kmers"]), set(r["anchors"])) for r in sets.collect()}
+    meet = {(a, b) for a in own for b in own if a < b and own[a][1] & own[b][1] and min(len(own[a][0]), len(own[b][0])) >= 0.5 * max(len(own[a][0]), len(own[b][0]))}
+    pairs = cluster.candidate_pairs(sets)
+    assert rows(pairs, "a", "b") == sorted(meet, key=repr)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    compared, plain = [], cluster._sketched
+    monkeypatch.setattr(cluster, "_sketched", lambda x: (compared.append(x.count()), plain(x))[1])
+    got = {(r["a"], r["b"]): r["similarity"] for r in cluster.similar_pairs(sets).collect()}
+    like = {(a, b): len(own[a][0] & own[b][0]) / len(own[a][0] | own[b][0]) for a, b in meet}
+    assert got == {k: pytest.approx(x) for k, x in like.items() if x >= 0.5} and compared == [30]
