@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +61,12 @@ def column_map(query_columns: DataFrame, query_mapping: DataFrame) -> DataFrame:
 def extract_match_states(msa: DataFrame, columns: DataFrame, min_coverage: float = 0.5) -> DataFrame:
     """family_id, seq_id, match_states (letters at the kept columns; others '-') and coverage (4 decimals), if it is at least min_coverage. columns: a few thousand rows a family."""
     kept = columns.groupBy("family_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("match_column", "col"))), lambda x: x["col"].cast("long")).alias("_cols"))
-    s = msa.select("family_id", "seq_id", F.upper("raw").alias("_text")).join(F.broadcast(kept) if few(kept) else kept, "family_id")
+    s, known = with_columns(msa.select("family_id", "seq_id", F.upper("raw").alias("_text")), kept)
     letter = np.full(128, ord("-"), np.uint8)
     letter[[ord(x) for x in LETTERS]] = [ord(x) for x in LETTERS]
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cols, text in family_slices(batches, "_text"):
+        for part, cols, text in family_slices(batches, "_text", known):
             cols = cols.fill_null(-1).to_numpy(zero_copy_only=False)
             inside = (cols >= 0) & (cols < text.shape[1])
             out = np.full((len(text), len(cols)), ord("-"), np.uint8)
@@ -82,11 +83,20 @@ def extract_match_states(msa: DataFrame, columns: DataFrame, min_coverage: float
     return rows.select("family_id", "seq_id", "match_states", F.round("_c", 4).alias("coverage"))
 
 
-def family_slices(batches: Iterator[pa.RecordBatch], text: str, cells: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
-    """Rows of one family, of like length, with the family's `_cols` and their texts as code points, a row each, filled up by 0; at most `cells` of these but for a longer text. A null text is empty."""
+def with_columns(rows: DataFrame, kept: DataFrame, limit: int = 1000) -> tuple[DataFrame, Broadcast | None]:
+    """For family_slices: rows, and the `_cols` of each family (kept: a row each) as a broadcast table; of more than `limit` families they are joined to the rows instead."""
+    some = kept.filter("family_id is not null").limit(limit + 1).toArrow()
+    if some.num_rows > limit:
+        return rows.join(kept, "family_id"), None
+    cols = {k: pa.concat_arrays([x.values]) for k, x in zip(some.column("family_id").to_pylist(), some.column("_cols"), strict=True)}
+    return rows, rows.sparkSession.sparkContext.broadcast(cols)
+
+
+def family_slices(batches: Iterator[pa.RecordBatch], text: str, known: Broadcast | None = None, cells: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Rows of one family, of like length, with the family's `_cols` (of `known`, else the rows' own) and their texts as code points, a row each, filled up by 0; at most `cells` of these but for a longer text. A null text is empty; a family that isn't known has no rows."""
     for batch in batches:
         size = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        family = pc.dictionary_encode(batch.column("family_id")).indices.to_numpy(zero_copy_only=False)
+        family = pc.dictionary_encode(batch.column("family_id"), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((-size, family))
         low = 0
         while low < len(order):
@@ -94,12 +104,21 @@ def family_slices(batches: Iterator[pa.RecordBatch], text: str, cells: int = 4 <
             high = min(same, low + max(1, cells // max(1, int(size[order[low]]))))
             part = batch.take(pa.array(order[low:high]))
             low = high
-            yield part, part.column("_cols")[0].values, codes([x or "" for x in part.column(text).to_pylist()])[0]
-
-
-def few(kept: DataFrame, limit: int = 1000) -> bool:
-    """Whether a table of families, a row each, is small enough to broadcast."""
-    return kept.limit(limit + 1).count() <= limit
+            cols = part.column("_cols")[0].values if known is None else known.value.get(part.column("family_id")[0].as_py())
+            if cols is not None:
+                yield part, cols, _points(part.column(text))
+
+
+def _points(texts: pa.Array) -> np.ndarray:
+    """A row of code points for each text, filled up by 0; ASCII texts of one length are taken from Arrow's buffer as they are."""
+    size = pc.binary_length(texts)
+    ends = pc.min_max(size).as_py()
+    if not texts.null_count and ends["min"] and ends["min"] == ends["max"]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + 2]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[0] + len(texts) * ends["min"]].reshape(len(texts), -1)
+        if data.max() < 128:
+            return data
+    return codes([x or "" for x in texts.to_pylist()])[0]
 
 
 def msa_summary(rows: DataFrame, raw: DataFrame, columns: DataFrame) -> DataFrame:

@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS, aa_index
 from fitscape.functions.arrays import bound
-from fitscape.operators.family import family_slices, few
+from fitscape.operators.family import family_slices, with_columns
 
 
 def _threaded(rows: DataFrame, columns: DataFrame, made: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     """What `made` gives for rows of one family, the nodes of the family's columns (a few thousand, in their order), the code point at each column and whether the text has one."""
     kept = columns.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("match_column", "node"))).alias("_cols"))
-    kept = F.broadcast(kept) if few(kept) else kept
+    rows, known = with_columns(rows.select("family_id", "seq_id", "match_states"), kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cols, text in family_slices(batches, "match_states", 1 << 20):
+        for part, cols, text in family_slices(batches, "match_states", known, 1 << 20):
             at = cols.field("match_column").fill_null(-1).to_numpy(zero_copy_only=False)
             inside = np.flatnonzero((at >= 0) & (at < text.shape[1]))
             letters = text[:, at[inside]]
             size = pc.fill_null(pc.utf8_length(part.column("match_states")), 0).to_numpy(zero_copy_only=False)
             yield made(part, cols.field("node").take(pa.array(inside)), letters, at[inside] < size[:, None])
 
-    return rows.select("family_id", "seq_id", "match_states").join(kept, "family_id").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _text_of(letters: np.ndarray) -> pa.Array:
@@ -63,6 +63,18 @@ def thread_arrays(rows: DataFrame, columns: DataFrame) -> DataFrame:
     return _threaded(rows, columns, made, f"family_id {family}, seq_id {seq}, sites array<struct<node: {kind}, aa: string, aa_idx: int>>")
 
 
+def thread_indices(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """family_id, seq_id, nodes and letters (-1 at gaps): thread_arrays' node and aa_idx as two arrays, for sample_masks."""
+    family, seq, kind = _kinds(rows, columns)
+
+    def made(part: pa.RecordBatch, nodes: pa.Array, letters: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.r_[0, np.cumsum(has.sum(axis=1))].astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(ends, x) for x in (nodes.take(pa.array(np.nonzero(has)[1])), pa.array(_index_of(letters[has])))]
+        return pa.RecordBatch.from_arrays([part.column("family_id"), part.column("seq_id"), *arrays], ["family_id", "seq_id", "nodes", "letters"])
+
+    return _threaded(rows, columns, made, f"family_id {family}, seq_id {seq}, nodes array<{kind}>, letters array<int>")
+
+
 def thread_sequences(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """family_id, seq_id, node, aa, aa_idx (-1 at gaps) for each kept column of match_states."""
     family, seq, kind = _kinds(rows, columns)
