@@ -91,6 +91,21 @@ def graph_rows(changed: DataFrame, background: DataFrame) -> DataFrame:
     return own.join(F.broadcast(whole), F.lit(True)).select("assay_id", "ord", F.inline(F.transform("_all", place)))
 
 
+def graph_totals(changed: DataFrame, background: DataFrame) -> DataFrame:
+    """assay_id, ord, n_nodes, n_changed and total of graph_rows: its rows, those with the mask, and the sum of all their features, without making rows of nodes that are the background's.
+
+    Each variant has the background's sums, less those of the nodes that it changes, plus its own.
+    """
+    add, masked = lambda f: F.aggregate(f, F.lit(0.0), lambda a, v: a + v), lambda f: (F.get(f, F.lit(0)) == 1).cast("long")
+    back = background.select("node", add("features").alias("_back"), masked("features").alias("_was"))
+    whole = back.agg(F.count("*").alias("_n"), F.sum("_was").alias("_flags"), F.sum("_back").alias("_sum"))
+    own = changed.select("assay_id", "ord", "node", add("features").alias("_own"), masked("features").alias("_is"))
+    own = own.join(F.broadcast(back), "node", "left")
+    known = lambda x: F.coalesce(F.sum(F.when(F.col("_back").isNotNull(), x)), F.lit(0))
+    own = own.groupBy("assay_id", "ord").agg(known(F.col("_is") - F.col("_was")).alias("_more"), known(F.col("_own") - F.col("_back")).alias("_delta"))
+    return own.join(F.broadcast(whole), F.lit(True)).select("assay_id", "ord", F.col("_n").alias("n_nodes"), (F.col("_flags") + F.col("_more")).alias("n_changed"), (F.col("_sum") + F.col("_delta")).alias("total"))
+
+
 def _scaled(df: DataFrame, value: str, by: list[str], shift: Column, scale: Column, name: str) -> DataFrame:
     stats = df.filter("split = 'train'").groupBy(*by).agg(shift.alias("_shift"), scale.alias("_scale"))
     return df.join(stats, by, "left").withColumn(name, (F.col(value) - F.col("_shift")) / F.nullif("_scale", F.lit(0.0))).drop("_shift", "_scale")
