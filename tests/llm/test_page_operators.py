@@ -187,3 +187,25 @@ def test_no_word_count_is_cut(spark, monkeypatch):
     got = {r["page_id"]: (r["verdict"], r["words"], r["log_odds"]) for r in url_filter.filter_urls(pages, small).collect()}
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in whole.items()}
     assert all(got[k][2] == pytest.approx(whole[k][2]) for k in whole)
+
+
+def test_unigrams_and_labels_beyond_the_vocabulary_count(spark, monkeypatch):
+    """With few words in each task, splits, labels, odds and verdicts are those of the whole vocabulary."""
+    letters = "abcdefghij"
+    urls = [f"http://h.example/{w}/{'casino' if i % 4 == 0 else 'good'}" for i, w in enumerate(["alpha", "bravo", "delta", "gamma"] * 12)]
+    rare = [f"qu{a}zy{b}" for a in letters for b in letters[:4]]
+    urls += [f"http://h.example/{w}/{'casino' if k % 2 else 'good'}" for k, w in enumerate(rare)]
+    urls += [f"http://{rare[k]}{rare[(7 * k + 1) % 40]}alpha.example/{rare[k]}" for k in range(40)]  # split by rare unigrams, labelled by rare words
+    urls += [f"http://{rare[1]}{rare[3]}.example/", f"http://{rare[0]}{rare[2]}.example/", None, "", "http://" + "x" * 9000 + rare[5] + ".example/x" + rare[5]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    get = lambda m: {r["page_id"]: (r["verdict"], r["words"], r["log_odds"]) for r in url_filter.filter_urls(pages, m).collect()}
+    model = url_filter.train_url_model(pages)
+    whole = get(model)
+    assert whole[88][1][:2] == [rare[0], rare[1]] and {v[0] for v in whole.values()} == {"allow", "block"}
+    monkeypatch.setattr(url_filter, "VOCABULARY", 5)
+    monkeypatch.setattr(url_filter, "BEGINS", 100)
+    small = url_filter.train_url_model(pages)
+    assert len(small.segmenter.counts) < 50 and small.segmenter.total == model.segmenter.total and small.prior == model.prior
+    got = get(small)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in whole.items()}
+    assert all(got[k][2] == pytest.approx(whole[k][2]) for k in whole)
