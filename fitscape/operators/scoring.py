@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fitscape.functions.alphabet import LETTERS
 from fitscape.functions.arrays import log_softmax, softmax
-from fitscape.operators.assay import code_sites, real_mutations
+from fitscape.operators.assay import code_sites, real_mutations, unsent
 
 
 def conservation_score(variants: DataFrame, mapping: DataFrame, pssm: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def mutational_scan(pssm: DataFrame, residues: DataFrame, variants: DataFrame, m
     f = pssm.select(*fam, "node", F.col("aa").alias("mut_aa"), F.log("freq").alias("f"))
     own = f.select(*fam, "node", F.col("mut_aa").alias("wt_aa"), F.col("f").alias("f_wt"))
     grid = wt.join(f, [*fam, "node"]).filter("wt_aa != mut_aa").join(own, [*fam, "node", "wt_aa"]).select(*fam, "node", "wt_aa", "mut_aa", F.round(F.col("f") - F.col("f_wt"), 4).alias("predicted"))
-    s = variants.filter("single = 1").join(mapping.select("assay_id", "single", "idx", "node"), ["assay_id", "single", "idx"])
+    s = variants.filter("single = 1").join(unsent(mapping.select("assay_id", "single", "idx", "node")), ["assay_id", "single", "idx"])
     s = s.groupBy("node", F.get(code_sites(F.col("code")), F.lit(0))["mut"].alias("mut_aa")).agg(F.max_by("fitness", F.struct("ord", "assay_id")).alias("actual"))
     return grid.join(s, ["node", "mut_aa"], "left").select(*fam, "node", "wt_aa", "mut_aa", "predicted", F.round("actual", 4).alias("actual"))
 
